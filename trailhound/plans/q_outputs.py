@@ -1 +1,190 @@
+"""Queries: sinks, report tables, streaming. Sinks write to the shared folder and the result is read back."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from trailhound import fixed_values as V
+from trailhound.operators import aggregates as A
+from trailhound.operators import detect as D
+from trailhound.operators import iocs as I
+from trailhound.operators import mitre as M
+from trailhound.operators import playbooks as B
+from trailhound.operators import reports as R
+from trailhound.operators import scoring as S
+from trailhound.operators import timeline as T
+from trailhound.plans.fixtures import VIEW_SQL, table, view
+from trailhound.plans.oracle_views import banded, word_test
+from trailhound.plans.q_core import LE, events, findings
+from trailhound.plans.q_scores import AS_OF, _detector_sql, mapped
+from trailhound.plans.registry import query
+from trailhound.session import scratch_path
+from trailhound.streaming import detectors as ST
+
+FIELDS = ["finding_type", "list_name", "severity", "event_id", "host", "details"]
+FIELD_SQL = ", ".join(FIELDS)
+SCHEMA = "finding_type string, list_name string, severity string, event_id bigint, host string, details string"
+
+
+@query("snk_json", f"select {FIELD_SQL} from findings", ("findings",))
+def snk_json(spark, d):
+    path = R.write(findings(spark, d).select(*FIELDS), scratch_path(spark, "findings"), "json")
+    return spark.read.schema(SCHEMA).json(path)
+
+
+@query("snk_csv", f"select {FIELD_SQL} from findings", ("findings",))
+def snk_csv(spark, d):
+    path = R.write(findings(spark, d).select(*FIELDS), scratch_path(spark, "findings"), "csv")
+    return spark.read.schema(SCHEMA).option("header", True).option("escape", '"').csv(path)
+
+
+@query("snk_parquet", "select event_id, ts, severity, raw_log, cast(ts as date) as day from log_events", LE)
+def snk_parquet(spark, d):
+    rows = events(spark, d).select("event_id", "ts", "severity", "raw_log", F.to_date("ts").alias("day"))
+    return spark.read.parquet(R.write(rows, scratch_path(spark, "events"), "parquet", ["day"]))
+
+
+def _summary(spark, d):
+    e = events(spark, d)
+    return R.executive_summary(S.detector_score(D.severity_profile(e), AS_OF), findings(spark, d))
+
+
+@query("snk_report_tables", f"""
+select s.risk_score, {banded("s.risk_score", V.DASHBOARD_BANDS)} as risk_level, s.total_events,
+ count(*) filter (where severity = 'CRITICAL') as critical_count, count(*) filter (where severity = 'HIGH') as high_count,
+ count(*) filter (where severity not in ('CRITICAL', 'HIGH') and (list_name = 'anomalies' or severity = 'MEDIUM')) as medium_count,
+ count(*) filter (where severity not in ('CRITICAL', 'HIGH', 'MEDIUM') and list_name <> 'anomalies') as low_count, count(*) as total_findings
+from findings cross join ({_detector_sql("")}) s group by 1, 2, 3""", ("findings",))
+def snk_report_tables(spark, d):
+    return _summary(spark, d)
+
+
+@query("rpt_technical", "select list_name, count(*) as n from findings where list_name not in ('successful_logins', 'suspicious_processes') group by 1", ("findings",))
+def rpt_technical(spark, d):
+    return R.technical_counts(findings(spark, d))
+
+
+@query("rpt_indicators", "select value, n_events from ip_iocs order by n_events desc, value limit 10", ("ip_iocs",))
+def rpt_indicators(spark, d):
+    return R.indicator_table(I.extract(events(spark, d), ["ip"]))
+
+
+@query("snk_markdown", """
+select string_agg(line, chr(10) order by part, pos) as markdown from (
+ select 0 as part, 0 as pos, '## Technical Findings' as line
+ union all select 1, row_number() over (order by list_name), '| ' || list_name || ' | ' || n || ' |' from (
+  select list_name, count(*) as n from findings group by 1) t) x""", ("findings",))
+def snk_markdown(spark, d):
+    counts = A.value_counts(findings(spark, d), "list_name")
+    rows = counts.agg(F.array_sort(F.collect_list(F.concat(
+        F.lit("| "), "list_name", F.lit(" | "), F.col("n").cast("string"), F.lit(" |")))).alias("_rows"))
+    text = rows.select(F.concat_ws("\n", F.lit("## Technical Findings"), "_rows").alias("markdown"))
+    path = R.write(text, scratch_path(spark, "report"), "text")
+    return spark.read.text(path, wholetext=True).select(F.rtrim("value", F.lit("\n")).alias("markdown"))
+
+
+@query("snk_markdown_report")
+def snk_markdown_report(spark, d):
+    f = findings(spark, d)
+    top = T.prioritize(f, 10).select("list_name", F.lit(1).alias("rank"))
+    advice = S.recommendations(S.overall_risk(f, AS_OF), top, 5)
+    return R.markdown_report(
+        _summary(spark, d), R.technical_counts(f), R.indicator_table(I.extract(events(spark, d), ["ip"])), advice)
+
+
+@query("snk_mitre", "select mapped_as, '| ' || technique_id || ' | ' || technique_name || ' | ' || tactic || ' | ' || confidence || ' |' as line from mapped", ("mapped",))
+def snk_mitre(spark, d):
+    path = R.write(R.technique_markdown(mapped(spark, d)), scratch_path(spark, "techniques"), "csv")
+    return spark.read.option("header", True).csv(path)
+
+
+@query("snk_playbooks", """
+select p.playbook, starts_with('# ' || p.title, '# ') as titled, (select count(*) from playbook_steps s where s.playbook = p.playbook) as n_steps
+from playbooks p where p.playbook in (select playbook from finding_playbooks)""", ("playbooks", "playbook_steps", "finding_playbooks"))
+def snk_playbooks(spark, d):
+    books = B.all_playbooks(findings(spark, d)).filter("n_findings > 0")
+    return B.markdown(books).select(
+        "playbook", F.col("markdown").startswith("# ").alias("titled"),
+        (F.size(F.split("markdown", "### Step ")) - 1).cast("bigint").alias("n_steps"))
+
+
+@query("snk_all", "select f as format, count(*) as n from findings cross join (values ('csv'), ('json'), ('parquet')) v(f) group by 1", ("findings",))
+def snk_all(spark, d):
+    paths = R.write_all(findings(spark, d).select(*FIELDS), scratch_path(spark, "export"))
+    parts = [
+        spark.read.json(paths["json"]), spark.read.option("header", True).option("escape", '"').csv(paths["csv"]),
+        spark.read.parquet(paths["parquet"])]
+    counted = [p.select(F.lit(n).alias("format")) for n, p in zip(("json", "csv", "parquet"), parts)]
+    return A.value_counts(counted[0].unionByName(counted[1]).unionByName(counted[2]), "format")
+
+
+# --- streaming: each query drives the stream through all the given data and reads the result ------
+
+def _stream(spark, d):
+    """The events table as a stream, projected to the log view."""
+    raw = ST.read_events(spark, d, table(spark, d, "events").schema, "events.parquet")
+    text = VIEW_SQL["log_events"].replace("from events", "from {events}")
+    return spark.sql(text, events=raw)
+
+
+def _run(spark, stream):
+    return ST.run_to_table(stream, spark, scratch_path(spark, "stream"))
+
+
+def _ntz(df, *columns):
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
+
+
+@query("st_ingest", """
+select event_id, severity, source, user_name, source_ip, status_code, event_type from log_events""", LE)
+def st_ingest(spark, d):
+    parsed = ST.ingest(_stream(spark, d).select("event_id", "line"))
+    return _run(spark, parsed.select(
+        "event_id", "severity", "source", "user_name", "source_ip", "status_code", "event_type"))
+
+
+_CLOSED = "(select max(ts) from log_events{}) - interval '{}'"
+
+
+@query("st_brute", f"""
+select source_ip, window_start, count(*) as failed_attempts from (
+ select source_ip, unnest(range(time_bucket(interval '12 hours', ts, timestamp '2024-01-01') - interval '12 hours',
+  time_bucket(interval '12 hours', ts, timestamp '2024-01-01') + interval '1 hour', interval '12 hours')) as window_start
+ from log_events where {word_test("raw_log", V.AUTH_FAIL_WORDS)}) w
+where window_start + interval '24 hours' <= (select max(ts) from log_events where {word_test("raw_log", V.AUTH_FAIL_WORDS)}) - interval '10 minutes'
+group by 1, 2 having count(*) > 1""", LE)
+def st_brute(spark, d):
+    found = ST.brute_force(_stream(spark, d), "24 hours", "12 hours", 1)
+    return _ntz(_run(spark, found), "window_start").select("source_ip", "window_start", "failed_attempts")
+
+
+@query("st_hourly", f"""
+select date_trunc('hour', ts) as hour, count(*) as n from log_events group by 1
+having date_trunc('hour', ts) + interval '1 hour' <= {_CLOSED.format('', '1 hour')}""", LE)
+def st_hourly(spark, d):
+    return _ntz(_run(spark, ST.hourly(_stream(spark, d))), "hour")
+
+
+@query("st_session", f"""
+select user_name, min(ts) as session_start, max(ts) + interval '30 minutes' as session_end, count(*) as n_events from (
+ select user_name, ts, sum(fresh) over (partition by user_name order by ts, event_id) as k from (
+  select user_name, ts, event_id, case when lag(ts) over (partition by user_name order by ts, event_id) >= ts - interval '30 minutes' then 0 else 1 end as fresh
+  from log_events) a) b
+group by user_name, k having max(ts) + interval '30 minutes' <= {_CLOSED.format('', '1 hour')}""", LE)
+def st_session(spark, d):
+    return _ntz(_run(spark, ST.sessions(_stream(spark, d))), "session_start", "session_end")
+
+
+@query("st_dedupe", f"""
+select host, event_type from log_events where {word_test("raw_log", V.AUTH_FAIL_WORDS)} group by 1, 2""", LE)
+def st_dedupe(spark, d):
+    """All of the table arrives in one batch here, so each alert key is kept once."""
+    alerts = _stream(spark, d).filter(D.contains_any(F.lower("raw_log"), V.AUTH_FAIL_WORDS))
+    return _run(spark, ST.first_alerts(alerts.select("ts", "host", "event_type"), ["host", "event_type"])).select(
+        "host", "event_type")
+
+
+@query("st_ioc", "select event_id, source_ip from log_events where source_ip in (select indicator from ioc_feed)", ("log_events", "ioc_feed"))
+def st_ioc(spark, d):
+    found = ST.ioc_matches(_stream(spark, d).select("event_id", "source_ip"), view(spark, d, "ioc_feed"))
+    return _run(spark, found.select("event_id", "source_ip"))
