@@ -8,8 +8,6 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_REGEX_MARKS = set(".*+?[](){}|^$\\")
-
 
 def first_match(text: Column, pattern: str, group: int = 1) -> Column:
     """First hit of a regex group, null when there is none."""
@@ -21,6 +19,12 @@ def all_matches(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(group))
 
 
+def hinted_matches(text: Column, lowered: Column, pattern: str, hint: str, group: int = 1) -> Column:
+    """All hits of a pattern, tried only where the lower-cased text holds a literal that every hit must hold."""
+    none = F.array().cast("array<string>")
+    return F.when(lowered.contains(hint), all_matches(text, pattern, group)).otherwise(none)
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(or_, conditions)
 

@@ -16,6 +16,7 @@ FINDING_COLUMNS = [
     "metric",
 ]
 _HIT = "_hit"
+_LOWER = "_lower"
 
 
 def _hit(condition: Column, finding_type: str, list_name: str, severity: str | Column, word: str | None) -> Column:
@@ -81,16 +82,18 @@ def all_hits(text: Column) -> list[Column]:
 def row_findings(df: DataFrame, make_hits=all_hits, text: str = "raw_log", distinct_rows: bool = False) -> DataFrame:
     """One finding per row and rule that fires (per row and finding type with ``distinct_rows``).
 
-    The rules are an array literal per row that is unrolled in place, so there is no join and no shuffle.
+    The rules are an array per row that is unrolled in place, so there is no join and no shuffle. The lower-cased
+    text is projected first: inside the generator it would be computed once per rule.
     """
-    hits = F.array(*make_hits(F.lower(F.col(text))))
+    columns = ["event_id", "ts", "user_name", "source_ip", "host", "_text"]
+    prepared = df.select(
+        *columns[:-1], "severity", F.col(text).alias("_text"), F.lower(F.col(text)).alias(_LOWER))
+    hits = F.array(*make_hits(F.col(_LOWER)))
     if distinct_rows:
         hits = F.array_distinct(F.transform(
             hits, lambda h: F.when(h.isNotNull(), h.withField("matched", F.lit(None).cast("string")))))
     return (
-        df.select(
-            "event_id", "ts", "user_name", "source_ip", "host", F.col(text).alias("_text"),
-            F.explode(hits).alias(_HIT))
+        prepared.select(*columns, F.explode(hits).alias(_HIT))
         .filter(F.col(_HIT).isNotNull())
         .select(
             f"{_HIT}.finding_type", f"{_HIT}.list_name", f"{_HIT}.severity", "event_id", "ts", "user_name",
@@ -106,12 +109,13 @@ def severity_profile(df: DataFrame, by: tuple[str, ...] = (), text: str = "raw_l
     per group, whatever the input size.
     """
     has_time = F.col("ts").isNotNull()
-    lowered = F.lower(F.col(text))
+    lowered = F.col(_LOWER)
     counts: dict[str, list[Column]] = {}
     for _, severity, _, words in V.KEYWORD_RULES:
         counts.setdefault(severity, []).extend(lowered.contains(w).cast("int") for w in words)
     keyword_n = {s: sum(c[1:], c[0]) for s, c in counts.items()}
-    return df.groupBy(*by, "severity").agg(
+    prepared = df.select(*by, "severity", "ts", F.lower(F.col(text)).alias(_LOWER))
+    return prepared.groupBy(*by, "severity").agg(
         F.count(F.lit(1)).alias("n_events"),
         count_where(contains_any(lowered, V.AUTH_FAIL_WORDS)).alias("n_auth_fail"),
         count_where(F.hour("ts").isin(V.OFF_HOURS)).alias("n_off_hours"),
@@ -244,8 +248,8 @@ def spikes(df: DataFrame, deviations: float = 2.0) -> DataFrame:
 
 def pattern_counts(df: DataFrame, by: tuple[str, ...] = (), text: str = "raw_log") -> DataFrame:
     """Counts of every pattern cluster in one pass: one row per group."""
-    lowered = F.lower(F.col(text))
-    return df.groupBy(*by).agg(
+    lowered = F.col(_LOWER)
+    return df.select(*by, "ts", F.lower(F.col(text)).alias(_LOWER)).groupBy(*by).agg(
         *[count_where(contains_any(lowered, words)).alias(name) for name, words, _ in V.PATTERN_CLUSTERS],
         count_where(F.hour("ts").isin(V.NIGHT_HOURS)).alias("off_hours_activity"),
         F.count(F.lit(1)).alias("total_events"),

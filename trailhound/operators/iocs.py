@@ -7,65 +7,80 @@ from pyspark.sql import functions as F
 
 from trailhound import fixed_values as V
 from trailhound.functions.lookup import count_where
-from trailhound.functions.text import all_matches, contains_any, first_match, starts_with_any
+from trailhound.functions.text import contains_any, first_match, hinted_matches, starts_with_any
 
 KINDS = ["ip", "user", "host", "service", "command"]
 
 
-def external(values: Column) -> Column:
-    return F.filter(values, lambda v: ~starts_with_any(v, V.INTERNAL_PREFIXES))
+def internal(value: Column) -> Column:
+    return starts_with_any(value, V.INTERNAL_PREFIXES)
+
+
+def _kept(values: Column, stop: list[str]) -> Column:
+    return F.filter(values, lambda v: ~F.lower(v).isin(stop))
 
 
 def _column_values(name: str | None, stop: list[str]) -> Column:
-    value = F.col(name).cast("string") if name else F.lit(None).cast("string")
-    return F.filter(F.array(value), lambda v: v.isNotNull() & ~F.lower(v).isin(stop))
+    if name is None:
+        return F.array().cast("array<string>")
+    value = F.col(name).cast("string")
+    return F.array(F.when(~F.lower(value).isin(stop), value) if stop else value)
 
 
-def _pattern_values(text: Column, patterns: list[str], stop: list[str]) -> Column:
-    found = F.concat(*[all_matches(text, p) for p in patterns])
-    return F.filter(found, lambda v: ~F.lower(v).isin(stop))
+def _pattern_values(text: Column, lowered: Column, patterns: list[str], hints: list[str]) -> Column:
+    return F.concat(*[hinted_matches(text, lowered, p, h) for p, h in zip(patterns, hints)])
 
 
-def values_of(kind: str, text: Column, columns: dict[str, str], strict: bool = False) -> Column:
-    """Distinct indicator values of one kind in a row, from its text and its own columns."""
+def values_of(kind: str, text: Column, lowered: Column, columns: set[str], strict: bool = False) -> Column:
+    """Candidate values of one kind in a row, from its text and its own columns.
+
+    ``lowered`` is the lower-cased text. What can be told from a value alone is filtered by ``accepted`` later.
+    """
+    def own(name: str, stop: list[str]) -> Column:
+        return _column_values(name if name in columns else None, stop)
+
     if kind == "ip":
         pattern = V.STRICT_IP_PATTERN if strict else V.IP_PATTERN
-        own = [_column_values(columns[c], []) for c in ("source_ip", "src_ip") if c in columns]
-        found = external(F.concat(all_matches(text, pattern, 0), *own))
-    elif kind == "user":
-        found = F.concat(
-            _pattern_values(text, V.USER_PATTERNS, V.USER_STOP),
-            _column_values(columns.get("user_name"), V.USER_COLUMN_STOP))
-    elif kind == "host":
-        found = F.concat(
-            F.filter(_pattern_values(text, V.HOST_PATTERNS, V.HOST_STOP), lambda v: v != ""),
-            _column_values(columns.get("host"), V.HOST_COLUMN_STOP))
-    elif kind == "service":
-        found = F.concat(
-            F.filter(all_matches(text, V.SERVICE_PATTERN), lambda v: v != ""),
-            _column_values(columns.get("source"), []))
-    elif kind == "command":
-        found = F.concat(*[all_matches(text, p) for p in V.COMMAND_IOC_PATTERNS])
-        found = F.transform(
-            F.filter(found, lambda v: F.length(v) > 5), lambda v: F.substr(v, F.lit(1), F.lit(200)))
-    elif kind == "domain":
-        found = F.transform(all_matches(text, V.DOMAIN_PATTERN, 0), lambda v: F.lower(v))
-    else:
-        raise ValueError(f"unknown indicator kind: {kind}")
-    return F.array_distinct(found)
+        return F.concat(hinted_matches(text, lowered, pattern, ".", 0), own("source_ip", []), own("src_ip", []))
+    if kind == "user":
+        found = _pattern_values(text, lowered, V.USER_PATTERNS, V.USER_HINTS)
+        return F.concat(_kept(found, V.USER_STOP), own("user_name", V.USER_COLUMN_STOP))
+    if kind == "host":
+        found = _pattern_values(text, lowered, V.HOST_PATTERNS, V.HOST_HINTS)
+        return F.concat(_kept(found, V.HOST_STOP), own("host", V.HOST_COLUMN_STOP))
+    if kind == "service":
+        return F.concat(hinted_matches(text, lowered, V.SERVICE_PATTERN, V.SERVICE_HINT), own("source", []))
+    if kind == "command":
+        return _pattern_values(text, lowered, V.COMMAND_IOC_PATTERNS, V.COMMAND_HINTS)
+    if kind == "domain":
+        return F.transform(hinted_matches(text, lowered, V.DOMAIN_PATTERN, ".", 0), lambda v: F.lower(v))
+    raise ValueError(f"unknown indicator kind: {kind}")
+
+
+def accepted(kind: Column, value: Column) -> Column:
+    return (
+        value.isNotNull() & (value != "") & ~((kind == "ip") & internal(value))
+        & ~((kind == "command") & (F.length(value) <= 5)))
 
 
 def extract(df: DataFrame, kinds: list[str], text: str = "raw_log", ts: str | None = "ts", strict: bool = False) -> DataFrame:
-    """Indicators of the given kinds with how many rows hold each and when it was first and last seen."""
-    columns = {c: c for c in ("source_ip", "src_ip", "user_name", "host", "source") if c in df.columns}
-    def tagged(kind: str) -> Column:
-        values = values_of(kind, F.col(text), columns, strict)
-        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    """Indicators of the given kinds with how many rows hold each and when it was first and last seen.
 
-    found = F.concat(*[tagged(k) for k in kinds])
+    One pass over the rows: candidates of all kinds are unrolled, filtered, and combined on the map side.
+    """
+    columns = {"source_ip", "src_ip", "user_name", "host", "source"} & set(df.columns)
     when = F.col(ts) if ts else F.lit(None).cast("timestamp_ntz")
+    prepared = df.select(
+        when.alias("_ts"), F.coalesce(F.col(text), F.lit("")).alias("_text"),
+        F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_lower"), *sorted(columns))
+    by_kind = F.array(*[
+        F.struct(F.lit(k).alias("kind"), F.array_distinct(
+            values_of(k, F.col("_text"), F.col("_lower"), columns, strict)).alias("found")) for k in kinds])
+    rows = prepared.select("_ts", F.explode(by_kind).alias("_of")).select(
+        "_ts", F.col("_of.kind").alias("kind"), F.explode("_of.found").alias("_value"))
+    value = F.when(F.col("kind") == "command", F.substr("_value", F.lit(1), F.lit(200))).otherwise(F.col("_value"))
     return (
-        df.select(when.alias("_ts"), F.explode(found).alias("_ioc")).groupBy("_ioc.kind", "_ioc.value")
+        rows.filter(accepted(F.col("kind"), F.col("_value"))).groupBy("kind", value.alias("value"))
         .agg(F.count(F.lit(1)).alias("n_events"), F.min("_ts").alias("first_ts"), F.max("_ts").alias("last_ts")))
 
 
@@ -129,6 +144,8 @@ def block_list(iocs: DataFrame, n: int = 5) -> DataFrame:
 
 def has_external_ip(df: DataFrame, by: tuple[str, ...] = (), text: str = "raw_log") -> DataFrame:
     """Rows per group that hold an address from outside."""
-    columns = {c: c for c in ("source_ip", "src_ip") if c in df.columns}
-    return df.groupBy(*by).agg(
-        count_where(F.size(values_of("ip", F.col(text), columns)) > 0).alias("n_external_ip"))
+    columns = {"source_ip", "src_ip"} & set(df.columns)
+    raw = F.coalesce(F.col(text), F.lit(""))
+    found = values_of("ip", raw, raw, columns)
+    outside = F.exists(found, lambda v: ~internal(v))
+    return df.groupBy(*by).agg(count_where(outside).alias("n_external_ip"))

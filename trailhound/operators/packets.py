@@ -51,7 +51,8 @@ def suspicious_flags(payload: str | None = None) -> Column:
         tags.append(F.when(contains_any(text, ["base64", "powershell"]), F.lit("encoded_payload")))
         tags.append(F.when(contains_any(text, ["eval(", "exec("]), F.lit("code_execution")))
     tags.append(F.when(port.isin(V.SUSPICIOUS_PORTS), F.concat(F.lit("suspicious_port_"), port.cast("string"))))
-    return F.array_compact(F.array(*tags))
+    joined = F.concat_ws("|", *tags)
+    return F.when(joined != "", F.split(joined, r"\|")).otherwise(F.array().cast("array<string>"))
 
 
 def with_suspicious_flags(df: DataFrame, payload: str | None = None) -> DataFrame:

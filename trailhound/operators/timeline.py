@@ -10,7 +10,7 @@ from trailhound import fixed_values as V
 from trailhound.functions.lookup import banded, look_up
 from trailhound.functions.text import contains_any, starts_with_any
 from trailhound.functions.times import seconds_between
-from trailhound.session import checkpoint_dir, range_count
+from trailhound.session import range_count, scratch_path
 
 
 def carry_forward(
@@ -21,14 +21,16 @@ def carry_forward(
 
     Rows are split into even ranges of (keys, order), so neither a hot key nor a hot hour lands in one task.
     Each range hands its last value to the next ones through a table of one row per (key, range). The ranged
-    rows are checkpointed first: range numbers then stay the same when a lost executor's work is redone.
+    rows are written to the shared folder first: range numbers then stay the same when a lost executor's work is
+    redone, and the sort key is computed once.
     """
     spark = df.sparkSession
-    checkpoint_dir(spark)
     parts = ranges or range_count(spark)
-    ranged = (
+    path = scratch_path(spark, "ranges")
+    (
         df.withColumn("_mark", value).repartitionByRange(parts, *keys, *order)
-        .withColumn("_range", F.spark_partition_id()).checkpoint())
+        .withColumn("_range", F.spark_partition_id()).write.parquet(path))
+    ranged = spark.read.parquet(path)
     position = F.struct(*order)
     tails = ranged.groupBy(*keys, "_range").agg(
         F.max_by("_mark", F.when(F.col("_mark").isNotNull(), position)).alias("_tail"))
