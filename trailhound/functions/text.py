@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import or_
 
@@ -19,6 +20,21 @@ def all_matches(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(group))
 
 
+SLOT = "\uffff"  # a code point that no valid text holds
+
+
+def packed(text: Column, pattern: str, template: list[str]) -> Column:
+    """All groups of an anchored pattern in one regex pass: the text is rewritten to slots that ``split`` separates.
+
+    ``template`` holds one replacement per slot, such as ``$2`` or ``$4 $5``.
+    """
+    return F.regexp_replace(text, pattern.removesuffix("$") + ".*", SLOT.join(template))
+
+
+def slots(packed_text: Column) -> Column:
+    return F.split(packed_text, SLOT)
+
+
 def hinted_matches(text: Column, lowered: Column, pattern: str, hint: str, group: int = 1) -> Column:
     """All hits of a pattern, tried only where the lower-cased text holds a literal that every hit must hold."""
     none = F.array().cast("array<string>")
@@ -34,6 +50,12 @@ def contains_any(lowered: Column, words: list[str]) -> Column:
     return any_of([lowered.contains(w.lower()) for w in words])
 
 
+def holds_any(text: Column, words: list[str]) -> Column:
+    """The same test for use in a filter, where the text expression would be copied once per word: here it occurs
+    once, in one alternation of plain words."""
+    return F.lower(text).rlike("|".join(re.escape(w.lower()).replace("\\ ", " ") for w in words))
+
+
 def starts_with_any(value: Column, prefixes: list[str]) -> Column:
     return any_of([value.startswith(p) for p in prefixes])
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trailhound import fixed_values as V
 from trailhound.functions.lookup import count_where, look_up
-from trailhound.functions.text import all_matches, any_of, contains_any, pattern_hit
+from trailhound.functions.text import all_matches, any_of, contains_any, holds_any, pattern_hit
 from trailhound.operators.aggregates import hourly
 from trailhound.operators.normalize import event_names
 
@@ -211,7 +211,7 @@ def auth_fail_report(df: DataFrame, n: int = 100) -> DataFrame:
 def brute_force_by_ip(df: DataFrame, window: str = "10 minutes", minimum: int = V.BRUTE_FORCE_MIN) -> DataFrame:
     """Authentication failures per address and tumbling window above a minimum."""
     return (
-        df.filter(contains_any(F.lower("raw_log"), V.AUTH_FAIL_WORDS) & F.col("source_ip").isNotNull())
+        df.filter(holds_any(F.col("raw_log"), V.AUTH_FAIL_WORDS) & F.col("source_ip").isNotNull())
         .groupBy("source_ip", F.window(F.col("ts").cast("timestamp"), window).alias("w"))
         .agg(F.count(F.lit(1)).alias("failed_attempts"))
         .filter(F.col("failed_attempts") > minimum)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trailhound import fixed_values as V
 from trailhound.functions.lookup import count_where
-from trailhound.functions.text import contains_any
+from trailhound.functions.text import contains_any, holds_any
 
 
 def severity_in(df: DataFrame, severities: list[str]) -> DataFrame:
@@ -28,7 +28,7 @@ def high_severity(df: DataFrame) -> DataFrame:
 
 
 def errors(df: DataFrame, text: str = "raw_log") -> DataFrame:
-    words = contains_any(F.lower(F.col(text)), ["error", "fail", "exception"])
+    words = holds_any(F.col(text), ["error", "fail", "exception"])
     return with_fallback(df, F.upper("severity").isin(V.QUESTION_ERROR_SEVERITIES), words)
 
 

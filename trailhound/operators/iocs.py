@@ -93,15 +93,19 @@ def suspicious_entities(df: DataFrame, observed_only: bool = True) -> DataFrame:
 
     Without ``observed_only`` every extracted address and user is added to the list.
     """
-    raw = F.coalesce(F.col("raw_log"), F.lit(""))
-    suspicious = contains_any(F.lower(raw), V.ENTITY_WORDS) | F.coalesce(
+    prepared = df.select(
+        "ts", "severity", F.coalesce(F.col("raw_log"), F.lit("")).alias("_text"),
+        F.lower(F.coalesce(F.col("raw_log"), F.lit(""))).alias("_lower"))
+    suspicious = contains_any(F.col("_lower"), V.ENTITY_WORDS) | F.coalesce(
         F.upper("severity").isin(V.ENTITY_SEVERITIES), F.lit(False))
-    user = first_match(raw, V.ENTITY_USER)
-    rows = df.filter(suspicious).select("ts", F.explode(F.array(
-        F.struct(F.lit("ip").alias("kind"), first_match(raw, V.ENTITY_IP).alias("value")),
-        F.struct(F.lit("user").alias("kind"),
-                 F.when(~F.lower(user).isin(V.ENTITY_USER_STOP), user).alias("value")))).alias("_entity"))
-    found = rows.select("ts", "_entity.*").filter("value is not null")
+    ip = first_match(F.col("_text"), V.ENTITY_IP)
+    user = first_match(F.col("_text"), V.ENTITY_USER)
+    named = F.when(~F.lower(user).isin(V.ENTITY_USER_STOP), user)
+    entities = F.when(suspicious, F.array(*[
+        F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in (("ip", ip), ("user", named))]))
+    found = (
+        prepared.select("ts", F.explode(entities).alias("_entity"))
+        .select("ts", "_entity.*").filter("value is not null"))
     if not observed_only:
         extra = extract(df, ["ip", "user"]).select(F.col("first_ts").alias("ts"), "kind", "value")
         found = found.unionByName(extra)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from trailhound import fixed_values as V
 from trailhound.functions.lookup import look_up
-from trailhound.functions.text import all_matches, any_of, first_contained, first_match, pairs_to_map
+from trailhound.functions.text import (
+    all_matches, any_of, first_contained, first_match, packed, pairs_to_map, slots,
+)
 from trailhound.functions.times import parse_time
 
 GENERAL_FIELDS = [
@@ -28,7 +30,9 @@ def parse_kv8(df: DataFrame, line: str = "line") -> DataFrame:
 
 
 def _groups(line: Column, pattern: str, names: list[str]) -> dict[str, Column]:
-    return {n: F.regexp_extract(line, pattern, i + 1) for i, n in enumerate(names)}
+    """Groups of an anchored pattern by name. The regex runs once: the shared array is a common subexpression."""
+    found = slots(packed(line, pattern, [f"${i}" for i in range(1, len(names) + 1)]))
+    return {n: F.get(found, i) for i, n in enumerate(names)}
 
 
 def _layout_fields(line: Column, layout: str) -> dict[str, Column]:
@@ -222,47 +226,52 @@ def input_format(df: DataFrame, line: str = "line") -> DataFrame:
     return counted.select(chosen.alias("_c")).filter("_c is not null").select("_c.*")
 
 
-def parse_any(df: DataFrame, line: str = "line", year: int = 2024) -> DataFrame:
-    """Parse a mixed input row by row into the general fields, one layout per row."""
-    text = F.col(line)
+# where the general fields of an anchored layout come from: replacement texts over the groups of its pattern
+_GENERAL_SLOTS = {
+    "syslog": (V.SYSLOG, {"timestamp": "$2", "severity": "$1", "host": "$3", "process": "$4", "message": "$6"}),
+    "clf": (V.CLF, {
+        "timestamp": "$3", "source_ip": "$1", "user_name": "$2", "status_code": "$7", "message": "$4 $5"}),
+    "iso_pipe": (V.ISO_PIPE, {"timestamp": "$1", "severity": "$2", "source": "$3", "message": "$4"}),
+    "space_pipe": (V.SPACE_PIPE, {"timestamp": "$1", "severity": "$2", "source": "$3", "message": "$4"}),
+    "comma_ms": (V.COMMA_MS, {"timestamp": "$1", "severity": "$2", "source": "$3", "message": "$4"}),
+    "sev_pipe": (V.SEV_PIPE, {"severity": "$1", "source": "$2", "message": "$3"}),
+    "space_plain": (V.SPACE_PLAIN, {"timestamp": "$1", "severity": "$2", "source": "$3", "message": "$4"}),
+    "wazuh": (V.WAZUH, {"timestamp": "$1", "severity": "$2", "source": "$3", "message": "$4"}),
+    "iis": (V.IIS, {"timestamp": "$1 $2", "user_name": "$6", "source_ip": "$7", "message": "$3 $4"}),
+    "syslog_nopri": (V.SYSLOG_NOPRI, {"timestamp": "$1", "host": "$2", "process": "$3", "message": "$4"}),
+}
 
-    def general(**fields: Column) -> Column:
-        none = F.lit(None).cast("string")
-        return F.struct(*[fields.get(n, none).alias(n) for n in GENERAL_FIELDS])
-
-    def anchored(layout: str) -> Column:
-        return general(**_layout_fields(text, layout))
-
-    syslog = _groups(text, V.SYSLOG, ["priority", "timestamp", "host", "process", "pid", "message"])
-    iis = _groups(text, V.IIS, ["date", "time", "method", "uri", "uri_query", "user_name", "source_ip"])
-    clf = _groups(text, V.CLF, ["source_ip", "user_name", "timestamp", "method", "uri", "protocol", "status_code"])
-    nopri = _groups(text, V.SYSLOG_NOPRI, ["timestamp", "host", "process", "message"])
-    wazuh = _groups(text, V.WAZUH, ["timestamp", "severity", "source", "message"])
-    kv = kv_fields(text)
-    by_layout = {
-        "syslog": general(
-            severity=F.upper(syslog_severity(syslog["priority"].try_cast("int"))), timestamp=syslog["timestamp"],
-            host=syslog["host"], process=syslog["process"], message=syslog["message"]),
-        "clf": general(
-            source_ip=clf["source_ip"], user_name=clf["user_name"], timestamp=clf["timestamp"],
-            status_code=clf["status_code"], message=F.concat_ws(" ", clf["method"], clf["uri"])),
-        "iso_pipe": anchored("iso_pipe"), "space_pipe": anchored("space_pipe"),
-        "comma_ms": anchored("comma_ms"), "sev_pipe": anchored("sev_pipe"),
-        "space_plain": anchored("space_plain"), "wazuh": general(**wazuh),
-        "iis": general(
-            timestamp=F.concat_ws(" ", iis["date"], iis["time"]), user_name=iis["user_name"],
-            source_ip=iis["source_ip"], message=F.concat_ws(" ", iis["method"], iis["uri"])),
-        "syslog_nopri": general(**nopri), "kv": general(**kv),
-    }
-    fallback = general(
-        timestamp=F.translate(first_match(text, V.TS_ANYWHERE_MS), ",", "."),
-        severity=F.upper(first_match(text, V.SEV_ANYWHERE)), message=text)
-    tag = F.col("line_format")
-    chosen = None
-    for layout, fields in by_layout.items():
+
+def parse_any(df: DataFrame, line: str = "line", year: int = 2024) -> DataFrame:
+    """Parse a mixed input row by row into the general fields.
+
+    A row is tagged with its layout, then rewritten once into the same slots whatever the layout; only key=value
+    lines and lines without a layout are searched field by field.
+    """
+    text, tag = F.col(line), F.col("line_format")
+    rewritten = None
+    for layout, (pattern, sources) in _GENERAL_SLOTS.items():
+        slot_text = packed(text, pattern, [sources.get(n, "") for n in GENERAL_FIELDS])
         test = tag == layout
-        chosen = F.when(test, fields) if chosen is None else chosen.when(test, fields)
-    tagged = tag_format(df, line).withColumn("_f", chosen.otherwise(fallback))
-    return tagged.select(
-        *[c for c in tagged.columns if c != "_f"], *[F.col(f"_f.{n}").alias(n) for n in GENERAL_FIELDS]
-    ).withColumn("ts_parsed", parse_time(F.col("timestamp"), year))
+        rewritten = F.when(test, slot_text) if rewritten is None else rewritten.when(test, slot_text)
+    searched = kv_fields(text)
+    searched["host"] = first_match(text, r"host=([a-zA-Z0-9_-]+)")
+    loose = {
+        "timestamp": first_match(text, V.TS_ANYWHERE_MS), "severity": first_match(text, V.SEV_ANYWHERE),
+        "message": text}
+    fields = {}
+    for i, name in enumerate(GENERAL_FIELDS):
+        value = F.nullif(F.trim(F.get("_slots", F.lit(i))), F.lit(""))
+        if name in searched:
+            value = F.when(tag == "kv", searched[name]).otherwise(value)
+        if name in loose:
+            value = F.when(tag.isin("sev_anywhere", "raw", "json"), loose[name]).otherwise(value)
+        fields[name] = value
+    number = F.when(tag == "syslog", fields["severity"]).try_cast("int")
+    fields["severity"] = F.upper(F.when(tag == "syslog", syslog_severity(number)).otherwise(fields["severity"]))
+    fields["timestamp"] = F.translate(fields["timestamp"], ",", ".")
+    tagged = tag_format(df, line)
+    return (
+        tagged.withColumn("_slots", slots(rewritten))
+        .select(*tagged.columns, *[c.alias(n) for n, c in fields.items()])
+        .withColumn("ts_parsed", parse_time(F.col("timestamp"), year)))

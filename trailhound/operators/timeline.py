@@ -113,9 +113,10 @@ def sequences(
 
     One row per second event: pairs are never enumerated, so a key with many events of both kinds stays linear.
     """
-    narrow = df.filter(F.col("ts").isNotNull() & (first | then)).select(
-        "event_id", "ts", *keys, F.when(first, F.struct("ts", "event_id")).alias("_first"), then.alias("_then"))
-    filled = carry_forward(narrow, F.col("_first"), "_prior", keys, before_current=True, ranges=ranges)
+    narrow = df.select("event_id", "ts", *keys, first.alias("_first"), then.alias("_then")).filter(
+        F.col("ts").isNotNull() & (F.col("_first") | F.col("_then")))
+    place = F.when(F.col("_first"), F.struct("ts", "event_id"))
+    filled = carry_forward(narrow, place, "_prior", keys, before_current=True, ranges=ranges)
     gap = seconds_between(F.col("ts"), F.col("_prior.ts"))
     return filled.filter(F.col("_then") & (gap <= F.lit(hours * 3600.0))).select(
         *keys, "event_id", "ts", F.col("_prior.event_id").alias("first_event_id"),

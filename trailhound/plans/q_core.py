@@ -14,6 +14,7 @@ from trailhound.operators import joins as J
 from trailhound.operators import mitre as M
 from trailhound.operators import packets as K
 from trailhound.operators import playbooks as B
+from trailhound.functions.text import holds_any
 from trailhound.operators import timeline as T
 from trailhound.plans.fixtures import table, view
 from trailhound.plans.oracle_views import case_map, in_list, quoted, values, word_test
@@ -233,18 +234,18 @@ where k = 1 and date_diff('microsecond', first_ts, ts) <= {hours} * 3600000000""
 
 @query("jn_sequence", _sequence_sql("authentication_failure_cluster", "privilege_escalation", 12), LE)
 def jn_sequence(spark, d):
-    text = F.lower("raw_log")
+    text = F.col("raw_log")
     return T.sequences(
-        events(spark, d), D.contains_any(text, _CLUSTERS["authentication_failure_cluster"]),
-        D.contains_any(text, _CLUSTERS["privilege_escalation"]), ("host",), 12)
+        events(spark, d), holds_any(text, _CLUSTERS["authentication_failure_cluster"]),
+        holds_any(text, _CLUSTERS["privilege_escalation"]), ("host",), 12)
 
 
 @query("jn_sequence_ransomware", _sequence_sql("privilege_escalation", "ransomware_indicators", 6), LE)
 def jn_sequence_ransomware(spark, d):
-    text = F.lower("raw_log")
+    text = F.col("raw_log")
     return T.sequences(
-        events(spark, d), D.contains_any(text, _CLUSTERS["privilege_escalation"]),
-        D.contains_any(text, _CLUSTERS["ransomware_indicators"]), ("host",), 6)
+        events(spark, d), holds_any(text, _CLUSTERS["privilege_escalation"]),
+        holds_any(text, _CLUSTERS["ransomware_indicators"]), ("host",), 6)
 
 
 # --- aggregations -------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trailhound import fixed_values as V
+from trailhound.functions.text import holds_any
 from trailhound.operators import aggregates as A
 from trailhound.operators import detect as D
 from trailhound.operators import iocs as I
@@ -179,7 +180,7 @@ def st_session(spark, d):
 select host, event_type from log_events where {word_test("raw_log", V.AUTH_FAIL_WORDS)} group by 1, 2""", LE)
 def st_dedupe(spark, d):
     """All of the table arrives in one batch here, so each alert key is kept once."""
-    alerts = _stream(spark, d).filter(D.contains_any(F.lower("raw_log"), V.AUTH_FAIL_WORDS))
+    alerts = _stream(spark, d).filter(holds_any(F.col("raw_log"), V.AUTH_FAIL_WORDS))
     return _run(spark, ST.first_alerts(alerts.select("ts", "host", "event_type"), ["host", "event_type"])).select(
         "host", "event_type")
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailhound import fixed_values as V
-from trailhound.functions.text import contains_any
+from trailhound.functions.text import holds_any
 from trailhound.operators.parse import parse_kv8
 
 
@@ -29,7 +29,7 @@ def ingest(df: DataFrame, line: str = "line") -> DataFrame:
 
 def brute_force(df: DataFrame, window: str = "10 minutes", slide: str = "5 minutes", minimum: int = V.BRUTE_FORCE_MIN, delay: str = "10 minutes") -> DataFrame:
     """Authentication failures per address in sliding windows."""
-    fails = df.filter(contains_any(F.lower("raw_log"), V.AUTH_FAIL_WORDS) & F.col("source_ip").isNotNull())
+    fails = df.filter(holds_any(F.col("raw_log"), V.AUTH_FAIL_WORDS) & F.col("source_ip").isNotNull())
     return (
         with_event_time(fails, delay).groupBy("source_ip", F.window("ts", window, slide).alias("w"))
         .agg(F.count(F.lit(1)).alias("failed_attempts")).filter(F.col("failed_attempts") > minimum)
