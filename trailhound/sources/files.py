@@ -23,15 +23,21 @@ def sniff_delimiter(head: str) -> str:
     return max(V.CSV_DELIMITERS, key=head.count)
 
 
-def _paths_by_encoding(spark: SparkSession, paths: str | list[str]) -> dict[str, list[str]]:
-    """Files that are not valid UTF-8 are read in the fallback encoding. The result is a part of the file list
-    the driver holds anyway to plan the scan."""
-    seen = (
-        spark.read.text(paths).select(F.col("_metadata.file_path").alias("p"), F.is_valid_utf8("value").alias("ok"))
-        .groupBy("p").agg(F.min("ok").alias("ok")).collect())
-    out: dict[str, list[str]] = {}
+def _csv_layouts(spark: SparkSession, paths: str | list[str], header: bool) -> dict[tuple[str, str, str], list[str]]:
+    """Files by encoding, delimiter and header line, from one pass that keeps one row per file.
+
+    A file that is not valid UTF-8 is read in the fallback encoding. The result is no larger than the file list,
+    which the driver holds anyway to plan the scan.
+    """
+    first = F.when(F.col("block_start") == 0, F.col("_id"))
+    seen = _lines(spark, paths).groupBy("file_path").agg(
+        F.min(F.is_valid_utf8("value")).alias("ok"), F.min_by("value", first).alias("head")).collect()
+    out: dict[tuple[str, str, str], list[str]] = {}
     for row in seen:
-        out.setdefault("UTF-8" if row["ok"] else FALLBACK_ENCODING, []).append(row["p"])
+        delimiter = sniff_delimiter(row["head"])
+        layout = row["head"] if header else str(row["head"].count(delimiter))
+        key = ("UTF-8" if row["ok"] else FALLBACK_ENCODING, delimiter, layout)
+        out.setdefault(key, []).append(row["file_path"])
     return out
 
 
@@ -39,15 +45,20 @@ def read_csv(
     spark: SparkSession, paths: str | list[str], encoding: str | None = None, delimiter: str | None = None,
     header: bool = True, schema: T.StructType | str | None = None,
 ) -> DataFrame:
-    """CSV with a sniffed delimiter. ``encoding=None`` tests every file for UTF-8, which costs one pass; naming
-    the encoding saves it. Without a schema all columns are text, so no inference pass is made."""
-    if delimiter is None:
-        first = spark.read.text(paths).limit(1).first()
-        delimiter = sniff_delimiter(first["value"] if first else "")
-    groups = {encoding: paths} if encoding else _paths_by_encoding(spark, paths)
+    """CSV files, each with its own encoding, delimiter and header; files that agree are read together.
+
+    Finding these out costs one pass over the text. With ``encoding`` and ``delimiter`` given there is none, and all
+    files must then share a header. Without a schema all columns are text, so no inference pass is made.
+    """
+    if encoding and delimiter:
+        groups = {(encoding, delimiter, ""): paths}
+    else:
+        groups = _csv_layouts(spark, paths, header)
     frames = []
-    for name, files in groups.items():
-        reader = spark.read.option("sep", delimiter).option("header", header).option("encoding", name)
+    for (found_encoding, found_delimiter, _), files in sorted(groups.items()):
+        reader = (
+            spark.read.option("sep", delimiter or found_delimiter).option("header", header)
+            .option("encoding", encoding or found_encoding))
         if schema is not None:
             reader = reader.schema(schema)
         frames.append(reader.csv(files))
