@@ -127,51 +127,74 @@ def severity_profile(df: DataFrame, by: tuple[str, ...] = (), text: str = "raw_l
 
 
 def group_profile(profile: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    return profile.groupBy(*by).agg(*[
-        F.sum(c).alias(c) for c in ("n_events", "n_auth_fail", "n_off_hours", "n_timed")])
+    """The severity profile folded to one row per group, with the counts of the severities that raise an anomaly."""
+    def of(severity: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("severity") == severity, F.col("n_events"))), F.lit(0))
 
+    return profile.groupBy(*by).agg(
+        *[F.sum(c).alias(c) for c in ("n_auth_fail", "n_off_hours", "n_timed")],
+        *[of(s).alias(f"n_{s.lower()}") for s in V.HIGH_ANOMALY_SEVERITIES],
+        F.sum("n_events").alias("n_events"))
 
-def _anomaly(df: DataFrame, by: tuple[str, ...], kind: Column, severity: Column, details: Column, metric: Column):
-    fields = {
-        "finding_type": kind, "list_name": F.lit("anomalies"), "severity": severity,
-        "event_id": F.lit(None).cast("bigint"), "ts": F.lit(None).cast("timestamp_ntz"),
-        "details": details, "metric": metric.cast("double"),
+
+def _anomaly(test: Column, kind: str, severity: str, details: Column, metric: Column) -> Column:
+    return F.when(test, F.struct(
+        F.lit(kind).alias("finding_type"), F.lit(severity).alias("severity"), details.alias("details"),
+        metric.cast("double").alias("metric")))
+
+
+def _severity_entries() -> list[Column]:
+    out = []
+    for severity in V.HIGH_ANOMALY_SEVERITIES:
+        n = F.col(f"n_{severity.lower()}")
+        level = "CRITICAL" if severity in V.CRITICAL_ANOMALY_SEVERITIES else "HIGH"
+        text = F.concat(n.cast("string"), F.lit(f" {severity} severity events detected"))
+        out.append(_anomaly(n > 0, f"high_severity_{severity.lower()}_events", level, text, n))
+    return out
+
+
+def _brute_force_entry(minimum: int) -> Column:
+    n = F.col("n_auth_fail")
+    text = F.concat(n.cast("string"), F.lit(" authentication failure events detected"))
+    return _anomaly(n > minimum, "brute_force_suspected", "HIGH", text, n)
+
+
+def _off_hours_entry(share: float) -> Column:
+    n, total = F.col("n_off_hours"), F.col("n_timed")
+    text = F.concat(n.cast("string"), F.lit(" events occurred during off-hours"))
+    return _anomaly(
+        n > total * F.lit(share), "off_hours_activity", "MEDIUM", text, F.round(n / total * F.lit(100.0), 6))
+
+
+def _raised(groups: DataFrame, by: tuple[str, ...], entries: list[Column]) -> DataFrame:
+    """The entries that fire, one row each: all of them come from the same row of counts."""
+    none = F.lit(None)
+    fixed = {
+        "list_name": F.lit("anomalies"), "event_id": none.cast("bigint"), "ts": none.cast("timestamp_ntz"),
+        **{c: F.col(c) if c in by else none.cast("string") for c in ("user_name", "source_ip", "host")},
+        **{c: F.col(f"_raised.{c}") for c in ("finding_type", "severity", "details", "metric")},
     }
-    for c in ("user_name", "source_ip", "host"):
-        fields[c] = F.col(c) if c in by else F.lit(None).cast("string")
-    return df.select(*[fields[c].alias(c) for c in FINDING_COLUMNS])
+    return (
+        groups.select(*by, F.explode(F.array(*entries)).alias("_raised")).filter("_raised is not null")
+        .select(*[fixed[c].alias(c) for c in FINDING_COLUMNS]))
 
 
 def high_severity_anomalies(profile: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    severity, n = F.col("severity"), F.col("n_events")
-    level = F.when(severity.isin(V.CRITICAL_ANOMALY_SEVERITIES), "CRITICAL").otherwise("HIGH")
-    return _anomaly(
-        profile.filter(severity.isin(V.HIGH_ANOMALY_SEVERITIES)), by,
-        F.concat(F.lit("high_severity_"), F.lower(severity), F.lit("_events")), level,
-        F.concat(n.cast("string"), F.lit(" "), severity, F.lit(" severity events detected")), n)
+    return _raised(group_profile(profile, by), by, _severity_entries())
 
 
 def brute_force_anomaly(groups: DataFrame, by: tuple[str, ...] = (), minimum: int = V.BRUTE_FORCE_MIN) -> DataFrame:
-    n = F.col("n_auth_fail")
-    return _anomaly(
-        groups.filter(n > minimum), by, F.lit("brute_force_suspected"), F.lit("HIGH"),
-        F.concat(n.cast("string"), F.lit(" authentication failure events detected")), n)
+    return _raised(groups, by, [_brute_force_entry(minimum)])
 
 
 def off_hours_anomaly(groups: DataFrame, by: tuple[str, ...] = (), share: float = V.OFF_HOURS_SHARE) -> DataFrame:
-    n, total = F.col("n_off_hours"), F.col("n_timed")
-    return _anomaly(
-        groups.filter(n > total * F.lit(share)), by, F.lit("off_hours_activity"), F.lit("MEDIUM"),
-        F.concat(n.cast("string"), F.lit(" events occurred during off-hours")),
-        F.round(n / total * F.lit(100.0), 6))
+    return _raised(groups, by, [_off_hours_entry(share)])
 
 
 def aggregate_anomalies(profile: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    groups = group_profile(profile, by)
-    return (
-        high_severity_anomalies(profile, by)
-        .unionByName(brute_force_anomaly(groups, by)).unionByName(off_hours_anomaly(groups, by))
-    )
+    """All anomalies that come from counts, in one pass over the events."""
+    return _raised(group_profile(profile, by), by, [
+        *_severity_entries(), _brute_force_entry(V.BRUTE_FORCE_MIN), _off_hours_entry(V.OFF_HOURS_SHARE)])
 
 
 def ioc_matches(df: DataFrame, feed: DataFrame, text: str = "raw_log") -> DataFrame:

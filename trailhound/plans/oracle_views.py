@@ -57,7 +57,26 @@ def _simple(kind: str, list_name: str, severity: str, test: str) -> str:
             f"{_BASE} from log_events where {test}")
 
 
+def _ioc_view(parts, where: str) -> str:
+    return f"""
+select value, count(distinct event_id) as n_events, min(ts) as first_ts, max(ts) as last_ts
+from (select event_id, ts, unnest(flatten([{", ".join(parts)}])) as value from log_events) x where {where} group by value"""
+
+
 ORACLE_VIEWS = {
+    "user_iocs": _ioc_view([
+        r"regexp_extract_all(raw_log, '(?i)user[=:]\s*([\w-]+)', 1)",
+        r"regexp_extract_all(raw_log, '(?i)username[=:]\s*(\w+)', 1)",
+        r"regexp_extract_all(raw_log, '(?i)account[=:]\s*(\w+)', 1)",
+        r"regexp_extract_all(raw_log, '(?i)user\s+(\w+)', 1)",
+        r"regexp_extract_all(raw_log, '(?i)user_id[=:]\s*(\w+)', 1)",
+        r"regexp_extract_all(raw_log, '(?i)u(\d+)', 1)", "[user_name]"],
+        f"value is not null and lower(value) not in {in_list(V.USER_STOP)}"),
+    "host_iocs": _ioc_view([
+        r"regexp_extract_all(raw_log, '(?i)(?:host|server|node|computer|hostname)[=:]\s*(\w+(?:[-\w]+)*)', 1)", "[host]"],
+        "value is not null and lower(value) not in ('null', 'none', 'unknown')"),
+    "service_iocs": _ioc_view([
+        r"regexp_extract_all(raw_log, '(?i)service[=:]\s*(\w+(?:[-\w]+)*)', 1)", "[source]"], "value is not null"),
     "keyword_rules": values(
         [(k, s, n, w) for k, s, n, words in V.KEYWORD_RULES for w in words],
         "finding_type, severity, list_name, word"),
@@ -162,7 +181,7 @@ ORDER = [
     "log_events", "log_lines", "packets", "assets", "ioc_feed", "keyword_rules", "keyword_findings", "row_findings",
     "anomaly_findings", "findings", "pattern_counts", "pattern_counts_by_host", "suspicious_patterns",
     "finding_techniques", "techniques", "tactics", "mapped", "playbooks", "playbook_steps", "playbook_substrings",
-    "finding_playbooks", "scored_findings", "ip_iocs",
+    "finding_playbooks", "scored_findings", "ip_iocs", "user_iocs", "host_iocs", "service_iocs",
 ]
 NEEDS = {
     "keyword_findings": ["log_events", "keyword_rules"], "row_findings": ["log_events", "keyword_findings"],
@@ -170,7 +189,8 @@ NEEDS = {
     "pattern_counts": ["log_events"], "pattern_counts_by_host": ["log_events"],
     "suspicious_patterns": ["pattern_counts"], "mapped": ["findings", "finding_techniques", "techniques", "tactics"],
     "finding_playbooks": ["findings", "playbook_substrings"], "scored_findings": ["findings"],
-    "ip_iocs": ["log_events"],
+    "ip_iocs": ["log_events"], "user_iocs": ["log_events"], "host_iocs": ["log_events"],
+    "service_iocs": ["log_events"],
 }
 
 

@@ -115,15 +115,16 @@ def det_ioc(spark, d):
     return D.ioc_matches(events(spark, d), view(spark, d, "ioc_feed")).select("event_id", "matched", "details")
 
 
-@query("det_ioc_domain", """
-with hosts as (select distinct lower(regexp_extract(url, '^https?://([^/]+)', 1)) as indicator from pages where page_id % 3 = 0)
-select page_id as event_id, lower(regexp_extract(url, '^https?://([^/]+)', 1)) as matched from pages
-where lower(regexp_extract(url, '^https?://([^/]+)', 1)) in (select indicator from hosts)""")
+_URL_HOST = "lower(regexp_extract(url, '^https?://([^/]+)', 1))"
+
+
+@query("det_ioc_domain", f"""
+select page_id as event_id, {_URL_HOST} as matched from pages where {_URL_HOST} like '%.net'""")
 def det_ioc_domain(spark, d):
-    """Domain matches: page addresses against a feed of domains taken from some of the pages."""
+    """Domain matches: page addresses against a feed of the domains under one top-level domain."""
     p = table(spark, d, "pages")
     host = F.lower(F.regexp_extract("url", r"^https?://([^/]+)", 1))
-    feed = p.filter("page_id % 3 = 0").select(host.alias("indicator"), F.lit("domain").alias("kind"))
+    feed = p.filter(host.endswith(".net")).select(host.alias("indicator"), F.lit("domain").alias("kind"))
     none = F.lit(None)
     rows = p.select(
         F.col("page_id").alias("event_id"), none.cast("timestamp_ntz").alias("ts"), none.cast("string").alias("user_name"),
@@ -241,26 +242,15 @@ def ioc_ip_documents(spark, d):
     return I.extract(table(spark, d, "documents"), ["ip"], "text", None).select("value", "n_events")
 
 
-def _ioc_query(name, kind, parts, where):
-    lists = ", ".join(parts)
-
-    @query(name, f"""
-select value, count(distinct event_id) as n_events, min(ts) as first_ts, max(ts) as last_ts
-from (select event_id, ts, unnest(flatten([{lists}])) as value from log_events) x where {where} group by value""", LE)
+def _ioc_query(name, kind):
+    @query(name, f"select value, n_events, first_ts, last_ts from {kind}_iocs", (f"{kind}_iocs",))
     def run(spark, d):
         return I.extract(events(spark, d), [kind]).drop("kind")
 
 
-_ioc_query("ioc_user", "user", [
-    r"regexp_extract_all(raw_log, '(?i)user[=:]\s*([\w-]+)', 1)", r"regexp_extract_all(raw_log, '(?i)username[=:]\s*(\w+)', 1)",
-    r"regexp_extract_all(raw_log, '(?i)account[=:]\s*(\w+)', 1)", r"regexp_extract_all(raw_log, '(?i)user\s+(\w+)', 1)",
-    r"regexp_extract_all(raw_log, '(?i)user_id[=:]\s*(\w+)', 1)", r"regexp_extract_all(raw_log, '(?i)u(\d+)', 1)",
-    "[user_name]"], f"value is not null and lower(value) not in {in_list(V.USER_STOP)}")
-_ioc_query("ioc_host", "host", [
-    r"regexp_extract_all(raw_log, '(?i)(?:host|server|node|computer|hostname)[=:]\s*(\w+(?:[-\w]+)*)', 1)", "[host]"],
-    "value is not null and lower(value) not in ('null', 'none', 'unknown')")
-_ioc_query("ioc_service", "service", [r"regexp_extract_all(raw_log, '(?i)service[=:]\s*(\w+(?:[-\w]+)*)', 1)", "[source]"],
-           "value is not null")
+_ioc_query("ioc_user", "user")
+_ioc_query("ioc_host", "host")
+_ioc_query("ioc_service", "service")
 
 
 @query("ioc_command", r"""
@@ -283,12 +273,13 @@ def ioc_domain(spark, d):
     return I.extract(texts, ["domain"], "t", None).select("value", "n_events")
 
 
-@query("ioc_summary", rf"""
-select 'ip' as kind, count(*) as n_values from ip_iocs
-union all select 'host', count(distinct host) from log_events
-union all select 'service', count(distinct source) from log_events""", ("ip_iocs", "log_events"))
+ALL_IOCS = ("ip_iocs", "user_iocs", "host_iocs", "service_iocs")
+
+
+@query("ioc_summary", " union all ".join(
+    f"select '{k}' as kind, count(*) as n_values from {k}_iocs" for k in ("ip", "user", "host", "service")), ALL_IOCS)
 def ioc_summary(spark, d):
-    return I.kind_counts(I.extract(events(spark, d), ["ip", "host", "service"]))
+    return I.kind_counts(I.extract(events(spark, d), ["ip", "user", "host", "service"]))
 
 
 _SUSPECT = f"({word_test('raw_log', V.ENTITY_WORDS)} or severity in {in_list(V.ENTITY_SEVERITIES)})"
@@ -304,12 +295,11 @@ def ent_suspicious(spark, d):
 @query("ent_suspicious_all", f"""
 select kind, value, min(first_ts) as first_ts from (
  select 'ip' as kind, source_ip as value, min(ts) as first_ts from log_events where {_SUSPECT} group by 2
- union all select 'user', user_name, min(ts) from log_events group by 2
- union all select 'ip', value, first_ts from ip_iocs) x group by 1, 2""", ("log_events", "ip_iocs"))
+ union all select 'user', user_name, min(ts) from log_events where {_SUSPECT} group by 2
+ union all select 'ip', value, first_ts from ip_iocs union all select 'user', value, first_ts from user_iocs) x group by 1, 2""",
+       ("log_events", "ip_iocs", "user_iocs"))
 def ent_suspicious_all(spark, d):
-    found = I.suspicious_entities(events(spark, d), observed_only=False)
-    users = events(spark, d).select(F.col("user_name").alias("value")).distinct()
-    return found.filter("kind = 'ip'").unionByName(found.filter("kind = 'user'").join(users, "value", "left_semi"))
+    return I.suspicious_entities(events(spark, d), observed_only=False)
 
 
 def _dash(kind, column):
@@ -323,14 +313,9 @@ def ent_dash(spark, d):
 
 
 @query("ent_assets", """
-select 'host' as kind, value, count(*) as n_events, cast(null as varchar) as status from (
- select event_id, host as value from log_events union select event_id, 'srv-1' from log_events where contains(raw_log, '/node:srv-1')) h group by 2
-union all select 'service', source, count(*), case when source in ('DB-PRIMARY', 'SECURITY') then 'IMPACTED' else 'MONITORING' end
- from (select case when source = 'security' then 'SECURITY' else source end as source from log_events) s group by 2
+select 'host' as kind, value, n_events, cast(null as varchar) as status from host_iocs
+union all select 'service', value, n_events, case when value in ('DB-PRIMARY', 'SECURITY') then 'IMPACTED' else 'MONITORING' end from service_iocs
 union all select 'ip', value, n_events, null from ip_iocs
-union all select 'user', user_name, count(*), null from log_events where user_name like 'user%' or user_name in ('admin', 'svc-reports') group by 2""",
-       ("log_events", "ip_iocs"))
+union all select 'user', value, n_events, null from user_iocs""", ALL_IOCS)
 def ent_assets(spark, d):
-    e = events(spark, d).withColumn("source", F.when(F.col("source") == "security", "SECURITY").otherwise(F.col("source")))
-    out = I.affected_assets(e).select("kind", "value", "n_events", "status")
-    return out
+    return I.affected_assets(events(spark, d)).select("kind", "value", "n_events", "status")

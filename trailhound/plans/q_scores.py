@@ -449,17 +449,15 @@ def chn_build(spark, d):
     return chain.withColumns({c: F.array_join(c, ",") for c in ("phases", "techniques")})
 
 
-def _first_five(kind, column, where="true"):
-    return f"""select '{kind}' as kind, row_number() over (order by f, v) as rank, v as value from (
- select {column} as v, min(ts) as f from log_events where {where} group by 1 order by f, v limit 5) {kind}s"""
+def _first_five(kind):
+    return f"""select '{kind}' as kind, row_number() over (order by first_ts, value) as rank, value from (
+ select value, first_ts from {kind}_iocs order by first_ts, value limit 5) {kind}s"""
 
 
-@query("chn_assets", " union all ".join([
-    _first_five("host", "host"), _first_five("service", "source"), _first_five("ip", "source_ip", "source_ip like '185.%'"),
-    _first_five("user", "user_name")]), LE)
+@query("chn_assets", " union all ".join(_first_five(k) for k in ("host", "service", "ip", "user")),
+       ("ip_iocs", "user_iocs", "host_iocs", "service_iocs"))
 def chn_assets(spark, d):
-    return C.chain_assets(I.extract(events(spark, d).withColumn(
-        "raw_log", F.regexp_replace("raw_log", r"^.*? user=", "user=")), ["user", "host", "service", "ip"]))
+    return C.chain_assets(I.extract(events(spark, d), ["user", "host", "service", "ip"]))
 
 
 @query("chn_class", f"""
