@@ -28,7 +28,7 @@ HEADLINE = [
     "ioc_ip", "ioc_user", "ioc_ip_documents", "win_phase", "win_phase_global", "jn_sequence", "jn_ioc_semi",
     "agg_terms", "scr_detector", "scr_overall_by_host", "scr_asset", "mit_map", "pb_plan",
 ]
-RUNS = 3
+RUNS = int(os.environ.get("BENCH_RUNS", "2"))
 
 
 def seconds(action) -> float:

@@ -45,12 +45,12 @@ def flt_error(spark, d):
     return L.errors(events(spark, d)).select(*SHOWN)
 
 
-@query("flt_error_text", f"""
-select {COLS} from log_events where severity not in {in_list(V.QUESTION_ERROR_SEVERITIES)}
- and regexp_matches(raw_log, '(?i)error|fail|exception')""", LE)
+@query("flt_error_text", """
+select event_id, ts, 'INFO' as severity, source_ip, user_name from log_events
+where regexp_matches(raw_log, '(?i)error|fail|exception')""", LE)
 def flt_error_text(spark, d):
     """The fallback: an input without any error severity is searched by text."""
-    quiet = events(spark, d).filter(~F.col("severity").isin(V.QUESTION_ERROR_SEVERITIES))
+    quiet = events(spark, d).withColumn("severity", F.lit("INFO"))
     return L.errors(quiet).select(*SHOWN)
 
 
