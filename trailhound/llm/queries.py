@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trailhound.llm.op2_winnow import op2_winnow
 from trailhound.llm.op3_minhash import op3_minhash
+from trailhound.llm.op4_suffix_array import op4_suffix_array
 from trailhound.llm.op5_bpe import op5_bpe
 from trailhound.llm.op6_embeddings import op6_embeddings
 from trailhound.llm.op7_packing import op7_packing
@@ -17,6 +18,7 @@ from trailhound.llm.op10_sharding import op10_sharding
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_winnow": op2_winnow,
     "op3_minhash": op3_minhash,
+    "op4_suffix_array": op4_suffix_array,
     "op5_bpe": op5_bpe,
     "op6_embeddings": op6_embeddings,
     "op7_packing": op7_packing,
