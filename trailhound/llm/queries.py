@@ -12,6 +12,7 @@ from trailhound.llm.op4_suffix_array import op4_suffix_array
 from trailhound.llm.op5_bpe import op5_bpe
 from trailhound.llm.op6_embeddings import op6_embeddings
 from trailhound.llm.op7_packing import op7_packing
+from trailhound.llm.op8_toxicity import op8_toxicity
 from trailhound.llm.op9_language import op9_language
 from trailhound.llm.op10_sharding import op10_sharding
 
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe": op5_bpe,
     "op6_embeddings": op6_embeddings,
     "op7_packing": op7_packing,
+    "op8_toxicity": op8_toxicity,
     "op9_language": op9_language,
     "op10_sharding": op10_sharding,
 }
