@@ -87,9 +87,10 @@ def grammar() -> list[list[tuple[int, int]]]:
     return out
 
 
-#: Features of a text: how many matched clauses, and what insults of each kind and threats weigh.
+#: Features of a text: how many matched clauses, whether any; matched clauses and their weight for each word of the
+#: text; and what insults of each kind and threats weigh.
 KINDS = ["plain", "aimed", "negated", "reported", "threat"]
-FEATURES = ["clauses", "any", *KINDS]
+FEATURES = ["clauses", "any", "share", "density", *KINDS]
 
 
 def beginnings(word: str) -> Iterator[str]:
@@ -177,7 +178,9 @@ class Model:
                 clauses += 1
                 for kind, weight in found.items():
                     sums[kind] += weight
-        return np.array([math.log1p(clauses), float(clauses > 0), *(math.log1p(max(0.0, sums[k])) for k in KINDS)])
+        spaces = 1 + text.count(" ") + text.count("\n")
+        return np.array([math.log1p(clauses), float(clauses > 0), math.log1p(100 * clauses / spaces),
+                         math.log1p(100 * sum(sums.values()) / spaces), *(math.log1p(max(0.0, sums[k])) for k in KINDS)])
 
     def score(self, text: str) -> float:
         z = float(self.weights[0] + self.features(text) @ self.weights[1:])
