@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trailhound.llm.op1_hmm import op1_hmm
 from trailhound.llm.op2_winnow import op2_winnow
 from trailhound.llm.op3_minhash import op3_minhash
 from trailhound.llm.op4_suffix_array import op4_suffix_array
@@ -17,6 +18,7 @@ from trailhound.llm.op9_language import op9_language
 from trailhound.llm.op10_sharding import op10_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hmm": op1_hmm,
     "op2_winnow": op2_winnow,
     "op3_minhash": op3_minhash,
     "op4_suffix_array": op4_suffix_array,
