@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailhound.llm.common import BASE, byte_steps, cut_hash, mix, partitions, prefix_hash, stored, table
+from trailhound.llm.common import BASE, byte_steps, cut_hash, mix, partitions, prefix_hash, stored, table, texts
 from trailhound.llm.op2_winnow import window_minima
 from trailhound.llm.suffixes import BASE_ROWS, numbered, suffix_ranks
 from trailhound.session import scratch_path
@@ -38,11 +38,15 @@ BLOCK = 32
 
 
 def with_keys(docs: DataFrame) -> DataFrame:
-    """``row_key`` (one for each row), ``doc_id`` and ``text`` in a table bucketed by the key: later joins move no texts."""
+    """``row_key`` (one for each row), ``text``, and ``row`` with all other columns, in a table bucketed by the key.
+
+    Later joins by the key move no texts.
+    """
     spark = docs.sparkSession
     path = scratch_path(spark, "texts")
     name = "texts_" + path[-32:]
-    keyed = docs.select(F.monotonically_increasing_id().alias("row_key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    others = [F.col(c) for c in docs.columns if c != "text"]
+    keyed = docs.select(F.monotonically_increasing_id().alias("row_key"), F.struct(*others).alias("row"), "text")
     keyed.repartition(partitions(spark), "row_key").write.option("path", path).option("compression", "zstd").bucketBy(
         partitions(spark), "row_key").saveAsTable(name)
     return spark.table(name)
@@ -65,7 +69,7 @@ def each_text(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
             yield first + i, data[offsets[i]: offsets[i + 1]]
 
 
-def shared_grams(texts: DataFrame, span: int, gram: int) -> DataFrame:
+def shared_grams(keyed: DataFrame, span: int, gram: int) -> DataFrame:
     """Gram hashes of marks that occur at least twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +79,7 @@ def shared_grams(texts: DataFrame, span: int, gram: int) -> DataFrame:
                 values, counts = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.minimum(counts, 2))], ["gram", "n"])
 
-    return texts.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(
+    return keyed.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(
         F.sum("n").alias("n")).filter("n > 1").select("gram")
 
 
@@ -90,7 +94,7 @@ def run_bounds(at: np.ndarray, hashes: np.ndarray, length: int, span: int, gram:
     return low, high
 
 
-def all_marks(texts: DataFrame, span: int, gram: int) -> DataFrame:
+def all_marks(keyed: DataFrame, span: int, gram: int) -> DataFrame:
     """Each mark with its run of strings (``low`` to ``high``), symbol, and the prefix of symbols that spans ``span`` bytes.
 
     ``far``: how many marks on that prefix ends; ``end``: the byte after it; ``prefix``: its hash. Null where the text ends.
@@ -127,7 +131,7 @@ def all_marks(texts: DataFrame, span: int, gram: int) -> DataFrame:
                     [pa.array(np.concatenate(p)).cast(t) for p, t in zip(parts, types)],
                     ["row_key", "place", "at", "low", "high", "gram", "symbol", "far", "end", "prefix"])
 
-    return texts.select("row_key", "text").mapInArrow(run, schema)
+    return keyed.select("row_key", "text").mapInArrow(run, schema)
 
 
 def repeated_prefixes(live: DataFrame, base_rows: int) -> DataFrame:
@@ -148,10 +152,10 @@ def repeated_prefixes(live: DataFrame, base_rows: int) -> DataFrame:
     return met.filter("prefix = other").select("row_key", "at", "end").distinct()
 
 
-def blocks(texts: DataFrame, runs: DataFrame, span: int, block: int) -> DataFrame:
+def blocks(keyed: DataFrame, runs: DataFrame, span: int, block: int) -> DataFrame:
     """Blocks of strings under live marks: hash of the bytes common to a block (``core``) and of all its bytes (``whole``)."""
     schema = "row_key long, first int, last int, core long, whole long, covered boolean"
-    near = runs.join(texts.select("row_key", "text"), "row_key")
+    near = runs.join(keyed.select("row_key", "text"), "row_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,7 +200,7 @@ def merged(ranges: list) -> np.ndarray:
     return np.stack([rows[fresh, 0], reach[np.append(np.flatnonzero(fresh)[1:] - 1, len(rows) - 1)]], axis=1)
 
 
-def single_strings(texts: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
+def single_strings(keyed: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
     """Every string of the wanted blocks (``first`` to ``last``): ``row_key``, ``start`` and its ``hash``."""
     grouped = wanted.groupBy("row_key").agg(F.collect_list(F.struct("first", "last")).alias("blocks"))
 
@@ -212,20 +216,20 @@ def single_strings(texts: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
                         [pa.array(np.full(len(part), keys[i])), pa.array(part.astype(np.int32)),
                          pa.array(cut_hash(prefix, part, part + span).view(np.int64))], ["row_key", "start", "hash"])
 
-    return grouped.join(texts.select("row_key", "text"), "row_key").select("row_key", "text", "blocks").mapInArrow(
+    return grouped.join(keyed.select("row_key", "text"), "row_key").select("row_key", "text", "blocks").mapInArrow(
         run, "row_key long, start int, hash long")
 
 
-def repeated_ranges(texts: DataFrame, span: int = SPAN, gram: int = GRAM, block: int = BLOCK,
+def repeated_ranges(keyed: DataFrame, span: int = SPAN, gram: int = GRAM, block: int = BLOCK,
                     base_rows: int = BASE_ROWS) -> DataFrame:
     """``row_key``, ``first``, ``last``: ranges of starts of strings that also start elsewhere (overlaps possible)."""
-    shared = stored(shared_grams(texts, span, gram), "grams")
-    live = stored(all_marks(texts, span, gram).join(shared, "gram"), "live")
+    shared = stored(shared_grams(keyed, span, gram), "grams")
+    live = stored(all_marks(keyed, span, gram).join(shared, "gram"), "live")
     inside = stored(repeated_prefixes(live, base_rows).select(
         "row_key", F.col("at").alias("first"), (F.col("end") - span).cast("int").alias("last")), "inside")
     runs = live.groupBy("row_key").agg(F.collect_list(F.struct("at", "low", "high")).alias("marks")).join(
         inside.groupBy("row_key").agg(F.collect_list(F.struct("first", "last")).alias("done")), "row_key", "left")
-    cut = stored(blocks(texts, runs, span, block), "blocks")
+    cut = stored(blocks(keyed, runs, span, block), "blocks")
     # one entry for blocks of equal bytes; of those that share only their common bytes, each stands for itself
     classes = stored(cut.groupBy("core", "whole").agg(
         F.count("*").alias("n"), F.min(F.struct("row_key", "first", "last")).alias("one"),
@@ -236,20 +240,19 @@ def repeated_ranges(texts: DataFrame, span: int = SPAN, gram: int = GRAM, block:
     twice = classes.filter("n > 1 and not covered").select("core", "whole")
     equal = cut.join(stored(twice, "twice"), ["core", "whole"]).select("row_key", "first", "last")
     wanted = stored(classes.join(open_cores, "core").select("one.row_key", "one.first", "one.last"), "wanted")
-    strings = stored(single_strings(texts, wanted, span), "strings")
+    strings = stored(single_strings(keyed, wanted, span), "strings")
     again = stored(strings.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "again")
     alone = strings.join(again, "hash").select("row_key", F.col("start").alias("first"), F.col("start").alias("last"))
     return inside.unionByName(equal).unionByName(alone)
 
 
 def removed_spans(docs: DataFrame, span: int = SPAN, **settings) -> DataFrame:
-    """``row_key``, ``doc_id``, ``text`` and ``spans``: maximal byte ranges [first, last) of the text to remove."""
-    texts = with_keys(docs)
-    ranges = stored(repeated_ranges(texts, span, **settings), "ranges").groupBy("row_key").agg(
+    """``row``, ``text`` and ``spans``: maximal byte ranges [first, last) of the text to remove, none for null text."""
+    keyed = with_keys(docs)
+    ranges = stored(repeated_ranges(keyed, span, **settings), "ranges").groupBy("row_key").agg(
         F.collect_list(F.struct("first", "last")).alias("ranges"))
-    schema = T.StructType([T.StructField("row_key", T.LongType()), T.StructField("doc_id", docs.schema["doc_id"].dataType),
-                           T.StructField("text", T.StringType()), T.StructField("spans", T.ArrayType(T.StructType(
-                               [T.StructField("first", T.LongType()), T.StructField("last", T.LongType())])))])
+    schema = T.StructType([keyed.schema["row"], T.StructField("text", T.StringType()), T.StructField(
+        "spans", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
@@ -261,18 +264,15 @@ def removed_spans(docs: DataFrame, span: int = SPAN, **settings) -> DataFrame:
                 # starts that lie within a span of each other give bytes that touch
                 found = merged([{"first": r["first"], "last": r["last"] + span - 1} for r in x.as_py() or []])
                 spans.append([{"first": int(a), "last": int(b) + 1} for a, b in found])
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("row_key", "doc_id", "text")]
-                                             + [pa.array(spans, kind)], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array(spans, kind)], schema.names)
 
-    return texts.join(ranges, "row_key", "left").select("row_key", "doc_id", "text", "ranges").mapInArrow(run, schema)
+    return keyed.join(ranges, "row_key", "left").select("row", "text", "ranges").mapInArrow(run, schema)
 
 
-def kept_bytes(data: bytes, spans: list[dict]) -> bytes:
-    out, at = [], 0
-    for s in spans:
-        out.append(data[at: s["first"]])
-        at = s["last"]
-    return b"".join([*out, data[at:]])
+def kept_parts(data: bytes, spans: list[dict]) -> list[bytes]:
+    """What stands before, between and after the spans."""
+    ends = [0, *(x for s in spans for x in (s["first"], s["last"])), len(data)]
+    return [data[a:b] for a, b in zip(ends[::2], ends[1::2])]
 
 
 def digests(docs: DataFrame, **settings) -> DataFrame:
@@ -284,16 +284,46 @@ def digests(docs: DataFrame, **settings) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, found in zip(batch.column("text"), batch.column("spans")):
+            for text, found in zip(texts(batch.column("text")), batch.column("spans")):
                 data, spans = text.as_buffer().to_pybytes(), found.as_py()
-                kept = kept_bytes(data, spans)
+                kept = b"".join(kept_parts(data, spans))
                 rows.append((len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
             columns = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.string())],
                 schema.names)
 
-    return removed_spans(docs, **settings).mapInArrow(run, schema)
+    return removed_spans(docs.select("doc_id", "text"), **settings).select(
+        "row.doc_id", "text", "spans").mapInArrow(run, schema)
+
+
+def without_repeats(docs: DataFrame, **settings) -> DataFrame:
+    """``docs`` with repeated passages cut out of ``text``; a character of which any byte is removed goes whole.
+
+    ``n_chars``, where there is such a column, follows the new text. Null text stays null; a text that repeats from end to
+    end becomes empty, and its row stays.
+    """
+    schema = T.StructType([*removed_row(docs), T.StructField("text", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, found in zip(batch.column("text"), batch.column("spans")):
+                spans = found.as_py()
+                out.append("".join(p.decode("utf-8", "ignore") for p in kept_parts(text.as_buffer().to_pybytes(), spans))
+                           if spans else text.as_py())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], schema.names)
+
+    cut = removed_spans(docs, **settings).mapInArrow(run, schema)
+    columns = {c: F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("text").isNull(), columns["n_chars"]).otherwise(
+            F.length("text")).cast(docs.schema["n_chars"].dataType)
+    return cut.select(*[x.alias(c) for c, x in columns.items()])
+
+
+def removed_row(docs: DataFrame) -> list[T.StructField]:
+    return [T.StructField("row", T.StructType([f for f in docs.schema.fields if f.name != "text"]), False)]
 
 
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
