@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from trailhound.session import scratch_path
 
 #: Bytes of text that a task looks at in one numpy step; rows longer than this form a step of their own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
+STEP_ROWS = 1024
 #: Odd multipliers of the polynomial and finishing hashes (fixed values: any odd 64-bit numbers do).
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -46,7 +47,7 @@ def texts(column: pa.Array) -> pa.Array:
 
 
 def byte_steps(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Row ranges of at most ``limit`` bytes: (first row, row after the last, their bytes, row offsets into the bytes)."""
+    """Row ranges of at most ``limit`` bytes and ``STEP_ROWS`` rows: (first row, row after the last, their bytes, row offsets into the bytes)."""
     column = texts(column)
     if not len(column):
         return
@@ -56,6 +57,7 @@ def byte_steps(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int,
     first = 0
     while first < len(column):
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1)
+        last = min(last, first + STEP_ROWS)
         yield first, last, whole[offsets[first]: offsets[last]], offsets[first: last + 1] - offsets[first]
         first = last
 
