@@ -20,7 +20,16 @@ def all_matches(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(group))
 
 
-SLOT = "\uffff"  # a code point that no valid text holds
+SLOT = "\uffff"  # parts slots; where a text holds it, it is written as two other code points meanwhile
+_MARK, _MARK_ITSELF, _MARK_SLOT = "\ufffe", "\ufffe0", "\ufffe1"
+
+
+def _escaped(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit(_MARK), F.lit(_MARK_ITSELF)), F.lit(SLOT), F.lit(_MARK_SLOT))
+
+
+def _restored(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit(_MARK_SLOT), F.lit(SLOT)), F.lit(_MARK_ITSELF), F.lit(_MARK))
 
 
 def packed(text: Column, pattern: str, template: list[str]) -> Column:
@@ -28,11 +37,12 @@ def packed(text: Column, pattern: str, template: list[str]) -> Column:
 
     ``template`` holds one replacement per slot, such as ``$2`` or ``$4 $5``.
     """
-    return F.regexp_replace(text, pattern.removesuffix("$") + ".*", SLOT.join(template))
+    return F.regexp_replace(_escaped(text), pattern.removesuffix("$") + ".*", SLOT.join(template))
 
 
 def slots(packed_text: Column) -> Column:
-    return F.split(packed_text, SLOT)
+    parts = F.split(packed_text, SLOT)
+    return F.when(F.contains(packed_text, F.lit(_MARK)), F.transform(parts, _restored)).otherwise(parts)
 
 
 def hinted_matches(text: Column, lowered: Column, pattern: str, hint: str, group: int = 1) -> Column:

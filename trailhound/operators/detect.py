@@ -200,17 +200,18 @@ def aggregate_anomalies(profile: DataFrame, by: tuple[str, ...] = ()) -> DataFra
 def ioc_matches(df: DataFrame, feed: DataFrame, text: str = "raw_log") -> DataFrame:
     """Events whose address, or any domain in their text, is in the feed.
 
-    The feed is reduced to distinct values. Its join strategy is left to the optimizer, which broadcasts it
-    only while its size is known to be small; beyond that the sort-merge join splits hot keys at run time.
+    A row's address and domains are one array that is unrolled in the scan, so events and feed are each read once. The
+    feed is reduced to distinct values. Its join strategy is left to the optimizer, which broadcasts it only while its
+    size is known to be small; beyond that the sort-merge join splits hot keys at run time.
     """
-    known = feed.select("indicator", "kind").distinct()
-    ips = known.filter("kind = 'ip'").select(F.col("indicator").alias("_value"))
-    domains = known.filter("kind = 'domain'").select(F.col("indicator").alias("_value"))
+    known = feed.filter(F.col("kind").isin("ip", "domain")).select(
+        F.col("kind").alias("_kind"), F.col("indicator").alias("_value")).distinct()
     columns = ["event_id", "ts", "user_name", "source_ip", "host", F.col(text).alias("_text")]
-    by_ip = df.select(*columns, F.col("source_ip").alias("_value")).join(ips, "_value")
+    entry = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
     found = F.array_distinct(F.transform(all_matches(F.col(text), V.DOMAIN_PATTERN, 0), lambda d: F.lower(d)))
-    by_domain = df.select(*columns, F.explode(found).alias("_value")).join(domains, "_value")
-    return by_ip.unionByName(by_domain).select(
+    values = F.concat(F.array(entry("ip", F.col("source_ip"))), F.transform(found, lambda d: entry("domain", d)))
+    return df.select(*columns, F.explode(values).alias("_found")).select(
+        "*", F.col("_found.kind").alias("_kind"), F.col("_found.value").alias("_value")).join(known, ["_kind", "_value"]).select(
         F.lit("ioc_match").alias("finding_type"), F.lit("ioc_matches").alias("list_name"),
         F.lit("HIGH").alias("severity"), "event_id", "ts", "user_name", "source_ip", "host",
         F.substr("_text", F.lit(1), F.lit(200)).alias("details"), F.lit(None).cast("double").alias("metric"),
@@ -269,10 +270,13 @@ def spikes(df: DataFrame, deviations: float = 2.0) -> DataFrame:
     return counts.filter(F.col("n") > limit)
 
 
-def pattern_counts(df: DataFrame, by: tuple[str, ...] = (), text: str = "raw_log") -> DataFrame:
-    """Counts of every pattern cluster in one pass: one row per group."""
-    lowered = F.col(_LOWER)
-    return df.select(*by, "ts", F.lower(F.col(text)).alias(_LOWER)).groupBy(*by).agg(
+def pattern_counts(
+    df: DataFrame, by: tuple[str, ...] = (), text: str = "raw_log", also: dict[str, Column] | None = None,
+) -> DataFrame:
+    """Counts of every pattern cluster in one pass: one row per group. ``also``: further conditions to count rows by."""
+    lowered, also = F.col(_LOWER), also or {}
+    return df.select(*by, "ts", F.lower(F.col(text)).alias(_LOWER), *[c.alias(n) for n, c in also.items()]).groupBy(*by).agg(
+        *[count_where(F.col(n)).alias(n) for n in also],
         *[count_where(contains_any(lowered, words)).alias(name) for name, words, _ in V.PATTERN_CLUSTERS],
         count_where(F.hour("ts").isin(V.NIGHT_HOURS)).alias("off_hours_activity"),
         F.count(F.lit(1)).alias("total_events"),

@@ -146,10 +146,13 @@ def block_list(iocs: DataFrame, n: int = 5) -> DataFrame:
     return iocs.filter("kind = 'ip'").orderBy("first_ts", "value").limit(n).select("value", "first_ts")
 
 
+def external_ip(columns: list[str], text: str = "raw_log") -> Column:
+    """Whether a row holds an address from outside; ``columns``: those that the row has."""
+    raw = F.coalesce(F.col(text), F.lit(""))
+    found = values_of("ip", raw, raw, {"source_ip", "src_ip"} & set(columns))
+    return F.exists(found, lambda v: ~internal(v))
+
+
 def has_external_ip(df: DataFrame, by: tuple[str, ...] = (), text: str = "raw_log") -> DataFrame:
     """Rows per group that hold an address from outside."""
-    columns = {"source_ip", "src_ip"} & set(df.columns)
-    raw = F.coalesce(F.col(text), F.lit(""))
-    found = values_of("ip", raw, raw, columns)
-    outside = F.exists(found, lambda v: ~internal(v))
-    return df.groupBy(*by).agg(count_where(outside).alias("n_external_ip"))
+    return df.groupBy(*by).agg(count_where(external_ip(df.columns, text)).alias("n_external_ip"))

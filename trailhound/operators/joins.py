@@ -11,8 +11,8 @@ from trailhound.session import constant_table
 
 
 def with_dimension(df: DataFrame, dimension: DataFrame, key: str, value: str, default) -> DataFrame:
-    """Equi look-up with a default. The dimension is a fixed table of this package, hence the broadcast."""
-    return df.join(F.broadcast(dimension), key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
+    """Equi look-up with a default; the join strategy follows the dimension's size."""
+    return df.join(dimension, key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
 
 
 def severity_weights(df: DataFrame) -> DataFrame:

@@ -49,7 +49,8 @@ def backfill(df: DataFrame, text: str = "raw_log", per_row: bool = False) -> Dat
     """Fill fields from the raw text.
 
     By default a field is filled only when it is missing or null in every row, and the looser second pattern
-    is used only when the first finds nothing anywhere; one aggregate decides for all fields together.
+    is used only when the first finds nothing anywhere; one aggregate, a subquery of the plan, decides for all fields
+    together.
     ``per_row`` fills each null on its own and needs no aggregate.
     """
     raw = F.col(text)
@@ -62,16 +63,13 @@ def backfill(df: DataFrame, text: str = "raw_log", per_row: bool = False) -> Dat
     have = {n: F.col(n) if n in df.columns else F.lit(None).cast("string") for n in options}
     if per_row:
         return df.withColumns({n: F.coalesce(have[n], *options[n]) for n in options})
-    probe = df.agg(
-        *[F.max(have[n].isNotNull()).alias(f"{n}_have") for n in options],
-        *[F.max(options[n][0].isNotNull()).alias(f"{n}_first") for n in options],
-    ).first()
-    filled = {}
-    for name, choices in options.items():
-        if probe[f"{name}_have"]:
-            continue
-        filled[name] = choices[0] if probe[f"{name}_first"] or len(choices) == 1 else choices[1]
-    return df.withColumns(filled) if filled else df
+    present = lambda c: F.coalesce(F.max(c.isNotNull()), F.lit(False))
+    probe = df.agg(F.struct(
+        *[present(have[n]).alias(f"{n}_have") for n in options],
+        *[present(options[n][0]).alias(f"{n}_first") for n in options]).alias("probe")).scalar()
+    return df.withColumns({
+        name: F.when(probe[f"{name}_have"], have[name]).when(probe[f"{name}_first"], choices[0]).otherwise(choices[-1])
+        for name, choices in options.items()})
 
 
 def coerce_time(df: DataFrame, text: str = "timestamp", name: str = "ts", year: int | None = None) -> DataFrame:
@@ -104,6 +102,51 @@ def describe_event(df: DataFrame, event_id: str = "event_id") -> DataFrame:
     })
 
 
+CANONICAL = {
+    "event_id": "bigint", "ts": "timestamp_ntz", "severity": "string", "severity_norm": "string", "source": "string",
+    "source_ip": "string", "dest_ip": "string", "user_name": "string", "host": "string", "process": "string",
+    "commandline": "string", "message": "string", "event_type": "string", "status_code": "int", "latency_ms": "bigint",
+    "raw_log": "string", "line_number": "bigint", "file_name": "string", "extras": "map<string,string>",
+}
+
+
+def canonical(df: DataFrame, text: str | None = None, year: int | None = None) -> DataFrame:
+    """The canonical event table of any parsed input: its columns are fixed, and those the input lacks are null.
+
+    Columns are found by their aliases. ``ts`` comes from ``ts_parsed`` or the text of ``timestamp``. ``raw_log`` is the
+    column ``text``, or the line, else the message. Rows without an ``event_id`` column get a unique number that follows
+    the order of the input's partitions. Columns of other names go to ``extras`` as text.
+    """
+    text = text or next((c for c in ("raw_log", "line", "value") if c in df.columns), None)
+    named = standardize(df)
+    have = set(named.columns)
+    found: dict[str, Column] = {n: F.col(n) for n in CANONICAL if n in have}
+    if "ts" not in have:
+        times = [F.col("ts_parsed")] if "ts_parsed" in have else []
+        if "timestamp" in have:
+            times.append(parse_time(F.col("timestamp").cast("string"), year))
+        if times:
+            found["ts"] = F.coalesce(*times)
+    if "event_id" not in have:
+        found["event_id"] = F.monotonically_increasing_id()
+    if "severity" in have:
+        found["severity"] = F.upper(F.col("severity").cast("string"))
+        found.setdefault("severity_norm", normalized_severity(F.col("severity")))
+    if text:
+        found["raw_log"] = F.col(standard_name(text))
+    elif "raw_log" not in have and "message" in have:
+        found["raw_log"] = F.col("message")
+    used = {*CANONICAL, "timestamp", "ts_parsed", "line_format", text, *(a for x in V.COLUMN_ALIASES.values() for a in x)}
+    rest = [c for c in named.columns if c not in used]
+    if rest:
+        pairs = F.map_filter(F.create_map(*[x for c in rest for x in (F.lit(c), F.col(f"`{c}`").cast("string"))]),
+                             lambda k, v: v.isNotNull())
+        found["extras"] = F.map_concat(F.map_filter(found["extras"], lambda k, v: ~k.isin(rest)), pairs) \
+            if "extras" in have else pairs
+    cast = lambda c, kind: c.try_cast(kind) if kind in ("bigint", "int") else c.cast(kind)
+    return named.select(*[cast(found.get(n, F.lit(None)), kind).alias(n) for n, kind in CANONICAL.items()])
+
+
 def sort_events(df: DataFrame) -> DataFrame:
     """By time, nulls last, ties by id: a range-partitioned sort with even parts."""
     return df.orderBy(F.asc_nulls_last("ts"), "event_id")

@@ -226,6 +226,16 @@ def input_format(df: DataFrame, line: str = "line") -> DataFrame:
     return counted.select(chosen.alias("_c")).filter("_c is not null").select("_c.*")
 
 
+def input_rows(df: DataFrame, line: str = "line", year: int = 2024) -> DataFrame:
+    """The rows that the family of the whole input (:func:`input_format`) parses, with the general fields."""
+    text = F.col(line)
+    chosen = input_format(df, line).select("input_format").scalar()
+    fits = F.when(chosen == "kv", text.contains("=")).when(chosen == "generic", F.lit(True))
+    for layout in ("json", "syslog_nopri", "wazuh"):
+        fits = fits.when(chosen == layout, layout_test(text, layout))
+    return parse_any(df.filter(fits), line, year)
+
+
 # where the general fields of an anchored layout come from: replacement texts over the groups of its pattern
 _GENERAL_SLOTS = {
     "syslog": (V.SYSLOG, {"timestamp": "$2", "severity": "$1", "host": "$3", "process": "$4", "message": "$6"}),
@@ -242,11 +252,24 @@ _GENERAL_SLOTS = {
 }
 
 
+# names that a general field may have in JSON lines, lower-cased, the first that is there wins
+_JSON_NAMES = {n: V.COLUMN_ALIASES.get(n, [n]) for n in GENERAL_FIELDS} | {
+    "host": ["host", "hostname", "computer"], "event_type": ["event_type", "event"]}
+# keys of key=value lines that are general fields already
+_KV_NAMES = [*V.KV_OPEN_NAMES, "host"]
+
+
+def _json_pairs(text: Column) -> Column:
+    """Lower-cased names and values of a JSON object; nested values are JSON text, anything else gives null."""
+    found = F.from_json(text, "map<string,string>")
+    return F.when(found.isNotNull(), pairs_to_map(F.transform(F.map_keys(found), F.lower), F.map_values(found)))
+
+
 def parse_any(df: DataFrame, line: str = "line", year: int = 2024) -> DataFrame:
-    """Parse a mixed input row by row into the general fields.
+    """Parse a mixed input row by row into the general fields, with what else a row names in ``extras``.
 
     A row is tagged with its layout, then rewritten once into the same slots whatever the layout; only key=value
-    lines and lines without a layout are searched field by field.
+    lines and lines without a layout are searched field by field, and JSON lines are read by name.
     """
     text, tag = F.col(line), F.col("line_format")
     rewritten = None
@@ -266,12 +289,16 @@ def parse_any(df: DataFrame, line: str = "line", year: int = 2024) -> DataFrame:
             value = F.when(tag == "kv", searched[name]).otherwise(value)
         if name in loose:
             value = F.when(tag.isin("sev_anywhere", "raw", "json"), loose[name]).otherwise(value)
-        fields[name] = value
+        named = F.coalesce(*[F.try_element_at("_json", F.lit(k)) for k in _JSON_NAMES[name]])
+        fields[name] = F.when(tag == "json", F.coalesce(named, value)).otherwise(value)
     number = F.when(tag == "syslog", fields["severity"]).try_cast("int")
     fields["severity"] = F.upper(F.when(tag == "syslog", syslog_severity(number)).otherwise(fields["severity"]))
     fields["timestamp"] = F.translate(fields["timestamp"], ",", ".")
     tagged = tag_format(df, line)
     return (
-        tagged.withColumn("_slots", slots(rewritten))
-        .select(*tagged.columns, *[c.alias(n) for n, c in fields.items()])
+        tagged.withColumns({"_slots": slots(rewritten), "_json": F.when(tag == "json", _json_pairs(text)),
+                            "_pairs": F.when(tag == "kv", _open_pairs(text))})
+        .select(*tagged.columns, *[c.alias(n) for n, c in fields.items()], F.coalesce(
+            F.map_filter("_json", lambda k, v: ~k.isin(sorted({a for x in _JSON_NAMES.values() for a in x}))),
+            F.map_filter("_pairs", lambda k, v: ~k.isin(_KV_NAMES))).alias("extras"))
         .withColumn("ts_parsed", parse_time(F.col("timestamp"), year)))

@@ -17,7 +17,8 @@ def playbook_table(spark: SparkSession) -> DataFrame:
     steps: dict[str, list[dict]] = {}
     for key, step, action, command, platform, time in P.CONTAINMENT_STEPS:
         steps.setdefault(key, []).append({
-            "step": step, "action": action, "command": command, "platform": platform, "estimated_time": time})
+            "step": step, "action": action, "command": command, "platform": platform, "estimated_time": time,
+            "alternative": P.STEP_ALTERNATIVES.get((key, step))})
     follow = {key: rest for key, *rest in P.FOLLOW_UP_STEPS}
     rows = [
         (rank, *book, steps[book[0]], *follow[book[0]]) for rank, book in enumerate(P.PLAYBOOKS, 1)]
@@ -92,16 +93,18 @@ def summaries(books: DataFrame) -> DataFrame:
 
 
 def steps(books: DataFrame) -> DataFrame:
-    """Containment, eradication and recovery steps as rows."""
-    containment = books.select("playbook", F.explode("containment_steps").alias("_s")).select(
-        "playbook", F.lit("containment").alias("part"), F.col("_s.step").cast("bigint").alias("step"),
-        F.col("_s.action").alias("action"), F.col("_s.platform").alias("platform"))
-    parts = [containment]
+    """Containment, eradication and recovery steps as rows; only containment steps have more than an action."""
+    details = ["action", "command", "platform", "estimated_time", "alternative"]
+
+    def entry(part: str, step: Column, texts: dict[str, Column]) -> Column:
+        none = F.lit(None).cast("string")
+        return F.struct(F.lit(part).alias("part"), step.cast("bigint").alias("step"),
+                        *[texts.get(c, none).cast("string").alias(c) for c in details])
+
+    rows = [F.transform("containment_steps", lambda s: entry("containment", s["step"], {c: s[c] for c in details}))]
     for part in ("eradication", "recovery"):
-        parts.append(books.select("playbook", F.posexplode(f"{part}_steps").alias("pos", "action")).select(
-            "playbook", F.lit(part).alias("part"), (F.col("pos") + 1).cast("bigint").alias("step"), "action",
-            F.lit(None).cast("string").alias("platform")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+        rows.append(F.transform(f"{part}_steps", lambda a, i: entry(part, i + 1, {"action": a})))  # noqa: B023
+    return books.select("playbook", F.explode(F.concat(*rows)).alias("_s")).select("playbook", "_s.*")
 
 
 def first_steps(books: DataFrame) -> DataFrame:

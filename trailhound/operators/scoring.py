@@ -13,7 +13,7 @@ from trailhound import fixed_values as V
 from trailhound.functions.lookup import banded, count_where, look_up
 from trailhound.functions.times import age_banded, as_time, seconds_between
 from trailhound.operators import chains, detect
-from trailhound.operators.iocs import has_external_ip
+from trailhound.operators.iocs import external_ip
 from trailhound.operators.timeline import score_findings
 
 HOUR, DAY, WEEK, MONTH = 3600, 86400, 604800, 2592000
@@ -315,12 +315,8 @@ def confidence_scores(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def evidence_counts(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Pattern counts together with the rows that hold an outside address."""
-    counts = detect.pattern_counts(df, by)
-    outside = has_external_ip(df, by)
-    if by:
-        return counts.join(outside, list(by))
-    return counts.withColumn("n_external_ip", outside.scalar())
+    """Pattern counts together with the rows that hold an outside address, in one pass. A null key is a group."""
+    return detect.pattern_counts(df, by, also={"n_external_ip": external_ip(df.columns)})
 
 
 def evidence_score(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -154,6 +154,11 @@ left join tactics t on t.tactic = f.tactic""",
         "playbook_rank, playbook, playbook_id, title, playbook_severity, mitre_tactic, mitre_technique, "
         "detection_method, verification"),
     "playbook_steps": values(P.CONTAINMENT_STEPS, "playbook, step, action, command, platform, estimated_time"),
+    "playbook_all_steps": values(
+        [(key, "containment", *rest, P.STEP_ALTERNATIVES.get((key, rest[0]))) for key, *rest in P.CONTAINMENT_STEPS]
+        + [(key, part, i, action, None, None, None, None) for key, *lists in P.FOLLOW_UP_STEPS
+           for part, actions in zip(("eradication", "recovery"), lists) for i, action in enumerate(actions, 1)],
+        "playbook, part, step, action, command, platform, estimated_time, alternative"),
     "playbook_substrings": values(
         [(i, *r) for i, r in enumerate(V.PLAYBOOK_SUBSTRINGS)], "rank, part, playbook"),
     "finding_playbooks": """
@@ -180,7 +185,8 @@ where not regexp_matches(value, '^(10\\.|192\\.168\\.|172\\.|127\\.|0\\.|169\\.2
 ORDER = [
     "log_events", "log_lines", "packets", "assets", "ioc_feed", "keyword_rules", "keyword_findings", "row_findings",
     "anomaly_findings", "findings", "pattern_counts", "pattern_counts_by_host", "suspicious_patterns",
-    "finding_techniques", "techniques", "tactics", "mapped", "playbooks", "playbook_steps", "playbook_substrings",
+    "finding_techniques", "techniques", "tactics", "mapped", "playbooks", "playbook_steps", "playbook_all_steps",
+    "playbook_substrings",
     "finding_playbooks", "scored_findings", "ip_iocs", "user_iocs", "host_iocs", "service_iocs",
 ]
 NEEDS = {

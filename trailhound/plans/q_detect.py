@@ -9,7 +9,9 @@ from trailhound.operators import aggregates as A
 from trailhound.operators import detect as D
 from trailhound.operators import iocs as I
 from trailhound.operators import mitre as M
+from trailhound.operators import normalize as N
 from trailhound.operators import packets as K
+from trailhound.operators import parse as P
 from trailhound.operators import playbooks as B
 from trailhound.operators import timeline as T
 from trailhound.plans.fixtures import table, view
@@ -17,6 +19,8 @@ from trailhound.plans.oracle_views import case_map, in_list, word_test
 from trailhound.plans.q_core import LE, PK, events, findings, packets
 from trailhound.plans.q_parse import WIN_IDS, _windows_ids
 from trailhound.plans.registry import query
+from trailhound.session import scratch_path
+from trailhound.sources import files
 
 FCOLS = "finding_type, list_name, severity, event_id, ts, user_name, source_ip, host, details, metric"
 
@@ -220,6 +224,20 @@ def det_all(spark, d):
     return findings(spark, d)
 
 
+@query("pipe_findings", f"select {FCOLS} from findings", ("findings",))
+def pipe_findings(spark, d):
+    """From text files to findings: lines are read, parsed, made canonical and searched by all detectors."""
+    e = events(spark, d)
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    line = F.to_json(F.struct("event_id", stamp.alias("timestamp"), "severity", "source", "source_ip", "user_name", "host",
+                              F.col("raw_log").alias("message")))
+    path = scratch_path(spark, "lines")
+    e.select(line.alias("value")).write.text(path)
+    parsed = P.parse_any(files.read_text(spark, path, numbered=False), "raw_log")
+    rows = parsed.drop("raw_log").withColumn("event_id", parsed["extras"]["event_id"])
+    return D.detect_all(N.canonical(rows)).select(*D.FINDING_COLUMNS)
+
+
 @query("det_all_feed", """
 select list_name, count(*) as n from (select list_name from findings union all
  select 'ioc_matches' from log_events where source_ip in (select indicator from ioc_feed)) x group by 1""", ("findings", "ioc_feed"))

@@ -115,6 +115,60 @@ def src_auto(spark, d):
         "source_format", "event_id", "severity", "raw_log")
 
 
+@query("src_auto_jsonl", """
+select 'json' as source_format, cast(event_id as varchar) as event_id, host, null as raw_log from log_events
+union all select 'json', cast(event_id as varchar), host, null from log_events
+union all select 'text', null, null, fmt || ' ' || event_id from log_lines""", ("log_events", "log_lines"))
+def src_auto_jsonl(spark, d):
+    """JSON lines, JSON arrays and text in one input: every record of every file comes back."""
+    base = scratch_path(spark, "mixed")
+    rows = view(spark, d, "log_events").select("event_id", "host")
+    rows.write.json(f"{base}/kind=a")
+    rows.select(F.expr("event_id div 50000").alias("doc"), F.to_json(F.struct("event_id", "host")).alias("j")).groupBy("doc").agg(
+        F.concat(F.lit("[\n"), F.array_join(F.collect_list("j"), ",\n"), F.lit("\n]")).alias("value")).select("value").write.option(
+        "lineSep", "\n").text(f"{base}/kind=b")
+    view(spark, d, "log_lines").select(F.concat_ws(" ", "fmt", "event_id").alias("value")).write.text(f"{base}/kind=c")
+    listed = [r["path"] for r in files.file_list(spark, [f"{base}/kind=a", f"{base}/kind=b", f"{base}/kind=c"]).collect()]
+    parts = [files.read_json(spark, [p for p in listed if "kind=c" not in p]).select(
+        F.lit("json").alias("source_format"), F.col("event_id").cast("string").alias("event_id"), "host",
+        F.lit(None).cast("string").alias("raw_log")),
+        files.read_any(spark, f"{base}/kind=c").select(
+            "source_format", F.lit(None).cast("string").alias("event_id"), F.lit(None).cast("string").alias("host"), "raw_log")]
+    return parts[0].unionByName(parts[1])
+
+
+@query("src_csv_any", """
+select cast(event_id as varchar) as event_id, severity, cast(null as varchar) as c0, cast(null as varchar) as c1 from log_events
+union all select null, null, cast(event_id as varchar), host from log_events""", ("log_events",))
+def src_csv_any(spark, d):
+    """Files with a header and files without one, told apart by their first lines."""
+    base = scratch_path(spark, "csv")
+    e = view(spark, d, "log_events")
+    e.select("event_id", "severity").write.option("header", True).csv(f"{base}/kind=a")
+    e.select("event_id", "host").write.option("header", False).csv(f"{base}/kind=b")
+    got = files.read_csv_any(spark, [f"{base}/kind=a", f"{base}/kind=b"])
+    return got.select("event_id", "severity", F.col("_c0").alias("c0"), F.col("_c1").alias("c1"))
+
+
+@query("src_winevent_mixed", """
+select cast(event_id as varchar) as event_id, host as computer, 1 as n_records, 0 as n_rejected from log_events
+union all select cast(event_id as varchar), '', 0, 1 from log_lines""", ("log_events", "log_lines"))
+def src_winevent_mixed(spark, d):
+    """Event records among lines that are none: the others are kept apart and not turned into blank records."""
+    record = F.to_json(F.struct(F.struct(F.struct(
+        F.struct(F.col("event_id").cast("string").alias("#text")).alias("EventID"),
+        F.col("host").alias("Computer")).alias("System")).alias("Event")))
+    other = F.concat(F.lit("no record "), F.col("event_id"))
+    lines = view(spark, d, "log_events").select(record.alias("value")).unionByName(
+        view(spark, d, "log_lines").select(other.alias("value")))
+    text = spark.read.text(_written(lines, "text"))
+    good = files.winevent_columns(text).select("event_id", "computer", F.lit(1).alias("n_records"), F.lit(0).alias("n_rejected"))
+    bad = files.winevent_rejects(text).select(
+        F.regexp_extract("value", r"no record (\d+)", 1).alias("event_id"), F.lit("").alias("computer"),
+        F.lit(0).alias("n_records"), F.lit(1).alias("n_rejected"))
+    return good.unionByName(bad)
+
+
 @query("src_multi", "select 2 * count(*) as n_lines, true as several_files from log_events", ("log_events",))
 def src_multi(spark, d):
     both = files.read_many(spark, [_lines_path(spark, d), _lines_path(spark, d)])
@@ -305,11 +359,13 @@ def prs_generic(spark, d):
 @query("prs_raw", "select event_id, event_id as position, line as raw_log from log_events", ("log_events",))
 def prs_raw(spark, d):
     """Line numbers restart in every file; with the first event of the file they give back the event's place."""
-    numbered = files.read_text(spark, _lines_path(spark, d), base=1)
-    first = view(spark, d, "log_events").select("line", "event_id")
-    found = numbered.join(first, F.col("raw_log") == F.col("line"))
-    starts = found.filter("line_number = 1").select("file_name", F.col("event_id").alias("start"))
-    return found.join(starts, "file_name").select(
+    tagged = view(spark, d, "log_events").select("event_id", F.concat_ws("\t", "event_id", "line").alias("value"))
+    path = _written(tagged.repartitionByRange(8, "event_id").sortWithinPartitions("event_id").select("value"), "text")
+    parts = F.split("raw_log", "\t", 2)
+    found = files.read_text(spark, path, base=1).select(
+        parts[0].cast("bigint").alias("event_id"), parts[1].alias("raw_log"), "line_number", "file_path")
+    starts = found.filter("line_number = 1").select("file_path", F.col("event_id").alias("start"))
+    return found.join(starts, "file_path").select(
         "event_id", (F.col("start") + F.col("line_number") - 1).alias("position"), "raw_log")
 
 
@@ -325,6 +381,27 @@ def prs_cascade_input(spark, d):
     return P.input_format(view(spark, d, "log_lines"))
 
 
+@query("prs_any_json", f"""
+select event_id, {TS} || 'Z' as timestamp, severity, user_name, source_ip, host, host || '-x' as zone from log_events""",
+       ("log_events",))
+def prs_any_json(spark, d):
+    """JSON lines among others: named fields are filled and other names are kept."""
+    e = view(spark, d, "log_events")
+    stamp = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    line = F.to_json(F.struct(stamp.alias("Time"), F.lower("severity").alias("level"), F.col("user_name").alias("account"),
+                              F.col("source_ip").alias("src_ip"), F.col("host").alias("hostname"),
+                              F.concat("host", F.lit("-x")).alias("zone")))
+    got = P.parse_any(e.select("event_id", line.alias("line")))
+    return got.select("event_id", "timestamp", "severity", "user_name", "source_ip", "host", got["extras"]["zone"].alias("zone"))
+
+
+@query("prs_input_rows", """
+select event_id, substr(cast(ts as varchar), 1, 19) as timestamp, 'WARN' as severity from log_lines where fmt = 'wazuh'""", ("log_lines",))
+def prs_input_rows(spark, d):
+    """The rows of the family that wins the whole input."""
+    return P.input_rows(view(spark, d, "log_lines").select("event_id", "line")).select("event_id", "timestamp", "severity")
+
+
 @query("prs_any", """
 select event_id, fmt as line_format, case when fmt <> 'sev_pipe' then date_trunc('second', ts) end as ts_parsed
 from log_lines""", ("log_lines",))

@@ -578,10 +578,11 @@ def pb_summary(spark, d):
 
 
 @query("pb_steps", f"""
-select playbook, 'containment' as part, cast(step as bigint) as step, action, platform from playbook_steps join {_BOOK_N} b using (playbook)""",
-       ("playbook_steps", "finding_playbooks"))
+select playbook, part, cast(step as bigint) as step, action, command, platform, estimated_time, alternative
+from playbook_all_steps join {_BOOK_N} b using (playbook)""",
+       ("playbook_all_steps", "finding_playbooks"))
 def pb_steps(spark, d):
-    return B.steps(B.all_playbooks(findings(spark, d)).filter("n_findings > 0")).filter("part = 'containment'")
+    return B.steps(B.all_playbooks(findings(spark, d)).filter("n_findings > 0"))
 
 
 @query("pb_plan", f"""

@@ -1,6 +1,4 @@
 """Response playbooks. Commands are carried as text and never executed.
-
-A site can pass its own playbooks to the operators instead; see ``operators.playbooks.playbook_table``.
 """
 
 # --- Fixed values: playbooks --------------------------------------------------------------------
@@ -153,6 +151,11 @@ CONTAINMENT_STEPS = [
      "identity", "10 minutes"),
 ]
 
+# (playbook, step): another way to take a containment step
+STEP_ALTERNATIVES = {
+    ("brute_force_attack", 2): "Contact network team to block at firewall level",
+}
+
 # (playbook, eradication steps, recovery steps, post-incident actions)
 FOLLOW_UP_STEPS = [
     ("brute_force_attack",

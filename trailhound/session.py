@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,12 +28,18 @@ def build_session(app: str = "trailhound", master: str | None = None, **conf: st
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a fresh temporary one only where none is set (tests)."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a session whose driver and executors are one process may go without and gets a temporary folder; on a cluster
+    each machine would write to its own disk, so a missing setting is an error there.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="trailhound-"))
     return context.getCheckpointDir()
 

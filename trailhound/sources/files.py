@@ -23,47 +23,66 @@ def sniff_delimiter(head: str) -> str:
     return max(V.CSV_DELIMITERS, key=head.count)
 
 
-def _csv_layouts(spark: SparkSession, paths: str | list[str], header: bool) -> dict[tuple[str, str, str], list[str]]:
-    """Files by encoding, delimiter and header line, from one pass that keeps one row per file.
+def headless(head: Column, delimiter: Column) -> Column:
+    """Whether a file's first line is data: a line with a number, an address, a time or nothing in a field names no columns."""
+    fields = F.transform(F.split(head, F.concat(F.lit("\\Q"), delimiter, F.lit("\\E"))), lambda x: F.trim(F.trim(x), F.lit('"')))
+    value = r"^$|^[-+]?[0-9][0-9.,:eE+-]*$|^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ].*$|^[0-9]{1,3}(\.[0-9]{1,3}){3}(:[0-9]+)?$"
+    return (F.size(fields) < 2) | F.exists(fields, lambda x: x.rlike(value))
 
-    A file that is not valid UTF-8 is read in the fallback encoding. The result is no larger than the file list,
-    which the driver holds anyway to plan the scan.
+
+def file_layouts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """One row per file from one split pass: encoding, delimiter, column count, whether its first line is data, a digest of
+    that line, and whether that line is a whole JSON value. Lines themselves stay on the executors.
+
+    A file that is not valid UTF-8 is read in the fallback encoding. Delimiters are counted in the first line that is not
+    blank; of equally frequent ones the earlier in the list counts.
     """
-    first = F.when(F.col("block_start") == 0, F.col("_id"))
+    place = F.when(F.trim("value") != "", F.struct("block_start", "_id"))
     seen = _lines(spark, paths).groupBy("file_path").agg(
-        F.min(F.is_valid_utf8("value")).alias("ok"), F.min_by("value", first).alias("head")).collect()
-    out: dict[tuple[str, str, str], list[str]] = {}
-    for row in seen:
-        delimiter = sniff_delimiter(row["head"])
-        layout = row["head"] if header else str(row["head"].count(delimiter))
-        key = ("UTF-8" if row["ok"] else FALLBACK_ENCODING, delimiter, layout)
-        out.setdefault(key, []).append(row["file_path"])
-    return out
+        F.min(F.is_valid_utf8("value")).alias("_ok"), F.coalesce(F.min_by("value", place), F.lit("")).alias("_head"))
+    count = lambda d: F.length("_head") - F.length(F.replace("_head", F.lit(d), F.lit("")))
+    best = F.array_max(F.array(*[F.struct(count(d).alias("n"), F.lit(-i).alias("i"), F.lit(d).alias("d"))
+                                 for i, d in enumerate(V.CSV_DELIMITERS)]))
+    start = F.trim("_head")
+    return seen.withColumn("_best", best).select(
+        "file_path", F.when(F.col("_ok"), "UTF-8").otherwise(FALLBACK_ENCODING).alias("encoding"),
+        F.col("_best.d").alias("delimiter"), (F.col("_best.n") + 1).alias("n_columns"),
+        headless(F.col("_head"), F.col("_best.d")).alias("headless"), F.md5("_head").alias("digest"),
+        (F.get_json_object("_head", "$").isNotNull() & F.substring(start, 1, 1).isin("{", "[")).alias("json_line"),
+        start.startswith("[").alias("json_array"), start.startswith("ElfFile").alias("binary"))
 
 
 def read_csv(
     spark: SparkSession, paths: str | list[str], encoding: str | None = None, delimiter: str | None = None,
-    header: bool = True, schema: T.StructType | str | None = None,
+    header: bool | None = True, schema: T.StructType | str | None = None,
 ) -> DataFrame:
     """CSV files, each with its own encoding, delimiter and header; files that agree are read together.
 
-    Finding these out costs one pass over the text. With ``encoding`` and ``delimiter`` given there is none, and all
-    files must then share a header. Without a schema all columns are text, so no inference pass is made.
+    Finding these out costs one pass over the text, of which a few words per file reach the driver. With ``encoding``,
+    ``delimiter`` and ``header`` given there is none, and all files must then share a header. ``header=None`` decides for
+    each file by its first line, so that files without a header keep their first record. Files with a header are read
+    together if they have the same first line, files without one if they have as many columns. Without a schema all
+    columns are text, so no inference pass is made.
     """
-    if encoding and delimiter:
-        groups = {(encoding, delimiter, ""): paths}
+    if encoding and delimiter and header is not None:
+        groups = {(encoding, delimiter, header, ""): paths}
     else:
-        groups = _csv_layouts(spark, paths, header)
+        groups: dict[tuple, list[str]] = {}
+        for row in file_layouts(spark, paths).collect():
+            named = header if header is not None else not row["headless"]
+            key = (encoding or row["encoding"], delimiter or row["delimiter"], named, row["digest"] if named else row["n_columns"])
+            groups.setdefault(key, []).append(row["file_path"])
     frames = []
-    for (found_encoding, found_delimiter, _), files in sorted(groups.items()):
-        reader = (
-            spark.read.option("sep", delimiter or found_delimiter).option("header", header)
-            .option("encoding", encoding or found_encoding))
-        if schema is not None:
-            reader = reader.schema(schema)
-        frames.append(reader.csv(files))
+    for (found_encoding, found_delimiter, named, _), files in sorted(groups.items(), key=str):
+        reader = spark.read.option("sep", found_delimiter).option("header", named).option("encoding", found_encoding)
+        frames.append((reader.schema(schema) if schema is not None else reader).csv(files))
+    return union_all(spark, frames, schema)
+
+
+def union_all(spark: SparkSession, frames: list[DataFrame], schema: T.StructType | str | None = None) -> DataFrame:
+    """All frames by column name, absent columns null; without any frame an empty one."""
     if not frames:
-        return spark.createDataFrame([], schema or "value string")
+        return spark.createDataFrame([], schema or "raw_log string, source_format string")
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame, allowMissingColumns=True)
@@ -71,9 +90,8 @@ def read_csv(
 
 
 def read_csv_any(spark: SparkSession, paths: str | list[str], **options) -> DataFrame:
-    """With a header when that gives more than one column, else headerless."""
-    df = read_csv(spark, paths, header=True, **options)
-    return df if len(df.columns) > 1 else read_csv(spark, paths, header=False, **options)
+    """Each file with a header if its first line reads like one, else without."""
+    return read_csv(spark, paths, header=None, **options)
 
 
 def flatten(df: DataFrame) -> DataFrame:
@@ -87,9 +105,19 @@ def flatten(df: DataFrame) -> DataFrame:
 
 
 def read_json(spark: SparkSession, paths: str | list[str], schema: T.StructType | str | None = None) -> DataFrame:
-    """Files that each hold one JSON array or object. Such a file cannot be split; JSON lines can."""
-    reader = spark.read.option("multiLine", True)
-    return flatten((reader.schema(schema) if schema is not None else reader).json(paths))
+    """JSON files, whole: each holds one array or object, or one value per line.
+
+    A file whose first line is a JSON value by itself is read by line and can be split; any other is one document.
+    """
+    by_line, whole = [], []
+    for row in file_layouts(spark, paths).collect():
+        (by_line if row["json_line"] else whole).append(row["file_path"])
+    frames = []
+    for files, lines in ((by_line, True), (whole, False)):
+        if files:
+            reader = spark.read.option("multiLine", not lines)
+            frames.append(flatten((reader.schema(schema) if schema is not None else reader).json(files)))
+    return union_all(spark, frames, schema)
 
 
 def read_json_lines(spark: SparkSession, paths: str | list[str], schema: T.StructType | str | None = None) -> DataFrame:
@@ -127,7 +155,7 @@ def read_text(spark: SparkSession, paths: str | list[str], numbered: bool = True
         lines = lines.filter(F.col("line_number") < base + max_rows)
     kept = ["line_number"] if numbered else []
     return lines.filter(F.trim("value") != "").select(
-        *kept, F.col("value").alias("raw_log"), F.element_at(F.split("file_path", "/"), -1).alias("file_name"))
+        *kept, F.col("value").alias("raw_log"), F.element_at(F.split("file_path", "/"), -1).alias("file_name"), "file_path")
 
 
 WINEVENT_SCHEMA = (
@@ -137,8 +165,11 @@ WINEVENT_SCHEMA = (
 
 
 def winevent_columns(df: DataFrame, json: str = "value") -> DataFrame:
-    """Windows event records exported as JSON, one per row, as flat columns; absent parts are empty text."""
-    event = F.from_json(json, WINEVENT_SCHEMA)["Event"]
+    """Windows event records exported as JSON, one per row, as flat columns; absent parts are empty text.
+
+    Rows that hold no event record are left out; :func:`winevent_rejects` returns them.
+    """
+    event = F.col("_event")
     system = event["System"]
     fields = {
         "event_id": system["EventID"]["#text"], "timestamp": system["TimeCreated"]["@SystemTime"],
@@ -146,13 +177,35 @@ def winevent_columns(df: DataFrame, json: str = "value") -> DataFrame:
         "computer": system["Computer"], "user_id": system["Security"]["@UserID"],
         "description": event["RenderingInfo"]["Message"],
     }
-    return df.select(
+    return df.select(F.from_json(json, WINEVENT_SCHEMA)["Event"].alias("_event")).filter("_event is not null").select(
         *[F.coalesce(c, F.lit("")).alias(n) for n, c in fields.items()],
         F.coalesce(F.to_json(event["EventData"]), F.lit("{}")).alias("event_data"))
 
 
+def winevent_rejects(df: DataFrame, json: str = "value") -> DataFrame:
+    """The rows that :func:`winevent_columns` leaves out, unchanged."""
+    return df.filter(F.from_json(json, WINEVENT_SCHEMA)["Event"].isNull())
+
+
+def winevent_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Records as text, one per row in ``value``: from lines, or from files that hold one array of records."""
+    by_line, arrays = [], []
+    for row in file_layouts(spark, paths).collect():
+        if row["binary"]:
+            raise ValueError(f"{row['file_path']} is a binary event log; export it as JSON first")
+        (arrays if row["json_array"] else by_line).append(row["file_path"])
+    frames = []
+    if by_line:
+        frames.append(spark.read.text(by_line).filter(F.trim("value") != ""))
+    if arrays:
+        parts = F.from_json("value", "array<variant>")
+        frames.append(spark.read.text(arrays, wholetext=True).select(F.explode(parts).alias("v")).select(
+            F.to_json("v").alias("value")))
+    return union_all(spark, frames, "value string")
+
+
 def read_winevents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return winevent_columns(spark.read.text(paths).filter(F.trim("value") != ""))
+    return winevent_columns(winevent_records(spark, paths))
 
 
 def extension(path: Column) -> Column:
@@ -165,30 +218,31 @@ def file_list(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         "path", "length", extension(F.col("path")).alias("extension"))
 
 
-def allowed_files(files: DataFrame, max_bytes: int = V.MAX_FILE_BYTES) -> DataFrame:
-    return files.filter(
-        F.col("extension").isin(V.LOG_EXTENSIONS + V.CAPTURE_EXTENSIONS) & (F.col("length") <= max_bytes))
+def allowed_files(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Files with a known extension; a size limit only where it is asked for."""
+    known = files.filter(F.col("extension").isin(V.LOG_EXTENSIONS + V.CAPTURE_EXTENSIONS))
+    return known if max_bytes is None else known.filter(F.col("length") <= max_bytes)
 
 
-def manifest(spark: SparkSession, paths: str | list[str], hash_max_bytes: int = 1 << 30) -> DataFrame:
-    """Name, size, checksum and line count of each file.
+def manifest(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Name, path, size, line count, column count and checksum of each file, of any size.
 
-    A checksum needs the whole file in one task, so files above the limit get none (the limit is pushed into the
-    scan and their content is not read). Line counts come from the split text scan.
+    The checksum covers every line with its number, as two sums of 64-bit hashes, so it comes from the split scan and does
+    not depend on how the file was split; it is not the MD5 of the file's bytes. The column count is that of the first line
+    under its most frequent delimiter.
     """
-    files = spark.read.format("binaryFile").load(paths)
-    small = files.filter(F.col("length") <= hash_max_bytes).select(
-        "path", "length", F.md5("content").alias("file_hash"))
-    large = files.filter(F.col("length") > hash_max_bytes).select(
-        "path", "length", F.lit(None).cast("string").alias("file_hash"))
-    rows = spark.read.text(paths).groupBy(F.col("_metadata.file_path").alias("_p")).agg(
-        F.count(F.lit(1)).alias("rows"))
-    key = F.regexp_replace("path", "^file:/+", "/")
-    both = small.unionByName(large).withColumn("_key", key)
-    return both.join(rows.withColumn("_key", F.regexp_replace("_p", "^file:/+", "/")), "_key", "left").select(
-        F.element_at(F.split("path", "/"), -1).alias("file_name"),
+    files = file_list(spark, paths).select("path", "length")
+    numbered = number_lines(_lines(spark, paths))
+    wide = lambda seed: F.sum(F.xxhash64(F.lit(seed), "line_number", "value").cast("decimal(38,0)")).cast("string")
+    rows = numbered.groupBy("file_path").agg(
+        F.count(F.lit(1)).alias("rows"), F.md5(F.concat_ws("/", wide(1), wide(2))).alias("file_hash"))
+    rows = rows.join(file_layouts(spark, paths).select("file_path", "n_columns"), "file_path")
+    key = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    return files.withColumn("_key", key("path")).join(rows.withColumn("_key", key("file_path")), "_key", "left").select(
+        F.element_at(F.split("path", "/"), -1).alias("file_name"), "path",
         (F.col("length") / F.lit(1024.0 * 1024.0)).alias("file_size_mb"),
-        F.coalesce("rows", F.lit(0)).alias("rows"), "file_hash")
+        F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("n_columns", F.lit(0)).alias("columns"),
+        F.coalesce("file_hash", F.md5(F.lit(""))).alias("file_hash"))
 
 
 def head_format(head: Column) -> Column:
@@ -230,8 +284,10 @@ def route_files(spark: SparkSession, paths: str | list[str]) -> dict[str, list[s
 
 
 def read_any(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Read a mix of formats into one frame of text columns; columns a format lacks are null."""
-    readers = {"csv": read_csv, "json": read_json, "winevent": read_winevents, "text": read_text}
+    """Read a mix of formats into one frame of text columns; columns a format lacks are null. No file loses a record:
+    CSV files have a header only if their first line reads like one, JSON files may hold a document or lines.
+    An empty folder gives an empty frame."""
+    readers = {"csv": read_csv_any, "json": read_json, "winevent": read_winevents, "text": read_text}
     frames = []
     for fmt, files in sorted(route_files(spark, paths).items()):
         df = readers[fmt](spark, files)
@@ -239,14 +295,11 @@ def read_any(spark: SparkSession, paths: str | list[str]) -> DataFrame:
             F.to_json(c).alias(c) if isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType))
             else F.col(f"`{c}`").cast("string").alias(c) for c in df.columns]
         frames.append(df.select(*simple, F.lit(fmt).alias("source_format")))
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame, allowMissingColumns=True)
-    return out
+    return union_all(spark, frames)
 
 
 def read_many(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Several text logs at once, told apart by ``file_name``."""
+    """Several text logs at once, told apart by ``file_path`` (``file_name`` may repeat across folders)."""
     return read_text(spark, paths, numbered=False)
 
 
