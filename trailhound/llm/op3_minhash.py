@@ -5,9 +5,11 @@ a value that starts at r; a bin keeps its least value, so a bin once filled is s
 rounds that follow throw every element into one named bin each, so that no coordinate stays empty, however small the set.
 Equal coordinates have the similarity of the sets as their expectation, with concentration as for independent draws.
 
-Bands of coordinates give buckets. A bucket is not paired out: in each round it names leaders, every member is compared
-with them on the full sets, links join components, and a bucket whose remaining members share a component is done. Leaders
-have met everyone and leave; their number doubles each round. No bucket is capped. Equal sets are one class throughout.
+Bands of coordinates give buckets. First, every member of a bucket is compared on the full sets with the smallest of the
+bucket, and links join components; most buckets then hold one component besides that leader, and are done. Of the others
+the remaining members are dealt into blocks of bounded size, and every two blocks of a bucket are compared set by set inside
+one task, which returns a spanning forest of the links found and never the pairs. No bucket is capped, and none is gathered.
+Equal sets are one class throughout.
 """
 
 from __future__ import annotations
@@ -21,11 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailhound.llm.common import BASE, byte_steps, cut_hash, lower, mix, prefix_hash, stored, table, words
-from trailhound.llm.graph import components
+from trailhound.llm.graph import components, forest
 
 SHINGLE = 3
 PERCENT = 85
 BANDS = 40
+#: Members and set elements of a block, about.
+BLOCK = 256
+BLOCK_ELEMENTS = 500_000
 #: A link of exactly the threshold may be missed by all bands this often at most.
 MISS = 1e-8
 
@@ -118,7 +123,7 @@ def sketched(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, offsets in byte_steps(batch.column("text"), 4 << 20):
+            for first, last, data, offsets in byte_steps(batch.column("text")):
                 values, cuts = shingle_sets(data, offsets, size)
                 n = np.diff(cuts)
                 a, b = set_digests(values, cuts)
@@ -140,7 +145,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             ids = batch.column("doc_id")
             want = [batch.column(c).to_numpy() for c in ("a", "b")]
-            for first, last, data, offsets in byte_steps(batch.column("text"), 4 << 20):
+            for first, last, data, offsets in byte_steps(batch.column("text")):
                 values, cuts = shingle_sets(data, offsets, size)
                 names = set_digests(values, cuts)
                 # where rows repeat an id with another text, only the text that gave the set counts
@@ -174,6 +179,45 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.select("u", "v", "u_set", "v_set").mapInArrow(run, pairs.select("u", "v").schema)
 
 
+def linked_in_blocks(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (``u``, ``v``) among the members of each bucket: a forest for each two of its blocks.
+
+    ``dealt``: ``key``, ``rep``, ``chunk`` (the block) and ``chunks`` (how many blocks the bucket has).
+    """
+    blocks = stored(dealt.join(sets, "rep").groupBy("key", "chunk", "chunks").agg(
+        F.collect_list(F.struct("rep", "members")).alias("block")), "blocks")
+    one = blocks.select("key", F.col("block").alias("a"), F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("chunk"))
+    met = one.join(blocks.select("key", "chunk", F.col("block").alias("b")), ["key", "chunk"])
+
+    def unpacked(block: pa.StructScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        reps, members = block.values.field("rep").to_numpy(), block.values.field("members")
+        parts = [np.frombuffer(m.as_buffer(), np.uint64) for m in members]
+        return reps, np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column("a"), batch.column("b")):
+                (reps, values, cuts), (others, other_values, other_cuts) = unpacked(x), unpacked(y)
+                words = np.unique(np.concatenate((values, other_values)))
+                code, other_code = np.searchsorted(words, values), np.searchsorted(words, other_values)
+                sizes, other_sizes = np.diff(cuts), np.diff(other_cuts)
+                here = np.zeros(len(words), np.int64)
+                u, v = [], []
+                for i in range(len(reps)):
+                    own = code[cuts[i]: cuts[i + 1]]
+                    here[own] = 1
+                    shared = np.add.reduceat(here[other_code], other_cuts[:-1])
+                    here[own] = 0
+                    near = np.flatnonzero(100 * shared >= percent * (sizes[i] + other_sizes - shared))
+                    u.append(np.full(len(near), reps[i]))
+                    v.append(others[near])
+                nodes, roots = forest(np.concatenate(u), np.concatenate(v))
+                tied = nodes != roots
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[tied]), pa.array(roots[tied])], ["u", "v"])
+
+    return met.select("a", "b").mapInArrow(run, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable) and ``kept`` for every row of ``docs``.
 
@@ -188,38 +232,29 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     live = stored(keyed.join(shared, "key"), "live")
     wanted = classes.join(live.select("rep").distinct(), "rep", "left_semi").select("rep", "a", "b")
     sets = stored(full_sets(docs, wanted, size), "sets")
-    links = None
-    groups = None  # rep -> component over the links so far
-    leaders_each = 1
-    while not live.isEmpty():
-        cell = F.pmod(F.xxhash64("rep", F.lit(leaders_each)), F.lit(leaders_each))
-        led = stored(live.withColumn("cell", cell).groupBy("key", "cell").agg(
-            F.min(F.struct("rep", "n", *(["component"] if groups is not None else []))).alias("lead")).select(
-            "key", "lead"), "leaders")
-        joined = live.join(led, "key").filter(
-            (F.col("rep") != F.col("lead.rep"))
-            & (100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n"))
-            & ((F.col("component") != F.col("lead.component")) if groups is not None else F.lit(True)))
-        pairs = stored(joined.select(F.greatest("rep", "lead.rep").alias("u"), F.least("rep", "lead.rep").alias("v")).distinct(),
-                       "pairs")
-        found = stored(verified(pairs, sets, percent), "found")
-        links = found if links is None else stored(links.unionByName(found), "links")
-        groups = stored(components(links), "groups")
-        # leaders leave; a bucket goes on while its remaining members are of more than one component
-        rest = live.select("key", "rep", "n").join(led.select("key", F.col("lead.rep").alias("rep")), ["key", "rep"], "left_anti")
-        rest = rest.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
-            "component", F.coalesce("component", "rep"))
-        rest = stored(rest, "rest")
-        mixed = stored(rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
-                       .select("key"), "mixed")
-        live = stored(rest.join(mixed, "key", "left_semi"), "live")
-        leaders_each *= 2
-    named = classes.select("a", "b", "n", "rep")
-    if groups is not None:
-        named = named.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-        named = named.select("a", "b", "n", F.coalesce("component", "rep").alias("component"))
-    else:
-        named = named.withColumnRenamed("rep", "component")
+    led = stored(live.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("lead")), "leaders")
+    joined = live.join(led, "key").filter(
+        (F.col("rep") != F.col("lead.rep"))
+        & (100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")))
+    pairs = stored(joined.select(F.greatest("rep", "lead.rep").alias("u"), F.least("rep", "lead.rep").alias("v")).distinct(),
+                   "pairs")
+    found = stored(verified(pairs, sets, percent), "found")
+    groups = stored(components(found), "groups")
+    # leaders have met every member of their bucket and leave it; a bucket goes on if what remains is of more than one component
+    rest = live.join(led.select("key", F.col("lead.rep").alias("rep")), ["key", "rep"], "left_anti")
+    rest = stored(rest.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "key", "rep", "n", F.coalesce("component", "rep").alias("component")), "rest")
+    mixed = rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members"),
+                                    F.sum("n").alias("elements")).filter("x <> y")
+    chunks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("elements") / BLOCK_ELEMENTS)).cast("int")
+    open_buckets = stored(mixed.select("key", chunks.alias("chunks")), "mixed")
+    if not open_buckets.isEmpty():
+        dealt = rest.join(open_buckets, "key").select("key", "rep", "chunks", F.pmod(
+            F.xxhash64("rep", F.lit(1)), F.col("chunks")).cast("int").alias("chunk"))
+        found = found.unionByName(stored(linked_in_blocks(dealt, sets, percent), "found"))
+        groups = stored(components(found), "groups")
+    named = classes.select("a", "b", "n", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "a", "b", "n", F.coalesce("component", "rep").alias("component"))
     named = stored(named, "named")
     out = known.select("doc_id", "n", "a", "b").join(named, ["a", "b", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailhound.llm.common import stored, table
-from trailhound.llm.graph import components
+from trailhound.llm.graph import components, forest
 
 THRESHOLD = 0.93
 #: Vectors in a tile; dimensions of a tile's box; first block of dimensions of a product.
@@ -168,24 +168,6 @@ def linked(a: np.ndarray, b: np.ndarray, basis: np.ndarray, threshold: float) ->
     return i[keep], j[keep]
 
 
-def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes and the smallest node that each reaches over the links (u, v)."""
-    nodes, flat = np.unique(np.concatenate((u, v)), return_inverse=True)
-    x, y = flat[: len(u)], flat[len(u):]
-    root = np.arange(len(nodes))
-    while True:
-        least = np.minimum(root[x], root[y])
-        fresh = root.copy()
-        np.minimum.at(fresh, x, least)
-        np.minimum.at(fresh, y, least)
-        np.minimum.at(fresh, root[x], least)
-        np.minimum.at(fresh, root[y], least)
-        fresh = fresh[fresh]
-        if (fresh == root).all():
-            return nodes, nodes[root]
-        root = fresh
-
-
 def compared(cut: DataFrame, bases: dict[int, tuple[np.ndarray, np.ndarray]], threshold: float) -> DataFrame:
     """For each class and pair of tiles: ``links`` (sum of linked counts) and ``root`` (a class it is tied to)."""
     shared = cut.sparkSession.sparkContext.broadcast(bases)
