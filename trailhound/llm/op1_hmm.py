@@ -30,7 +30,7 @@ from trailhound.llm.common import fold, stored, table, texts
 STATES = 12
 OWN = 8192
 TAIL = 2048
-KNOWN = 131_072
+KNOWN = 131_072  # at most
 ROUNDS = 6
 SEGMENT = 256
 #: Tokens that one lockstep of the recursions holds at most, besides a single longer text.
@@ -106,7 +106,15 @@ def learn_words(train: DataFrame) -> tuple[DataFrame, Vocabulary]:
     counts = stored(word_counts(train), "counts")
     ends = train.count()
     sums = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()
+    # the lowest step of counts from which on there are no more than KNOWN words; there are some hundred steps
+    step = F.floor(F.log("n") * 32).cast("int")
+    room, lowest = KNOWN, 0
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():
+        room -= r["words"]
+        if room < 0:
+            lowest = r["step"] + 1
+            break
+    top = sorted(counts.filter(step >= lowest).collect(), key=lambda r: (-r["n"], r["word"]))
     words = [r["word"].encode() for r in top]
     own = set(words[:OWN])
     symbol = (F.crc32(F.substring(F.col("word").cast("binary"), -3, 3)) % TAIL).alias("symbol")
@@ -211,16 +219,18 @@ class Lockstep:
         self.row[self.at[time] + row] = row
 
     def forward(self, model: Markov, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scaled forward variables and scales of every step, and emissions; ``start``: a row for each sequence."""
-        emissions = model.emit[self.symbols]
-        alpha, scale = np.empty_like(emissions), np.empty(len(emissions))
-        before = start[self.order]
+        """Scaled forward variables and emissions (states x symbols), and scales; ``start``: a row for each sequence.
+
+        All arrays have the model's precision.
+        """
+        emissions = np.take(np.ascontiguousarray(model.emit.T), self.symbols, axis=1)
+        alpha, scale = np.empty_like(emissions), np.empty(emissions.shape[1], emissions.dtype)
+        before, move = start[self.order].T, np.ascontiguousarray(model.move.T)
         for t in range(len(self.at) - 1):
             a, b = self.at[t], self.at[t + 1]
-            now = (before[: b - a] @ model.move if t else before) * emissions[a:b]
-            scale[a:b] = total = now.sum(axis=1)
-            now /= total[:, None]
-            alpha[a:b] = before = now
+            now = (move @ before[:, : b - a] if t else before) * emissions[:, a:b]
+            total = now.sum(axis=0, out=scale[a:b])
+            before = np.divide(now, total, out=alpha[:, a:b])
         return alpha, scale, emissions
 
     def log_likelihood(self, scale: np.ndarray) -> np.ndarray:
@@ -232,23 +242,29 @@ class Lockstep:
     def expected(self, model: Markov, start: np.ndarray, later: np.ndarray, sums: dict[str, np.ndarray]) -> float:
         """Adds expected counts of starts, transitions and emissions to ``sums``; returns the log likelihood."""
         alpha, scale, emissions = self.forward(model, start)
-        gamma = alpha.copy()  # the last step of a sequence keeps its forward variable
         steps = len(self.at) - 1
-        beta = np.ones((self.at[steps] - self.at[steps - 1], alpha.shape[1]))
+        emissions /= scale
+        gamma = alpha.copy()  # the last step of a sequence keeps its forward variable
+        beta = np.ones((len(alpha), self.at[steps] - self.at[steps - 1]), alpha.dtype)
+        moves = np.zeros(model.move.shape)
         for t in range(steps - 2, -1, -1):
             a, b, c = self.at[t], self.at[t + 1], self.at[t + 2]
-            carried = emissions[b:c] * beta / scale[b:c, None]
-            going = alpha[a: a + c - b]  # sequences that go on; beta of the others is 1
-            sums["move"] += model.move * (going.T @ carried)
-            beta = np.ones((b - a, alpha.shape[1]))
-            beta[: c - b] = carried @ model.move.T
-            gamma[a:b] *= beta
-        first = gamma[: self.at[1]]
+            carried = emissions[:, b:c] * beta
+            moves += alpha[:, a: a + c - b] @ carried.T  # of sequences that go on; beta of the others is 1
+            going = model.move @ carried
+            gamma[:, a: a + c - b] *= going
+            if b - a > c - b:
+                beta = np.ones((len(alpha), b - a), alpha.dtype)
+                beta[:, : c - b] = going
+            else:
+                beta = going
+        sums["move"] += model.move * moves
+        first = gamma[:, : self.at[1]]
         later = later[self.order]
-        sums["start"][0] += first[~later].sum(axis=0)
-        sums["start"][1] += first[later].sum(axis=0)
-        for s in range(gamma.shape[1]):
-            sums["emit"][:, s] += np.bincount(self.symbols, gamma[:, s], len(sums["emit"]))
+        sums["start"][0] += first[:, ~later].sum(axis=1)
+        sums["start"][1] += first[:, later].sum(axis=1)
+        for s in range(len(gamma)):
+            sums["emit"][:, s] += np.bincount(self.symbols, gamma[s], len(sums["emit"]))
         return float(np.log(scale).sum())
 
 
@@ -292,7 +308,9 @@ def first_model(vocabulary: Vocabulary, seed: int) -> Markov:
 
 def baum_welch(sequences: DataFrame, model: Markov, shares: np.ndarray) -> Markov:
     """One round: expected counts of all partitions, added by symbol, give the next model."""
-    shared = sequences.sparkSession.sparkContext.broadcast(model)
+    # single precision carries scaled variables well, and counts are added in double
+    single = Markov(*[x.astype(np.float32) for x in (model.start, model.move, model.emit)])
+    shared = sequences.sparkSession.sparkContext.broadcast(single)
     states = [f"s{k}" for k in range(STATES)]
     schema = "symbol int, " + ", ".join(f"{s} double" for s in states)
     moves, starts = -1, -1 - STATES  # rows of transitions and of starts have numbers below 0
