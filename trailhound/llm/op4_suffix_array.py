@@ -27,14 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailhound.llm.common import BASE, byte_steps, cut_hash, mix, partitions, prefix_hash, stored, table, texts
+from trailhound.llm.common import BASE, byte_steps, cut_hash, discard, mix, partitions, prefix_hash, stored, table, texts
 from trailhound.llm.op2_winnow import window_minima
 from trailhound.llm.suffixes import BASE_ROWS, numbered, suffix_ranks
 from trailhound.session import scratch_path
 
 SPAN = 400
 GRAM = 200
-BLOCK = 32
+BLOCK = 64
 
 
 def with_keys(docs: DataFrame) -> DataFrame:
@@ -94,62 +94,83 @@ def run_bounds(at: np.ndarray, hashes: np.ndarray, length: int, span: int, gram:
     return low, high
 
 
+#: Where a mark stands (its number in the text and its byte) and its shape (how far before it its strings begin and end, how
+#: many marks on its prefix ends, how long that is) travel as one number each.
+def unpacked(marks: DataFrame) -> DataFrame:
+    at = F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF))
+    part = lambda k: F.shiftright("shape", 16 * k).bitwiseAND(F.lit(0xFFFF))
+    columns = {"place": F.shiftright("spot", 32), "at": at, "low": at - part(0), "high": at - part(1), "far": part(2),
+               "end": at + part(3)}
+    return marks.withColumns({n: c.cast("int") for n, c in columns.items()}).drop("spot", "shape")
+
+
 def all_marks(keyed: DataFrame, span: int, gram: int) -> DataFrame:
     """Each mark with its run of strings (``low`` to ``high``), symbol, and the prefix of symbols that spans ``span`` bytes.
 
-    ``far``: how many marks on that prefix ends; ``end``: the byte after it; ``prefix``: its hash. Null where the text ends.
+    ``far``: how many marks on that prefix ends, 0 where the text ends before; ``end``: the byte after it; ``prefix``: its
+    hash. Packed, see :func:`unpacked`; spans of up to 8000 bytes fit.
     """
-    schema = ("row_key long, place int, at int, low int, high int, gram long, symbol long, far int, end int, prefix long")
+    schema = "row_key long, spot long, shape long, gram long, symbol long, prefix long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("row_key").to_numpy()
-            parts: list[list[np.ndarray]] = [[] for _ in range(10)]
+            parts: list[list[np.ndarray]] = [[] for _ in range(6)]
             for i, data in each_text(batch):
                 at, hashes, prefix = marks_of(data, span, gram)
                 if not len(at):
                     continue
                 low, high = run_bounds(at, hashes, len(data), span, gram)
+                number = np.arange(len(at))
                 symbol = np.zeros(len(at), np.uint64)
                 symbol[:-1] = cut_hash(prefix, at[:-1], at[1:] + gram)
                 # the first mark whose gram ends a span or more after the start
-                to = np.searchsorted(at, at + span - gram)
-                to = np.maximum(to, np.arange(len(at)) + 1)
+                to = np.maximum(np.searchsorted(at, at + span - gram), number + 1)
                 there = to < len(at)
-                end = np.where(there, at[np.minimum(to, len(at) - 1)] + gram, 0)
+                end = np.where(there, at[np.minimum(to, len(at) - 1)] + gram, at)
                 whole = np.zeros(len(at), np.uint64)
-                whole[there] = mix(cut_hash(prefix, at[there], end[there]) * BASE + end[there].astype(np.uint64)
-                                   - at[there].astype(np.uint64))
-                columns = (np.full(len(at), keys[i]), np.arange(len(at)), at, low, high, hashes.view(np.int64),
-                           (symbol >> np.uint64(2)).astype(np.int64) + 2, np.where(there, to - np.arange(len(at)), -1), end,
-                           whole.view(np.int64))
+                whole[there] = mix(cut_hash(prefix, at[there], end[there]) * BASE + (end - at)[there].astype(np.uint64))
+                shape = (at - low) | (at - high) << 16 | np.where(there, to - number, 0) << 32 | (end - at) << 48
+                columns = (np.full(len(at), keys[i]), number << 32 | at, shape, hashes.view(np.int64),
+                           (symbol >> np.uint64(2)).astype(np.int64) + 2, whole.view(np.int64))
                 for part, column in zip(parts, columns):
                     part.append(column)
             if parts[0]:
-                types = [pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(p)).cast(t) for p, t in zip(parts, types)],
-                    ["row_key", "place", "at", "low", "high", "gram", "symbol", "far", "end", "prefix"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts],
+                                                 ["row_key", "spot", "shape", "gram", "symbol", "prefix"])
 
     return keyed.select("row_key", "text").mapInArrow(run, schema)
 
 
 def repeated_prefixes(live: DataFrame, base_rows: int) -> DataFrame:
-    """Rows of ``live`` whose prefix of symbols also begins at another mark, found as neighbours in suffix order."""
-    placed = stored(numbered(live.select("row_key", "place", "at", "end", "symbol", "far", "prefix"), ["row_key", "place"]),
-                    "placed")
-    ahead = placed.select((F.col("pos") - 1).alias("pos"), F.col("row_key").alias("next_key"), F.col("place").alias("next_place"))
-    # a symbol counts if the mark that ends it is live too; otherwise 1 ends the run
-    follows = (F.col("next_key") == F.col("row_key")) & (F.col("next_place") == F.col("place") + 1)
-    symbols = stored(placed.join(ahead, "pos", "left").select(
-        "pos", F.when(F.coalesce(follows, F.lit(False)), F.col("symbol")).otherwise(F.lit(1)).alias("name")), "symbols")
-    ranks = suffix_ranks(symbols, symbols.count(), base_rows)
-    ordered = stored(placed.join(ranks, "pos").select("rank", "row_key", "at", "end", "far", "prefix"), "suffixes")
-    beside = ordered.select(F.col("rank"), F.col("far"), F.col("prefix"))
-    up = beside.select((F.col("rank") + 1).alias("rank"), F.col("prefix").alias("other"), F.col("far").alias("other_far"))
-    down = beside.select((F.col("rank") - 1).alias("rank"), F.col("prefix").alias("other"), F.col("far").alias("other_far"))
-    met = ordered.filter("far > 0").join(up.unionByName(down).filter("other_far > 0"), "rank")
-    return met.filter("prefix = other").select("row_key", "at", "end").distinct()
+    """Marks (``row_key``, ``at``, ``end``) whose prefix of symbols also begins at another mark, as neighbours in suffix order.
+
+    A symbol that occurs once is in no repeated prefix, so only others enter the string; a symbol of 1 ends each run.
+    """
+    counts = live.filter("symbol > 2").groupBy("symbol").agg(F.count("*").alias("n")).filter("n > 1").select("symbol")
+    kept = stored(live.join(stored(counts, "symbols"), "symbol").select(
+        "row_key", "place", "at", "end", "symbol", "far", "prefix"), "kept")
+    ends = kept.select("row_key", "place").join(kept.select("row_key", (F.col("place") - 1).alias("place")),
+                                                ["row_key", "place"], "left_anti")
+    none = F.lit(None)
+    stops = ends.select("row_key", (2 * F.col("place") + 1).alias("place"), none.cast("int").alias("at"),
+                        none.cast("int").alias("end"), F.lit(1).cast("long").alias("symbol"), F.lit(0).alias("far"),
+                        none.cast("long").alias("prefix"))
+    placed = stored(numbered(kept.withColumn("place", 2 * F.col("place")).select(*stops.columns).unionByName(stops),
+                             ["row_key", "place"]), "placed")
+    ranks = suffix_ranks(placed.select("pos", F.col("symbol").alias("name")), placed.count(), base_rows)
+    ordered = stored(placed.filter("far > 0").select("pos", "row_key", "at", "end", "prefix").join(ranks, "pos").drop("pos"),
+                     "suffixes")
+    beside = ordered.select(F.explode(F.array(F.col("rank") - 1, F.col("rank") + 1)).alias("rank"), F.col("prefix"))
+    out = stored(ordered.join(beside.distinct(), ["rank", "prefix"], "left_semi").select("row_key", "at", "end"), "prefixes")
+    discard(kept, placed, ranks, ordered)
+    return out
+
+
+def column_lists(column: pa.Array, names: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Fields of a list of structs as flat arrays, and the offsets of the rows into them; null rows are empty."""
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    return [column.values.field(n).to_numpy().astype(np.int64) for n in names], offsets
 
 
 def blocks(keyed: DataFrame, runs: DataFrame, span: int, block: int) -> DataFrame:
@@ -160,18 +181,21 @@ def blocks(keyed: DataFrame, runs: DataFrame, span: int, block: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("row_key").to_numpy()
+            (spots, lows, highs), cuts = column_lists(batch.column("marks"), ["at", "low", "high"])
+            (starts, ends), done_cuts = column_lists(batch.column("done"), ["first", "last"])
             out: list[list[np.ndarray]] = [[] for _ in range(6)]
             for i, data in each_text(batch):
-                marks = np.array([[m["at"], m["low"], m["high"]] for m in batch.column("marks")[i].as_py()], np.int64)
-                done = merged(batch.column("done")[i].as_py() or [])
+                own = slice(cuts[i], cuts[i + 1])
+                place, low, high = spots[own], lows[own], highs[own]
+                done = joined_ranges(starts[done_cuts[i]: done_cuts[i + 1]], ends[done_cuts[i]: done_cuts[i + 1]])
                 prefix = prefix_hash(data)
-                first_block, last_block = (marks[:, 0] - marks[:, 2]) // block, (marks[:, 0] - marks[:, 1]) // block
+                first_block, last_block = (place - high) // block, (place - low) // block
                 counts = last_block - first_block + 1
-                at = np.repeat(marks[:, 0], counts)
+                at = np.repeat(place, counts)
                 number = np.repeat(first_block, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                first = np.maximum(at - number * block - block + 1, np.repeat(marks[:, 1], counts))
-                last = np.minimum(at - number * block, np.repeat(marks[:, 2], counts))
                 begin = at - number * block
+                first = np.maximum(begin - block + 1, np.repeat(low, counts))
+                last = np.minimum(begin, np.repeat(high, counts))
                 core = mix(cut_hash(prefix, begin, begin - block + 1 + span) * BASE + number.astype(np.uint64))
                 whole = mix(cut_hash(prefix, first, last + span) * BASE + ((at - first) * span * 2 + at - last).astype(np.uint64))
                 covered = np.zeros(len(first), bool)
@@ -189,15 +213,14 @@ def blocks(keyed: DataFrame, runs: DataFrame, span: int, block: int) -> DataFram
     return near.select("row_key", "text", "marks", "done").mapInArrow(run, schema)
 
 
-def merged(ranges: list) -> np.ndarray:
-    """Ranges (first, last), both inclusive, as ascending rows that neither overlap nor touch."""
-    if not ranges:
+def joined_ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Ranges, both ends inclusive, as ascending rows that neither overlap nor touch."""
+    if not len(first):
         return np.zeros((0, 2), np.int64)
-    rows = np.array([[r["first"], r["last"]] for r in ranges], np.int64)
-    rows = rows[np.argsort(rows[:, 0], kind="stable")]
-    reach = np.maximum.accumulate(rows[:, 1])
-    fresh = np.concatenate(([True], rows[1:, 0] > reach[:-1] + 1))
-    return np.stack([rows[fresh, 0], reach[np.append(np.flatnonzero(fresh)[1:] - 1, len(rows) - 1)]], axis=1)
+    order = np.argsort(first, kind="stable")
+    first, reach = first[order], np.maximum.accumulate(last[order])
+    fresh = np.concatenate(([True], first[1:] > reach[:-1] + 1))
+    return np.stack([first[fresh], reach[np.append(np.flatnonzero(fresh)[1:] - 1, len(first) - 1)]], axis=1)
 
 
 def single_strings(keyed: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
@@ -207,9 +230,11 @@ def single_strings(keyed: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("row_key").to_numpy()
+            (firsts, lasts), cuts = column_lists(batch.column("blocks"), ["first", "last"])
             for i, data in each_text(batch):
                 prefix = prefix_hash(data)
-                starts = np.concatenate([np.arange(b["first"], b["last"] + 1) for b in batch.column("blocks")[i].as_py()])
+                starts = np.concatenate([np.arange(a, b + 1) for a, b in zip(
+                    firsts[cuts[i]: cuts[i + 1]], lasts[cuts[i]: cuts[i + 1]])])
                 for k in range(0, len(starts), 1 << 16):
                     part = starts[k: k + (1 << 16)]
                     yield pa.RecordBatch.from_arrays(
@@ -224,7 +249,7 @@ def repeated_ranges(keyed: DataFrame, span: int = SPAN, gram: int = GRAM, block:
                     base_rows: int = BASE_ROWS) -> DataFrame:
     """``row_key``, ``first``, ``last``: ranges of starts of strings that also start elsewhere (overlaps possible)."""
     shared = stored(shared_grams(keyed, span, gram), "grams")
-    live = stored(all_marks(keyed, span, gram).join(shared, "gram"), "live")
+    live = unpacked(stored(all_marks(keyed, span, gram).join(shared, "gram").drop("gram"), "live"))
     inside = stored(repeated_prefixes(live, base_rows).select(
         "row_key", F.col("at").alias("first"), (F.col("end") - span).cast("int").alias("last")), "inside")
     runs = live.groupBy("row_key").agg(F.collect_list(F.struct("at", "low", "high")).alias("marks")).join(
@@ -260,9 +285,9 @@ def removed_spans(docs: DataFrame, span: int = SPAN, **settings) -> DataFrame:
         kind = to_arrow_type(schema["spans"].dataType)
         for batch in batches:
             spans = []
-            for x in batch.column("ranges"):
-                # starts that lie within a span of each other give bytes that touch
-                found = merged([{"first": r["first"], "last": r["last"] + span - 1} for r in x.as_py() or []])
+            (firsts, lasts), cuts = column_lists(batch.column("ranges"), ["first", "last"])
+            for start, stop in zip(cuts, cuts[1:]):
+                found = joined_ranges(firsts[start:stop], lasts[start:stop] + span - 1)  # bytes of strings from first to last
                 spans.append([{"first": int(a), "last": int(b) + 1} for a, b in found])
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array(spans, kind)], schema.names)
 

@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailhound.llm.common import partitions, stored
+from trailhound.llm.common import discard, partitions, stored
 
 #: Longest string that one task ranks.
-BASE_ROWS = 1 << 18
+BASE_ROWS = 1 << 19
 
 
 def offsets_of(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -42,7 +42,7 @@ def numbered(df: DataFrame, keys: list[str], name: str = "pos") -> DataFrame:
     placed = marked.withColumns({"part": F.shiftright("tag", 33).cast("int"),
                                  "own": F.col("tag").bitwiseAND(F.lit((1 << 33) - 1)) + 1})
     return placed.join(F.broadcast(offsets_of(placed, ["own"])), "part").select(
-        *df.columns, (F.col("before_own") + F.col("own") - 1).alias(name))
+        *df.columns, (F.col("before_own") + F.col("own") - 1).alias(name))  # small: a row for each partition
 
 
 def base_ranks(names: np.ndarray) -> np.ndarray:
@@ -68,8 +68,8 @@ def ranked_in_one_task(symbols: DataFrame) -> DataFrame:
     return symbols.select("pos", "name").repartition(1).mapInPandas(run, "pos long, rank long")
 
 
-def counted(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``pos``, ``class``, and how many rows of class 0 (``zeros``) and of others (``others``) stand before, in key order."""
+def counted(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The stored table behind it, and ``pos``, ``class``, and how many rows of class 0 (``zeros``) and of others (``others``) stand before, in key order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -89,7 +89,7 @@ def counted(rows: DataFrame, keys: list[str]) -> DataFrame:
         run, "pos long, class int, part int, zeros long, others long"), "counted")
     whole = local.join(F.broadcast(offsets_of(local, ["zeros", "others"])), "part")
     own = F.when(F.col("class") == 0, 1).otherwise(0)
-    return whole.select("pos", "class", (F.col("zeros") + F.col("before_zeros") - own).alias("zeros"),
+    return local, whole.select("pos", "class", (F.col("zeros") + F.col("before_zeros") - own).alias("zeros"),
                         (F.col("others") + F.col("before_others") - 1 + own).alias("others"))
 
 
@@ -125,13 +125,15 @@ def suffix_ranks(symbols: DataFrame, n: int, base_rows: int = BASE_ROWS) -> Data
     behind_two = ranks.select((F.col("pos") - 2).alias("pos"), F.col("rank").alias("r2"))
     kind = (F.col("pos") % 3).cast("int").alias("class")
     # against suffixes at 1 modulo 3: first symbol, then the sampled suffix behind it
-    one = counted(real.filter("pos % 3 < 2").join(behind, "pos", "left").select(
+    one_table, one = counted(real.filter("pos % 3 < 2").join(behind, "pos", "left").select(
         "pos", kind, "t0", F.coalesce("r1", F.lit(0)).alias("r1")), ["t0", "r1"])
     # against suffixes at 2 modulo 3: two symbols, then the sampled suffix behind them
-    two = counted(real.filter("pos % 3 <> 1").join(behind_two, "pos", "left").select(
+    two_table, two = counted(real.filter("pos % 3 <> 1").join(behind_two, "pos", "left").select(
         "pos", kind, "t0", "t1", F.coalesce("r2", F.lit(0)).alias("r2")), ["t0", "t1", "r2"])
     before = one.select("pos", F.when(F.col("class") == 0, F.col("zeros") + F.col("others")).otherwise(
         F.col("zeros")).alias("rank")).unionByName(
         two.select("pos", F.when(F.col("class") == 0, F.col("others")).otherwise(F.col("zeros")).alias("rank"))).unionByName(
         ranks.filter(F.col("pos") < n).select("pos", (F.col("rank") - 1 - dummy).alias("rank")))
-    return stored(before.groupBy("pos").agg(F.sum("rank").alias("rank")), "ranks")
+    out = stored(before.groupBy("pos").agg(F.sum("rank").alias("rank")), "ranks")
+    discard(triples, names, shorter, inner, ranks, one_table, two_table)
+    return out
