@@ -16,6 +16,8 @@ from trailhound.llm.common import stored, table
 
 SHINGLE = 5
 PERCENT = 80
+#: Words of a passage that may not occur twice: over 50.
+PASSAGE = 51
 
 
 def apart(docs: DataFrame) -> DataFrame:
@@ -55,8 +57,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, with every passage of 400 bytes that occurs elsewhere cut out of all texts that hold it."""
-    return op4_suffix_array.without_repeats(docs)
+    """All rows, with every passage of over 50 words or of 400 bytes that occurs elsewhere cut out of all texts that hold it.
+
+    Bytes catch what has few spaces; words, whatever their length, the rest.
+    """
+    return op4_suffix_array.without_repeats(docs, word_span=PASSAGE)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

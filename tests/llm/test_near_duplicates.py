@@ -1,6 +1,8 @@
 """MinHash, embeddings and suffix-array dedup against brute force."""
 
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -149,3 +151,34 @@ def test_suffix_array_edges(spark, make_docs):
         (0, "", 0), (1, "", 0), (1, "", 0)]  # the run of one character repeats within itself
     assert [r["n_chars"] for r in cut.filter("text is null").collect()] == [0]
     assert op4_suffix_array.digests(docs.limit(0)).collect() == []
+
+
+def repeated_word_bytes(text, texts, span):
+    """Flags of the bytes of ``text`` that a string of ``span`` words covers which starts twice in all texts."""
+    seen = Counter(tuple(w[i: i + span]) for w in (t.encode().split() for t in texts) for i in range(len(w) - span + 1))
+    data = text.encode()
+    at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+    gone = [False] * len(data)
+    for i in range(len(at) - span + 1):
+        if seen[tuple(data[a:b] for a, b in at[i: i + span])] > 1:
+            a, b = at[i][0], at[i + span - 1][1]
+            gone[a:b] = [True] * (b - a)
+    return gone
+
+
+@pytest.mark.parametrize("base_rows", [1 << 18, 12])
+def test_word_spans_equal_brute_force(spark, make_docs, base_rows):
+    rng = random.Random(7)
+    make = lambda n: rng.choices(["a", "bb", "ccc", "é", "漢字", "delta", "echo", "fox"], k=n)
+    shared = make(30)
+    texts = [" ".join(make(rng.randint(0, 60))) for _ in range(10)]
+    texts += [" ".join(make(9) + shared + make(5)), "\n ".join(shared), " ".join(shared[3:15] + make(9) + shared[17:]), "a " * 90, "", "  "]
+    for span in (6, 13):
+        got = {r["row"]["doc_id"]: r["spans"] for r in op4_suffix_array.removed_spans(
+            make_docs([*enumerate(texts), (99, None)]), span=400, word_span=span, base_rows=base_rows).collect()}
+        assert got.pop(99) == []
+        for i, text in enumerate(texts):
+            gone = [False] * len(text.encode())
+            for s in got[i]:
+                gone[s["first"]: s["last"]] = [True] * (s["last"] - s["first"])
+            assert gone == repeated_word_bytes(text, texts, span)

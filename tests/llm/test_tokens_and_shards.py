@@ -223,3 +223,14 @@ def test_pipeline_edges(spark):
     copies = corpus_pipeline.near_copies(spark, docs, sf).filter("doc_id in (3, 4)").collect()
     assert [r["doc_id"] for r in copies] == [3]
     assert corpus_pipeline.packing(spark, docs, sf).count() == len(rows)
+
+
+def test_pipeline_cuts_passages_of_over_50_words(spark, make_docs):
+    rng = random.Random(5)
+    make = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(3, 7))) for _ in range(n))
+    passage, short = make(55), make(50)
+    assert 300 < len(passage) < 400
+    ends = [make(40) for _ in range(8)]
+    texts = [f"{a} {p} {b}" for p, a, b in zip([passage, passage, short, short], ends[::2], ends[1::2])]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passages(spark, make_docs(enumerate(texts)), "").collect()}
+    assert [got[i] for i in range(4)] == [f"{ends[0]}  {ends[1]}", f"{ends[2]}  {ends[3]}", *texts[2:]]

@@ -13,6 +13,8 @@ string of SPAN bytes names one mark by its content alone, so two equal strings h
    ``BLOCK`` neighbours under one mark: blocks whose common bytes occur once go; of blocks with equal bytes one stands for
    all; what then is left is compared string by string.
 
+The same steps cut passages of so many words where a text is taken as the string of its words' hashes instead of its bytes.
+
 Hashes have 64 bits. All groups are counted, joined or represented, never gathered.
 """
 
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailhound.llm.common import BASE, byte_steps, cut_hash, discard, mix, partitions, prefix_hash, stored, table, texts
+from trailhound.llm.common import BASE, byte_steps, cut_hash, discard, mix, partitions, prefix_hash, stored, table, texts, words
 from trailhound.llm.op2_winnow import window_minima
 from trailhound.llm.suffixes import BASE_ROWS, numbered, suffix_ranks
 from trailhound.session import scratch_path
@@ -63,18 +65,22 @@ def marks_of(data: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.nda
     return at, hashes[at], prefix
 
 
-def each_text(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+def each_text(batch: pa.RecordBatch, by_words: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+    """Number and bytes of each row's text, or the hashes of its words."""
     for first, last, data, offsets in byte_steps(batch.column("text")):
+        if by_words:
+            start, end, row = words(data, offsets)
+            data, offsets = cut_hash(prefix_hash(data), start, end), np.searchsorted(row, np.arange(last - first + 1))
         for i in range(last - first):
             yield first + i, data[offsets[i]: offsets[i + 1]]
 
 
-def shared_grams(keyed: DataFrame, span: int, gram: int) -> DataFrame:
+def shared_grams(keyed: DataFrame, span: int, gram: int, by_words: bool = False) -> DataFrame:
     """Gram hashes of marks that occur at least twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [marks_of(data, span, gram)[1] for _, data in each_text(batch)]
+            found = [marks_of(data, span, gram)[1] for _, data in each_text(batch, by_words)]
             if found:
                 values, counts = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.minimum(counts, 2))], ["gram", "n"])
@@ -104,7 +110,7 @@ def unpacked(marks: DataFrame) -> DataFrame:
     return marks.withColumns({n: c.cast("int") for n, c in columns.items()}).drop("spot", "shape")
 
 
-def all_marks(keyed: DataFrame, span: int, gram: int) -> DataFrame:
+def all_marks(keyed: DataFrame, span: int, gram: int, by_words: bool = False) -> DataFrame:
     """Each mark with its run of strings (``low`` to ``high``), symbol, and the prefix of symbols that spans ``span`` bytes.
 
     ``far``: how many marks on that prefix ends, 0 where the text ends before; ``end``: the byte after it; ``prefix``: its
@@ -116,7 +122,7 @@ def all_marks(keyed: DataFrame, span: int, gram: int) -> DataFrame:
         for batch in batches:
             keys = batch.column("row_key").to_numpy()
             parts: list[list[np.ndarray]] = [[] for _ in range(6)]
-            for i, data in each_text(batch):
+            for i, data in each_text(batch, by_words):
                 at, hashes, prefix = marks_of(data, span, gram)
                 if not len(at):
                     continue
@@ -173,7 +179,7 @@ def column_lists(column: pa.Array, names: list[str]) -> tuple[list[np.ndarray],
     return [column.values.field(n).to_numpy().astype(np.int64) for n in names], offsets
 
 
-def blocks(keyed: DataFrame, runs: DataFrame, span: int, block: int) -> DataFrame:
+def blocks(keyed: DataFrame, runs: DataFrame, span: int, block: int, by_words: bool = False) -> DataFrame:
     """Blocks of strings under live marks: hash of the bytes common to a block (``core``) and of all its bytes (``whole``)."""
     schema = "row_key long, first int, last int, core long, whole long, covered boolean"
     near = runs.join(keyed.select("row_key", "text"), "row_key")
@@ -184,7 +190,7 @@ def blocks(keyed: DataFrame, runs: DataFrame, span: int, block: int) -> DataFram
             (spots, lows, highs), cuts = column_lists(batch.column("marks"), ["at", "low", "high"])
             (starts, ends), done_cuts = column_lists(batch.column("done"), ["first", "last"])
             out: list[list[np.ndarray]] = [[] for _ in range(6)]
-            for i, data in each_text(batch):
+            for i, data in each_text(batch, by_words):
                 own = slice(cuts[i], cuts[i + 1])
                 place, low, high = spots[own], lows[own], highs[own]
                 done = joined_ranges(starts[done_cuts[i]: done_cuts[i + 1]], ends[done_cuts[i]: done_cuts[i + 1]])
@@ -223,7 +229,7 @@ def joined_ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.stack([first[fresh], reach[np.append(np.flatnonzero(fresh)[1:] - 1, len(first) - 1)]], axis=1)
 
 
-def single_strings(keyed: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
+def single_strings(keyed: DataFrame, wanted: DataFrame, span: int, by_words: bool = False) -> DataFrame:
     """Every string of the wanted blocks (``first`` to ``last``): ``row_key``, ``start`` and its ``hash``."""
     grouped = wanted.groupBy("row_key").agg(F.collect_list(F.struct("first", "last")).alias("blocks"))
 
@@ -231,7 +237,7 @@ def single_strings(keyed: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
         for batch in batches:
             keys = batch.column("row_key").to_numpy()
             (firsts, lasts), cuts = column_lists(batch.column("blocks"), ["first", "last"])
-            for i, data in each_text(batch):
+            for i, data in each_text(batch, by_words):
                 prefix = prefix_hash(data)
                 starts = np.concatenate([np.arange(a, b + 1) for a, b in zip(
                     firsts[cuts[i]: cuts[i + 1]], lasts[cuts[i]: cuts[i + 1]])])
@@ -246,15 +252,20 @@ def single_strings(keyed: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
 
 
 def repeated_ranges(keyed: DataFrame, span: int = SPAN, gram: int = GRAM, block: int = BLOCK,
-                    base_rows: int = BASE_ROWS) -> DataFrame:
-    """``row_key``, ``first``, ``last``: ranges of starts of strings that also start elsewhere (overlaps possible)."""
-    shared = stored(shared_grams(keyed, span, gram), "grams")
-    live = unpacked(stored(all_marks(keyed, span, gram).join(shared, "gram").drop("gram"), "live"))
-    inside = stored(repeated_prefixes(live, base_rows).select(
+                    base_rows: int = BASE_ROWS, by_words: bool = False) -> DataFrame:
+    """``row_key``, ``first``, ``last``: ranges of starts of strings that also start elsewhere (overlaps possible).
+
+    With ``by_words``, all lengths and starts count words. A stored table; those behind it are deleted.
+    """
+    shared = stored(shared_grams(keyed, span, gram, by_words), "grams")
+    packed = stored(all_marks(keyed, span, gram, by_words).join(shared, "gram").drop("gram"), "live")
+    live = unpacked(packed)
+    prefixes = repeated_prefixes(live, base_rows)
+    inside = stored(prefixes.select(
         "row_key", F.col("at").alias("first"), (F.col("end") - span).cast("int").alias("last")), "inside")
     runs = live.groupBy("row_key").agg(F.collect_list(F.struct("at", "low", "high")).alias("marks")).join(
         inside.groupBy("row_key").agg(F.collect_list(F.struct("first", "last")).alias("done")), "row_key", "left")
-    cut = stored(blocks(keyed, runs, span, block), "blocks")
+    cut = stored(blocks(keyed, runs, span, block, by_words), "blocks")
     # one entry for blocks of equal bytes; of those that share only their common bytes, each stands for itself
     classes = stored(cut.groupBy("core", "whole").agg(
         F.count("*").alias("n"), F.min(F.struct("row_key", "first", "last")).alias("one"),
@@ -262,23 +273,41 @@ def repeated_ranges(keyed: DataFrame, span: int = SPAN, gram: int = GRAM, block:
     open_cores = stored(classes.groupBy("core").agg(
         F.count("*").alias("kinds"), F.max(((F.col("n") == 1) & ~F.col("covered")).cast("int")).alias("open")).filter(
         "kinds > 1 and open = 1").select("core"), "open_cores")
-    twice = classes.filter("n > 1 and not covered").select("core", "whole")
-    equal = cut.join(stored(twice, "twice"), ["core", "whole"]).select("row_key", "first", "last")
+    twice = stored(classes.filter("n > 1 and not covered").select("core", "whole"), "twice")
+    equal = cut.join(twice, ["core", "whole"]).select("row_key", "first", "last")
     wanted = stored(classes.join(open_cores, "core").select("one.row_key", "one.first", "one.last"), "wanted")
-    strings = stored(single_strings(keyed, wanted, span), "strings")
+    strings = stored(single_strings(keyed, wanted, span, by_words), "strings")
     again = stored(strings.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "again")
     alone = strings.join(again, "hash").select("row_key", F.col("start").alias("first"), F.col("start").alias("last"))
-    return inside.unionByName(equal).unionByName(alone)
+    out = stored(inside.unionByName(equal).unionByName(alone), "ranges")
+    discard(shared, packed, prefixes, inside, cut, classes, open_cores, twice, wanted, strings, again)
+    return out
+
 
+def listed(ranges: DataFrame, name: str) -> DataFrame:
+    return ranges.groupBy("row_key").agg(F.collect_list(F.struct("first", "last")).alias(name))
 
-def removed_spans(docs: DataFrame, span: int = SPAN, **settings) -> DataFrame:
-    """``row``, ``text`` and ``spans``: maximal byte ranges [first, last) of the text to remove, none for null text."""
+
+def removed_spans(docs: DataFrame, span: int = SPAN, word_span: int | None = None, **settings) -> DataFrame:
+    """``row``, ``text`` and ``spans``: maximal byte ranges [first, last) of the text to remove, none for null text.
+
+    With ``word_span``, also what strings of so many words repeat, from the first to the last word and whatever space stands
+    between them.
+    """
     keyed = with_keys(docs)
-    ranges = stored(repeated_ranges(keyed, span, **settings), "ranges").groupBy("row_key").agg(
-        F.collect_list(F.struct("first", "last")).alias("ranges"))
+    found = keyed.join(listed(repeated_ranges(keyed, span, **settings), "ranges"), "row_key", "left")
+    if word_span:
+        by_words = repeated_ranges(keyed, word_span, (word_span + 1) // 2, max(1, word_span // 6), by_words=True,
+                                   **{k: v for k, v in settings.items() if k == "base_rows"})
+        found = found.join(listed(by_words, "word_ranges"), "row_key", "left")
     schema = T.StructType([keyed.schema["row"], T.StructField("text", T.StringType()), T.StructField(
         "spans", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())])))])
 
+    def in_bytes(text: pa.StringScalar, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        data = np.frombuffer(text.as_buffer(), np.uint8)
+        start, end, _ = words(data, np.array([0, len(data)]))
+        return start[first], end[last + word_span - 1] - 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
@@ -286,12 +315,18 @@ def removed_spans(docs: DataFrame, span: int = SPAN, **settings) -> DataFrame:
         for batch in batches:
             spans = []
             (firsts, lasts), cuts = column_lists(batch.column("ranges"), ["first", "last"])
-            for start, stop in zip(cuts, cuts[1:]):
-                found = joined_ranges(firsts[start:stop], lasts[start:stop] + span - 1)  # bytes of strings from first to last
-                spans.append([{"first": int(a), "last": int(b) + 1} for a, b in found])
+            if word_span:
+                (word_firsts, word_lasts), word_cuts = column_lists(batch.column("word_ranges"), ["first", "last"])
+            for i, (start, stop) in enumerate(zip(cuts, cuts[1:])):
+                first, last = firsts[start:stop], lasts[start:stop] + span - 1  # bytes of strings from first to last
+                if word_span and word_cuts[i] < word_cuts[i + 1]:
+                    own = slice(word_cuts[i], word_cuts[i + 1])
+                    more = in_bytes(batch.column("text")[i], word_firsts[own], word_lasts[own])
+                    first, last = np.concatenate((first, more[0])), np.concatenate((last, more[1]))
+                spans.append([{"first": int(a), "last": int(b) + 1} for a, b in joined_ranges(first, last)])
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array(spans, kind)], schema.names)
 
-    return keyed.join(ranges, "row_key", "left").select("row", "text", "ranges").mapInArrow(run, schema)
+    return found.drop("row_key").mapInArrow(run, schema)
 
 
 def kept_parts(data: bytes, spans: list[dict]) -> list[bytes]:
