@@ -56,8 +56,8 @@ def texts(column: pa.Array) -> pa.Array:
     return pc.fill_null(column.cast(pa.string()), "")
 
 
-def byte_steps(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Row ranges of at most ``limit`` bytes and ``STEP_ROWS`` rows: (first row, row after the last, their bytes, row offsets into the bytes)."""
+def byte_steps(column: pa.Array, limit: int = STEP_BYTES, rows: int = STEP_ROWS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Row ranges of at most ``limit`` bytes and ``rows`` rows: (first row, row after the last, their bytes, row offsets into the bytes)."""
     column = texts(column)
     if not len(column):
         return
@@ -67,7 +67,7 @@ def byte_steps(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int,
     first = 0
     while first < len(column):
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1)
-        last = min(last, first + STEP_ROWS)
+        last = min(last, first + rows)
         yield first, last, whole[offsets[first]: offsets[last]], offsets[first: last + 1] - offsets[first]
         first = last
 
