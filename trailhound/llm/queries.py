@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trailhound.llm import op11_collocations as phrases
+from trailhound.llm import op12_spelling as spelling
 from trailhound.llm.op1_hmm import op1_hmm
 from trailhound.llm.op2_winnow import op2_winnow
 from trailhound.llm.op3_minhash import op3_minhash
@@ -30,8 +31,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language": op9_language,
     "op10_sharding": op10_sharding,
     "op11_collocations": phrases.op11_collocations,
+    "op12_spelling": spelling.op12_spelling,
 }
 
 ORACLES: dict[str, str] = {
     "op11_collocations": phrases.ORACLE,
+    "op12_spelling": spelling.ORACLE,
 }
