@@ -18,6 +18,7 @@ from trailhound.llm.op7_packing import op7_packing
 from trailhound.llm.op8_toxicity import op8_toxicity
 from trailhound.llm.op9_language import op9_language
 from trailhound.llm.op10_sharding import op10_sharding
+from trailhound.llm.op13_neighbours import op13_neighbours
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hmm": op1_hmm,
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
     "op11_collocations": phrases.op11_collocations,
     "op12_spelling": spelling.op12_spelling,
+    "op13_neighbours": op13_neighbours,
 }
 
 ORACLES: dict[str, str] = {
