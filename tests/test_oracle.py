@@ -5,7 +5,7 @@ from check import compare, connect
 
 from trailhound.plans.catalog import ORACLES, QUERIES
 
-WITHOUT_SQL = {"snk_markdown_report"}
+WITHOUT_SQL = set()
 
 
 @pytest.fixture(scope="module")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,3 +27,15 @@ def banded(score: Column, bands: list[tuple], field: int = 1) -> Column:
 def count_where(condition: Column) -> Column:
     """Rows for which a condition holds, as bigint and 0 for no rows."""
     return F.count(F.when(condition, F.lit(1)))
+
+
+#: In a table of counts: how many rows each of its rows stands for.
+ROWS = "n_rows"
+
+
+def rows_where(df: DataFrame, condition: Column | None = None) -> Column:
+    """How many rows (for which a condition holds) a group has, where a row of a table of counts stands for ``ROWS`` of them."""
+    if ROWS in df.columns:
+        n = F.col(ROWS) if condition is None else F.when(condition, F.col(ROWS))
+        return F.coalesce(F.sum(n), F.lit(0)).cast("bigint")
+    return F.count(F.lit(1)) if condition is None else count_where(condition)

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from trailhound import fixed_values as V
-from trailhound.functions.lookup import count_where
+from trailhound.functions.lookup import count_where, rows_where
 from trailhound.session import constant_table
 
 
 def value_counts(df: DataFrame, *columns: str, name: str = "n") -> DataFrame:
-    return df.groupBy(*columns).agg(F.count(F.lit(1)).alias(name))
+    return df.groupBy(*columns).agg(rows_where(df).alias(name))
 
 
 def ranked_counts(df: DataFrame, *columns: str, name: str = "n", limit: int | None = None) -> DataFrame:
@@ -66,11 +66,11 @@ def finding_severity_counts(findings: DataFrame, by: tuple[str, ...] = ()) -> Da
     known = F.coalesce(severity.isin("CRITICAL", "HIGH"), F.lit(False))
     medium = F.coalesce(severity == "MEDIUM", F.lit(False))
     return findings.groupBy(*by).agg(
-        count_where(severity == "CRITICAL").alias("critical_count"),
-        count_where(severity == "HIGH").alias("high_count"),
-        count_where(~known & (anomaly | medium)).alias("medium_count"),
-        count_where(~known & ~anomaly & ~medium).alias("low_count"),
-        F.count(F.lit(1)).alias("total_findings"),
+        rows_where(findings, severity == "CRITICAL").alias("critical_count"),
+        rows_where(findings, severity == "HIGH").alias("high_count"),
+        rows_where(findings, ~known & (anomaly | medium)).alias("medium_count"),
+        rows_where(findings, ~known & ~anomaly & ~medium).alias("low_count"),
+        rows_where(findings).alias("total_findings"),
     )
 
 

@@ -72,11 +72,17 @@ def rule_hits(text: Column, rules: list[tuple[str, str, str, str]]) -> list[Colu
     return [_hit(pattern_hit(text, p), kind, list_name, sev, p) for kind, list_name, sev, p in rules]
 
 
+def hits_by_rule(text: Column) -> dict[str, list[Column]]:
+    """All row rules by the family they belong to."""
+    return {
+        "keyword": keyword_hits(text), "failed_login": auth_fail_hits(text), "login": login_ok_hits(text),
+        "process": process_hits(text), "powershell": powershell_hits(text),
+        "command": [h for c in V.COMMAND_PATTERNS for h in command_hits(text, c)],
+    }
+
+
 def all_hits(text: Column) -> list[Column]:
-    return [
-        *keyword_hits(text), *auth_fail_hits(text), *login_ok_hits(text), *process_hits(text),
-        *powershell_hits(text), *[h for c in V.COMMAND_PATTERNS for h in command_hits(text, c)],
-    ]
+    return [h for hits in hits_by_rule(text).values() for h in hits]
 
 
 def row_findings(df: DataFrame, make_hits=all_hits, text: str = "raw_log", distinct_rows: bool = False) -> DataFrame:

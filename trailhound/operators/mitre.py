@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from trailhound import fixed_values as V
-from trailhound.functions.lookup import count_where
+from trailhound.functions.lookup import ROWS, count_where, rows_where
 from trailhound.functions.text import first_contained
 from trailhound.session import constant_table
 
@@ -42,10 +42,11 @@ def mapped_counts(findings: DataFrame) -> DataFrame:
     """Counts by what gets mapped: the six lists under their own name, anomalies under their type."""
     key = F.when(F.col("list_name") == "anomalies", F.col("finding_type")).when(
         F.col("list_name").isin(V.PRIORITIZED_LISTS), F.col("list_name"))
+    kept = [c for c in findings.columns if c == ROWS]
     return (
-        findings.select(key.alias("mapped_as"), (F.col("list_name") == "anomalies").alias("is_anomaly"))
+        findings.select(key.alias("mapped_as"), (F.col("list_name") == "anomalies").alias("is_anomaly"), *kept)
         .filter("mapped_as is not null").groupBy("mapped_as", "is_anomaly")
-        .agg(F.count(F.lit(1)).alias("n_findings")))
+        .agg(rows_where(findings).alias("n_findings")))
 
 
 def map_findings(findings: DataFrame, alias: bool = False) -> DataFrame:

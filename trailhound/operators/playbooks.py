@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from trailhound import fixed_values as V
 from trailhound import playbook_values as P
-from trailhound.functions.lookup import look_up
+from trailhound.functions.lookup import look_up, rows_where
 from trailhound.session import constant_table
 
 
@@ -40,13 +40,13 @@ def playbook_key(finding_type: Column) -> Column:
 
 def findings_by_playbook(findings: DataFrame) -> DataFrame:
     return findings.groupBy(playbook_key(F.col("finding_type")).alias("playbook")).agg(
-        F.count(F.lit(1)).alias("n_findings"))
+        rows_where(findings).alias("n_findings"))
 
 
 def look_up_playbooks(findings: DataFrame) -> DataFrame:
     """Playbook of every finding type that is itself a playbook name."""
     books = playbook_table(findings.sparkSession)
-    kinds = findings.groupBy(F.col("finding_type").alias("playbook")).agg(F.count(F.lit(1)).alias("n_findings"))
+    kinds = findings.groupBy(F.col("finding_type").alias("playbook")).agg(rows_where(findings).alias("n_findings"))
     return kinds.join(F.broadcast(books), "playbook")
 
 
@@ -120,7 +120,7 @@ def response_plan(findings: DataFrame) -> DataFrame:
     Findings of one type and severity share a plan entry, so the plan has a few rows for any input size.
     """
     rank = look_up(F.coalesce("severity", F.lit("LOW")), V.PLAN_SEVERITY_ORDER, 5)
-    kinds = findings.groupBy("finding_type", "severity").agg(F.count(F.lit(1)).alias("n_findings"))
+    kinds = findings.groupBy("finding_type", "severity").agg(rows_where(findings).alias("n_findings"))
     books = playbook_table(findings.sparkSession)
     first = F.element_at("containment_steps", 1)
     urgent = F.col("playbook_severity").isin(V.CRITICAL_PLAYBOOK_SEVERITIES)
@@ -143,7 +143,7 @@ def plan_time(plan: DataFrame) -> DataFrame:
 
 def dashboard_playbooks(findings: DataFrame, n: int = 2) -> DataFrame:
     """Playbooks the dashboard shows: the first ones whose list is long enough."""
-    counts = findings.groupBy("list_name").agg(F.count(F.lit(1)).alias("n"))
+    counts = findings.groupBy("list_name").agg(rows_where(findings).alias("n"))
     rules = constant_table(
         findings.sparkSession, ["list_name", "above", "playbook", "rank"],
         [(*r, i) for i, r in enumerate(V.DASHBOARD_PLAYBOOKS, 1)])

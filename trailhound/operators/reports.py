@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailhound import fixed_values as V
+from trailhound.functions.lookup import banded, rows_where
 from trailhound.operators.aggregates import finding_severity_counts
 
 TECHNICAL_LISTS = [
@@ -18,8 +19,6 @@ def executive_summary(score: DataFrame, findings: DataFrame) -> DataFrame:
     """Risk score and level with finding counts: two one-row aggregates, joined as scalar subqueries."""
     counts = finding_severity_counts(findings)
     one = score.select("risk_score", "total_events")
-    from trailhound.functions.lookup import banded
-
     return counts.select(
         one.select("risk_score").scalar().alias("risk_score"),
         banded(one.select("risk_score").scalar(), V.DASHBOARD_BANDS).alias("risk_level"),
@@ -29,7 +28,7 @@ def executive_summary(score: DataFrame, findings: DataFrame) -> DataFrame:
 
 def technical_counts(findings: DataFrame) -> DataFrame:
     return findings.filter(F.col("list_name").isin(TECHNICAL_LISTS)).groupBy("list_name").agg(
-        F.count(F.lit(1)).alias("n"))
+        rows_where(findings).alias("n"))
 
 
 def indicator_table(iocs: DataFrame, n: int = 10) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailhound import fixed_values as V
-from trailhound.functions.lookup import banded, count_where, look_up
+from trailhound.functions.lookup import ROWS, banded, count_where, look_up, rows_where
 from trailhound.functions.times import age_banded, as_time, seconds_between
 from trailhound.operators import chains, detect
 from trailhound.operators.iocs import external_ip
@@ -78,7 +78,11 @@ def recency(df: DataFrame, as_of: str, by: tuple[str, ...] = ()) -> DataFrame:
 # --- findings score -----------------------------------------------------------------------------
 
 def finding_profile(findings: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """One row per group with every count the finding scores use."""
+    """One row per group with every count the finding scores use. ``findings`` may be a table of counts of findings."""
+
+    def count(condition: Column | None = None) -> Column:
+        return rows_where(findings, condition)
+
     kind, list_name = F.col("finding_type"), F.col("list_name")
     anomaly = list_name == "anomalies"
     level = F.col("severity")
@@ -86,14 +90,14 @@ def finding_profile(findings: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
              "persistence_attempts", "data_exfiltration"]
     scored = (list_name.isin(V.RECENCY_LISTS)) | anomaly
     return findings.groupBy(*by).agg(
-        *[count_where(kind == t).alias(f"type_{t}") for t in V.FINDING_BASE_SCORES],
-        *[count_where((list_name == n) | (kind == n)).alias(f"list_{n}") for n in lists],
-        *[count_where(anomaly & (level == s)).alias(f"anomaly_{s}") for s in V.ANOMALY_SCORES],
-        count_where(anomaly & ~F.coalesce(level.isin(list(V.ANOMALY_SCORES)), F.lit(False))).alias("anomaly_other"),
-        count_where(anomaly).alias("anomalies"),
-        count_where(anomaly & F.lower(kind).contains("exfiltration")).alias("anomaly_exfiltration"),
-        count_where(anomaly & F.lower(kind).contains("ransomware")).alias("anomaly_ransomware"),
-        F.count(F.lit(1)).alias("total_findings"),
+        *[count(kind == t).alias(f"type_{t}") for t in V.FINDING_BASE_SCORES],
+        *[count((list_name == n) | (kind == n)).alias(f"list_{n}") for n in lists],
+        *[count(anomaly & (level == s)).alias(f"anomaly_{s}") for s in V.ANOMALY_SCORES],
+        count(anomaly & ~F.coalesce(level.isin(list(V.ANOMALY_SCORES)), F.lit(False))).alias("anomaly_other"),
+        count(anomaly).alias("anomalies"),
+        count(anomaly & F.lower(kind).contains("exfiltration")).alias("anomaly_exfiltration"),
+        count(anomaly & F.lower(kind).contains("ransomware")).alias("anomaly_ransomware"),
+        count().alias("total_findings"),
         F.max(F.when(scored, F.col("ts"))).alias("latest_ts"),
         F.max(F.when(list_name.isin(V.RECENT_LISTS), F.col("ts"))).alias("latest_serious_ts"),
     )
@@ -217,8 +221,9 @@ def asset_risk(findings: DataFrame, assets: DataFrame) -> DataFrame:
     Findings are summed per host first, so the join sees one row per host however hot a host is.
     """
     base = look_up(F.col("finding_type"), V.FINDING_BASE_SCORES, V.FINDING_BASE_SCORES["default"])
+    rows = F.col(ROWS) if ROWS in findings.columns else F.lit(1)
     per_host = findings.filter(F.col("host").isNotNull()).groupBy("host").agg(
-        F.count(F.lit(1)).alias("finding_count"), F.avg(base.cast("double")).alias("_mean"))
+        F.sum(rows).alias("finding_count"), (F.sum(base.cast("double") * rows) / F.sum(rows)).alias("_mean"))
     criticality = look_up(F.col("asset_type"), V.ASSET_CRITICALITY, 40)
     risk = F.round(criticality * F.lit(0.6) + F.coalesce("_mean", F.lit(0.0)) * F.lit(0.4), 9)
     joined = assets.join(per_host, F.col("asset_name") == F.col("host"), "left").withColumn("_risk", risk)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trailhound import fixed_values as V
 from trailhound.operators import aggregates as A
+from trailhound.operators import analysis as Y
 from trailhound.operators import chains as C
 from trailhound.operators import detect as D
 from trailhound.operators import filters as L
@@ -33,6 +34,11 @@ def findings(spark, d):
     return D.detect_all(events(spark, d))
 
 
+def analysis(spark, d):
+    """The events counted once: what scores, mappings, plans and reports start from."""
+    return Y.analyse(events(spark, d))
+
+
 # --- filters ------------------------------------------------------------------------------------
 
 @query("flt_high", f"select {COLS} from log_events where severity in {in_list(V.QUESTION_HIGH_SEVERITIES)}", LE)
@@ -161,7 +167,7 @@ def jn_substr_map(spark, d):
 select m.technique_id, (select p.playbook from playbooks p where contains(p.mitre_technique, m.technique_id)
  order by p.playbook_rank limit 1) as playbook from (select distinct technique_id from mapped) m""", ("mapped", "playbooks"))
 def jn_tid_contains(spark, d):
-    return B.by_technique(M.map_findings(findings(spark, d)))
+    return B.by_technique(M.map_findings(analysis(spark, d).findings()))
 
 
 _STEPS = values([(i, *s) for i, s in enumerate(V.COVERAGE_STEPS, 1)], "step, tactic, technique_id, technique_name")
@@ -329,12 +335,12 @@ select count(*) filter (where severity = 'CRITICAL') as critical_count, count(*)
  count(*) filter (where severity not in ('CRITICAL', 'HIGH', 'MEDIUM') and list_name <> 'anomalies') as low_count,
  count(*) as total_findings from findings""", ("findings",))
 def agg_find_sev(spark, d):
-    return A.finding_severity_counts(findings(spark, d))
+    return A.finding_severity_counts(analysis(spark, d).findings())
 
 
 @query("agg_categories", "select list_name, count(*) as n from findings group by list_name", ("findings",))
 def agg_categories(spark, d):
-    return A.categories(findings(spark, d))
+    return A.categories(analysis(spark, d).findings())
 
 
 @query("agg_dashboard", f"""
@@ -365,12 +371,12 @@ _MATRIX = values(list(enumerate(V.MATRIX_TACTICS, 1)), "rank, tactic")
 select cast(t.rank as bigint) as rank, t.tactic, coalesce((select string_agg(n, ', ' order by n) from (select distinct m.technique_name as n from mapped m
  where m.tactic = t.tactic) x), '') as techniques from ({_MATRIX}) t""", ("mapped",))
 def agg_matrix(spark, d):
-    return A.technique_matrix(M.map_findings(findings(spark, d)))
+    return A.technique_matrix(M.map_findings(analysis(spark, d).findings()))
 
 
 @query("agg_tactics", "select tactic, cast(sum(n_findings) as bigint) as n_findings from mapped group by tactic", ("mapped",))
 def agg_tactics(spark, d):
-    return A.tactic_counts(M.map_findings(findings(spark, d)))
+    return A.tactic_counts(M.map_findings(analysis(spark, d).findings()))
 
 
 # --- set operations -----------------------------------------------------------------------------
@@ -394,7 +400,7 @@ select technique, technique_id, mitigation, priority from (
   row_number() over (partition by mitigation order by list_position({V.MITIGATION_LISTS}, mapped_as)) as k
  from mapped where not is_anomaly and mapped_as in {in_list(V.MITIGATION_LISTS)}) x where k = 1""", ("mapped",))
 def set_dedupe_mitig(spark, d):
-    return M.mitigations(M.map_findings(findings(spark, d)))
+    return M.mitigations(M.map_findings(analysis(spark, d).findings()))
 
 
 @query("set_ioc_seen", "select source_ip as indicator from log_events intersect select indicator from ioc_feed", ("log_events", "ioc_feed"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trailhound import fixed_values as V
 from trailhound.functions.text import holds_any
 from trailhound.operators import aggregates as A
+from trailhound.operators import analysis as Y
 from trailhound.operators import detect as D
 from trailhound.operators import iocs as I
 from trailhound.operators import mitre as M
@@ -16,8 +17,8 @@ from trailhound.operators import scoring as S
 from trailhound.operators import timeline as T
 from trailhound.plans.fixtures import VIEW_SQL, table, view
 from trailhound.plans.oracle_views import banded, word_test
-from trailhound.plans.q_core import LE, events, findings
-from trailhound.plans.q_scores import AS_OF, _detector_sql, mapped
+from trailhound.plans.q_core import LE, analysis, events, findings
+from trailhound.plans.q_scores import AS_OF, _detector_sql, _overall_sql, mapped
 from trailhound.plans.registry import query
 from trailhound.session import scratch_path
 from trailhound.streaming import detectors as ST
@@ -45,9 +46,8 @@ def snk_parquet(spark, d):
     return spark.read.parquet(R.write(rows, scratch_path(spark, "events"), "parquet", ["day"]))
 
 
-def _summary(spark, d):
-    e = events(spark, d)
-    return R.executive_summary(S.detector_score(D.severity_profile(e), AS_OF), findings(spark, d))
+def _summary(found):
+    return R.executive_summary(S.detector_score(found.profile(), AS_OF), found.findings())
 
 
 @query("snk_report_tables", f"""
@@ -57,12 +57,12 @@ select s.risk_score, {banded("s.risk_score", V.DASHBOARD_BANDS)} as risk_level,
  count(*) filter (where severity not in ('CRITICAL', 'HIGH', 'MEDIUM') and list_name <> 'anomalies') as low_count, count(*) as total_findings
 from findings cross join ({_detector_sql("")}) s group by 1, 2, 3""", ("findings",))
 def snk_report_tables(spark, d):
-    return _summary(spark, d)
+    return _summary(analysis(spark, d))
 
 
 @query("rpt_technical", "select list_name, count(*) as n from findings where list_name not in ('successful_logins', 'suspicious_processes') group by 1", ("findings",))
 def rpt_technical(spark, d):
-    return R.technical_counts(findings(spark, d))
+    return R.technical_counts(analysis(spark, d).findings())
 
 
 @query("rpt_indicators", "select value, n_events from ip_iocs order by n_events desc, value limit 10", ("ip_iocs",))
@@ -76,7 +76,7 @@ select string_agg(line, chr(10) order by part, pos) as markdown from (
  union all select 1, row_number() over (order by list_name), '| ' || list_name || ' | ' || n || ' |' from (
   select list_name, count(*) as n from findings group by 1) t) x""", ("findings",))
 def snk_markdown(spark, d):
-    counts = A.value_counts(findings(spark, d), "list_name")
+    counts = A.value_counts(analysis(spark, d).findings(), "list_name")
     rows = counts.agg(F.array_sort(F.collect_list(F.concat(
         F.lit("| "), "list_name", F.lit(" | "), F.col("n").cast("string"), F.lit(" |")))).alias("_rows"))
     text = rows.select(F.concat_ws("\n", F.lit("## Technical Findings"), "_rows").alias("markdown"))
@@ -84,13 +84,40 @@ def snk_markdown(spark, d):
     return spark.read.text(path, wholetext=True).select(F.rtrim("value", F.lit("\n")).alias("markdown"))
 
 
-@query("snk_markdown_report")
+def _report_advice_sql(n):
+    """The first pieces of advice: by score, by the lists among the ten highest findings, and always."""
+    rows = " union all ".join(
+        f"select {k} as k, unnest(range({len(texts)})) as i, unnest({texts}) as t, '{need}' as need"
+        for k, (need, texts) in enumerate(V.RECOMMENDATION_RULES.items()))
+    return f"""
+select row_number() over (order by k, i) as rank, t from ({rows}) r
+where need = 'always' or (need = 'score' and (select overall_risk_score from ({_overall_sql("", False)}) o) >= 70)
+ or need in (select list_name from scored_findings order by risk_score desc, ts, event_id, list_name, finding_type, details limit 10)
+order by k, i limit {n}"""
+
+
+@query("snk_markdown_report", f"""
+select string_agg(line, chr(10) order by part, pos) as markdown from (
+ select 0 as part, 0 as pos, '# Security Incident Report' || chr(10, 10) || '## Executive Summary' as line
+ union all select 1, 0, '- **Risk Score:** ' || risk_score || '/100' || chr(10) || '- **Risk Level:** ' || {banded("risk_score", V.DASHBOARD_BANDS)}
+  || chr(10) || '- **Total Events Analyzed:** ' || total_events from ({_detector_sql("")}) s
+ union all select 2, 0, chr(10) || '## Technical Findings' || chr(10, 10) || '| Finding Type | Count |' || chr(10) || '|---|---|'
+ union all select 3, row_number() over (order by list_name), '| ' || list_transform(string_split(list_name, '_'),
+   lambda w: upper(w[1]) || w[2:]).array_to_string(' ') || ' | ' || n || ' |' from (
+  select list_name, count(*) as n from findings where list_name not in ('successful_logins', 'suspicious_processes') group by 1) t
+ union all select 4, 0, chr(10) || '## Indicators of Compromise'
+ union all select 5, row_number() over (order by n_events desc, value), '- `' || value || '`' from (
+  select value, n_events from ip_iocs order by n_events desc, value limit 10) i
+ union all select 6, 0, chr(10) || '## Recommendations'
+ union all select 7, rank, rank || '. ' || t from ({_report_advice_sql(5)}) a) x""".replace("chr(10, 10)", "chr(10) || chr(10)"),
+       ("findings", "scored_findings", "row_findings", "ip_iocs"))
 def snk_markdown_report(spark, d):
-    f = findings(spark, d)
-    top = T.prioritize(f, 10).select("list_name", F.lit(1).alias("rank"))
-    advice = S.recommendations(S.overall_risk(f, AS_OF), top, 5)
+    """Reads the events three times: for all counts, for the highest findings and for the addresses."""
+    found = analysis(spark, d)
+    top = Y.top_findings(events(spark, d), 10).select("list_name", F.lit(1).alias("rank"))
+    advice = S.recommendations(S.overall_risk(found.findings(), AS_OF), top, 5)
     return R.markdown_report(
-        _summary(spark, d), R.technical_counts(f), R.indicator_table(I.extract(events(spark, d), ["ip"])), advice)
+        _summary(found), R.technical_counts(found.findings()), R.indicator_table(I.extract(events(spark, d), ["ip"])), advice)
 
 
 @query("snk_mitre", "select mapped_as, '| ' || technique_id || ' | ' || technique_name || ' | ' || tactic || ' | ' || confidence || ' |' as line from mapped", ("mapped",))
@@ -103,7 +130,7 @@ def snk_mitre(spark, d):
 select p.playbook, starts_with('# ' || p.title, '# ') as titled, (select count(*) from playbook_steps s where s.playbook = p.playbook) as n_steps
 from playbooks p where p.playbook in (select playbook from finding_playbooks)""", ("playbooks", "playbook_steps", "finding_playbooks"))
 def snk_playbooks(spark, d):
-    books = B.all_playbooks(findings(spark, d)).filter("n_findings > 0")
+    books = B.all_playbooks(analysis(spark, d).findings()).filter("n_findings > 0")
     return B.markdown(books).select(
         "playbook", F.col("markdown").startswith("# ").alias("titled"),
         (F.size(F.split("markdown", "### Step ")) - 1).cast("bigint").alias("n_steps"))

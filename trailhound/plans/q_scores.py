@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from trailhound import fixed_values as V
 from trailhound.functions.lookup import banded as banded_column
@@ -11,12 +12,13 @@ from trailhound.operators import detect as D
 from trailhound.operators import iocs as I
 from trailhound.operators import mitre as M
 from trailhound.operators import aggregates as A
+from trailhound.operators import analysis as Y
 from trailhound.operators import playbooks as B
 from trailhound.operators import scoring as S
 from trailhound.operators import timeline as T
 from trailhound.plans.fixtures import view
 from trailhound.plans.oracle_views import banded, case_map, in_list, word_test
-from trailhound.plans.q_core import LE, events, findings
+from trailhound.plans.q_core import LE, analysis, events, findings
 from trailhound.plans.registry import query
 
 AS_OF = "2024-01-31 00:00:00"
@@ -95,7 +97,7 @@ _PHASES = """select t.tactic, t.tactic_rank, cast(sum(m.n_findings) as bigint) a
 
 @query("win_chain_phase", f"select tactic, n_findings, phase from ({_PHASES}) p", ("mapped",))
 def win_chain_phase(spark, d):
-    return M.attack_order(M.map_findings(findings(spark, d)))
+    return M.attack_order(M.map_findings(analysis(spark, d).findings()))
 
 
 @query("win_first_step", """
@@ -103,7 +105,7 @@ select f.playbook, s.action, s.command, cast(sum(f.n_findings) as bigint) as n_f
 from finding_playbooks f join playbook_steps s on s.playbook = f.playbook and s.step = 1 group by 1, 2, 3""",
        ("finding_playbooks", "playbook_steps"))
 def win_first_step(spark, d):
-    f = findings(spark, d)
+    f = analysis(spark, d).findings()
     books = B.all_playbooks(f).filter("n_findings > 0")
     return B.first_steps(books).select("playbook", "action", "command").join(
         F.broadcast(books.select("playbook", "n_findings")), "playbook")
@@ -207,7 +209,7 @@ def _component_query(name, column, expression, score):
     @query(name, f"select g as host, round(cast({expression} as double), 2) as {column} from {_counts_sql('host')} c where g is not null",
            ("findings",))
     def run(spark, d):
-        return S.component(findings(spark, d), column, score(), ("host",)).filter("host is not null")
+        return S.component(analysis(spark, d).findings(), column, score(), ("host",)).filter("host is not null")
 
 
 _component_query("scr_severity", "severity_score", _SEV, S.severity_score)
@@ -222,7 +224,7 @@ _POINTS = case_map("asset_type", V.ASSET_CRITICALITY, 40)
 select g as host, round(cast({_impact("coalesce(p, 0)")} as double), 2) as impact_score from {_counts_sql('host')} c
 left join (select asset_name, {_POINTS} * 0.1 as p from assets) a on a.asset_name = c.g where g is not null""", ("findings", "assets"))
 def scr_impact(spark, d):
-    return S.overall_risk(findings(spark, d), AS_OF, ("host",), view(spark, d, "assets")).filter(
+    return S.overall_risk(analysis(spark, d).findings(), AS_OF, ("host",), view(spark, d, "assets")).filter(
         "host is not null").select("host", "impact_score")
 
 
@@ -261,12 +263,12 @@ from (select *, round(0.35 * sev + 0.15 * vol + 0.15 * rec + 0.20 * imp + 0.15 *
 
 @query("scr_overall", _overall_sql("", True), ("findings", "assets"))
 def scr_overall(spark, d):
-    return S.overall_risk(findings(spark, d), AS_OF, assets=view(spark, d, "assets"))
+    return S.overall_risk(analysis(spark, d).findings(), AS_OF, assets=view(spark, d, "assets"))
 
 
 @query("scr_overall_by_host", _overall_sql("host", True), ("findings", "assets"))
 def scr_overall_by_host(spark, d):
-    return S.overall_risk(findings(spark, d), AS_OF, ("host",), view(spark, d, "assets"))
+    return S.overall_risk(analysis(spark, d).findings(), AS_OF, ("host",), view(spark, d, "assets"))
 
 
 def _bands_sql(column, field):
@@ -297,7 +299,7 @@ _band_query("scr_timeframe", "response_timeframe", 3)
 
 @query("scr_factors", f"select g as host, {_FACTORS} as contributing_factors from {_counts_sql('host')} c", ("findings",))
 def scr_factors(spark, d):
-    counts = S.finding_profile(findings(spark, d), ("host",))
+    counts = S.finding_profile(analysis(spark, d).findings(), ("host",))
     return counts.select("host", F.array_join(S.contributing_factors(AS_OF), "; ").alias("contributing_factors"))
 
 
@@ -321,7 +323,7 @@ from (select asset_name, asset_type, cast(c as bigint) as c, n, round(0.6 * c +
   avg(cast({case_map("f.finding_type", V.FINDING_BASE_SCORES, 50)} as double)) filter (where f.finding_type is not null) as m
  from assets a left join findings f on f.host = a.asset_name group by 1, 2, 3) x) y""", ("findings", "assets"))
 def scr_asset(spark, d):
-    return S.asset_risk(findings(spark, d), view(spark, d, "assets"))
+    return S.asset_risk(analysis(spark, d).findings(), view(spark, d, "assets"))
 
 
 @query("scr_metrics", """
@@ -345,13 +347,9 @@ select row_number() over (order by k) as rank, t as recommendation from (
   or need in (select list_name from (select list_name, row_number() over (order by risk_score desc, ts, event_id, list_name, finding_type, details) as p
     from scored_findings) q where p <= case when need = 'failed_logins' then 10 else 5 end)) z limit 8""", ("findings", "scored_findings"))
 def scr_recommend(spark, d):
-    f = findings(spark, d)
-    top = T.prioritize(f, 10)
-    from pyspark.sql import Window as W
-
     order = W.orderBy(F.desc("risk_score"), "ts", "event_id", "list_name", "finding_type", "details")
-    ranked = top.select("list_name", F.row_number().over(order).alias("rank"))
-    return S.recommendations(S.overall_risk(f, AS_OF), ranked)
+    ranked = Y.top_findings(events(spark, d), 10).select("list_name", F.row_number().over(order).alias("rank"))
+    return S.recommendations(S.overall_risk(analysis(spark, d).findings(), AS_OF), ranked)
 
 
 @query("scr_decay", f"""
@@ -478,7 +476,7 @@ def chn_class(spark, d):
 # --- technique mapping --------------------------------------------------------------------------
 
 def mapped(spark, d):
-    return M.map_findings(findings(spark, d))
+    return M.map_findings(analysis(spark, d).findings())
 
 
 @query("mit_map", """
@@ -491,7 +489,7 @@ def mit_map(spark, d):
 @query("mit_map_alias", """
 select mapped_as, case when contains(mapped_as, 'brute_force') then 'T1110' else technique_id end as technique_id from mapped""", ("mapped",))
 def mit_map_alias(spark, d):
-    return M.map_findings(findings(spark, d), alias=True).select("mapped_as", "technique_id")
+    return M.map_findings(analysis(spark, d).findings(), alias=True).select("mapped_as", "technique_id")
 
 
 @query("mit_all", """
@@ -543,14 +541,14 @@ _DURATION = "case when minutes < 60 then minutes || ' minutes' else (minutes //
 select p.playbook, p.playbook_id, p.title, n_findings from playbooks p join (
  select finding_type as playbook, count(*) as n_findings from findings group by 1) f using (playbook)""", ("playbooks", "findings"))
 def pb_lookup(spark, d):
-    return B.look_up_playbooks(findings(spark, d)).select("playbook", "playbook_id", "title", "n_findings")
+    return B.look_up_playbooks(analysis(spark, d).findings()).select("playbook", "playbook_id", "title", "n_findings")
 
 
 @query("pb_by_severity", f"""
 select p.playbook, p.title, coalesce(n_findings, 0) as n_findings from playbooks p left join {_BOOK_N} b using (playbook)
 where playbook_severity = 'CRITICAL'""", ("playbooks", "finding_playbooks"))
 def pb_by_severity(spark, d):
-    return B.by_severity(findings(spark, d), "CRITICAL").select("playbook", "title", "n_findings")
+    return B.by_severity(analysis(spark, d).findings(), "CRITICAL").select("playbook", "title", "n_findings")
 
 
 @query("pb_by_technique", """
@@ -564,7 +562,7 @@ def pb_by_technique(spark, d):
 select p.playbook, p.playbook_id, p.title, p.playbook_severity, p.mitre_tactic, p.mitre_technique, p.detection_method, p.verification,
  coalesce(n_findings, 0) as n_findings from playbooks p left join {_BOOK_N} b using (playbook)""", ("playbooks", "finding_playbooks"))
 def pb_all(spark, d):
-    return B.all_playbooks(findings(spark, d)).select(
+    return B.all_playbooks(analysis(spark, d).findings()).select(
         "playbook", "playbook_id", "title", "playbook_severity", "mitre_tactic", "mitre_technique", "detection_method",
         "verification", "n_findings")
 
@@ -574,7 +572,7 @@ select playbook, playbook_id, title, playbook_severity as severity, mitre_tactic
  minutes as response_minutes, {_DURATION} as estimated_response_time from playbooks join {_MINUTES} m using (playbook) join {_BOOK_N} b using (playbook)""",
        ("playbooks", "playbook_steps", "finding_playbooks"))
 def pb_summary(spark, d):
-    return B.summaries(B.all_playbooks(findings(spark, d)).filter("n_findings > 0"))
+    return B.summaries(B.all_playbooks(analysis(spark, d).findings()).filter("n_findings > 0"))
 
 
 @query("pb_steps", f"""
@@ -582,7 +580,7 @@ select playbook, part, cast(step as bigint) as step, action, command, platform,
 from playbook_all_steps join {_BOOK_N} b using (playbook)""",
        ("playbook_all_steps", "finding_playbooks"))
 def pb_steps(spark, d):
-    return B.steps(B.all_playbooks(findings(spark, d)).filter("n_findings > 0"))
+    return B.steps(B.all_playbooks(analysis(spark, d).findings()).filter("n_findings > 0"))
 
 
 @query("pb_plan", f"""
@@ -592,14 +590,14 @@ select cast({case_map("f.severity", V.PLAN_SEVERITY_ORDER, 5)} as bigint) as pri
 from finding_playbooks f join playbooks p using (playbook) join playbook_steps s on s.playbook = f.playbook and s.step = 1
 join {_MINUTES} m on m.playbook = f.playbook""", ("finding_playbooks", "playbooks", "playbook_steps"))
 def pb_plan(spark, d):
-    return B.response_plan(findings(spark, d))
+    return B.response_plan(analysis(spark, d).findings())
 
 
 @query("pb_plan_time", f"""
 select minutes as total_minutes, {_DURATION} as estimated_total_time from (
  select cast(sum(minutes) as bigint) as minutes from {_MINUTES} m join {_BOOK_N} b using (playbook)) x""", ("finding_playbooks", "playbook_steps"))
 def pb_plan_time(spark, d):
-    return B.plan_time(B.response_plan(findings(spark, d)))
+    return B.plan_time(B.response_plan(analysis(spark, d).findings()))
 
 
 @query("pb_select", """
@@ -607,7 +605,7 @@ select playbook, list_name, n as n_findings from (values (1, 'suspicious_powersh
  (3, 'privilege_escalation', 0, 'privilege_escalation'), (4, 'failed_logins', 10, 'brute_force_attack')) r(k, list_name, above, playbook)
 join (select list_name, count(*) as n from findings group by 1) c using (list_name) where n > above order by k limit 2""", ("findings",))
 def pb_select(spark, d):
-    return B.dashboard_playbooks(findings(spark, d))
+    return B.dashboard_playbooks(analysis(spark, d).findings())
 
 
 @query("rpt_block_list", "select value, first_ts from ip_iocs order by first_ts, value limit 5", ("ip_iocs",))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +50,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/trailhound/{name}-{uuid.uuid4().hex}"
 
 
+@dataclass(frozen=True)
+class Stored:
+    """A table written to the shared folder, with the handle that removes it once nothing reads it any more."""
+
+    rows: DataFrame
+    path: str
+
+    def remove(self) -> None:
+        context = self.rows.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def store(df: DataFrame, name: str) -> Stored:
+    """``df`` computed once, into a new table that later plans start from."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return Stored(df.sparkSession.read.schema(df.schema).parquet(path), path)
+
+
 def constant_table(spark: SparkSession, columns: list[str], rows: list[tuple]) -> DataFrame:
     """A fixed-size table of literals. Its size is known when the code is written, so it may be broadcast."""
     return spark.createDataFrame(pa.table({c: [r[i] for r in rows] for i, c in enumerate(columns)}))
