@@ -18,7 +18,7 @@ from trailhound.operators import timeline as T
 from trailhound.plans.fixtures import VIEW_SQL, table, view
 from trailhound.plans.oracle_views import banded, word_test
 from trailhound.plans.q_core import LE, analysis, events, findings
-from trailhound.plans.q_scores import AS_OF, _detector_sql, _overall_sql, mapped
+from trailhound.plans.q_scores import AS_OF, _MARK, _detector_sql, _overall_sql, mapped
 from trailhound.plans.registry import query
 from trailhound.session import scratch_path
 from trailhound.streaming import detectors as ST
@@ -159,6 +159,10 @@ def _run(spark, stream):
     return ST.run_to_table(stream, spark, scratch_path(spark, "stream"))
 
 
+def _run_to_end(spark, stream, transform):
+    return ST.run_to_end(stream, transform, scratch_path(spark, "stream"))
+
+
 def _ntz(df, *columns):
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
 
@@ -171,36 +175,38 @@ def st_ingest(spark, d):
         "event_id", "severity", "source", "user_name", "source_ip", "status_code", "event_type"))
 
 
-_CLOSED = "(select max(ts) from log_events{}) - interval '{}'"
-
-
 @query("st_brute", f"""
 select source_ip, window_start, count(*) as failed_attempts from (
  select source_ip, unnest(range(time_bucket(interval '12 hours', ts, timestamp '2024-01-01') - interval '12 hours',
   time_bucket(interval '12 hours', ts, timestamp '2024-01-01') + interval '1 hour', interval '12 hours')) as window_start
  from log_events where {word_test("raw_log", V.AUTH_FAIL_WORDS)}) w
-where window_start + interval '24 hours' <= (select max(ts) from log_events where {word_test("raw_log", V.AUTH_FAIL_WORDS)}) - interval '10 minutes'
 group by 1, 2 having count(*) > 1""", LE)
 def st_brute(spark, d):
-    found = ST.brute_force(_stream(spark, d), "24 hours", "12 hours", 1)
-    return _ntz(_run(spark, found), "window_start").select("source_ip", "window_start", "failed_attempts")
+    found = _run_to_end(spark, _stream(spark, d), lambda s: ST.brute_force(s, "24 hours", "12 hours", 1))
+    return _ntz(found, "window_start").select("source_ip", "window_start", "failed_attempts")
 
 
-@query("st_hourly", f"""
-select date_trunc('hour', ts) as hour, count(*) as n from log_events group by 1
-having date_trunc('hour', ts) + interval '1 hour' <= {_CLOSED.format('', '1 hour')}""", LE)
+@query("st_hourly", "select date_trunc('hour', ts) as hour, count(*) as n from log_events group by 1", LE)
 def st_hourly(spark, d):
-    return _ntz(_run(spark, ST.hourly(_stream(spark, d))), "hour")
+    return _ntz(_run_to_end(spark, _stream(spark, d), ST.hourly), "hour")
 
 
-@query("st_session", f"""
+@query("st_session", """
 select user_name, min(ts) as session_start, max(ts) + interval '30 minutes' as session_end, count(*) as n_events from (
  select user_name, ts, sum(fresh) over (partition by user_name order by ts, event_id) as k from (
   select user_name, ts, event_id, case when lag(ts) over (partition by user_name order by ts, event_id) >= ts - interval '30 minutes' then 0 else 1 end as fresh
   from log_events) a) b
-group by user_name, k having max(ts) + interval '30 minutes' <= {_CLOSED.format('', '1 hour')}""", LE)
+group by user_name, k""", LE)
 def st_session(spark, d):
-    return _ntz(_run(spark, ST.sessions(_stream(spark, d))), "session_start", "session_end")
+    return _ntz(_run_to_end(spark, _stream(spark, d), ST.sessions), "session_start", "session_end")
+
+
+@query("st_phases", f"""
+select event_id, ts, user_name, coalesce(last_value(mark ignore nulls) over (
+ partition by user_name order by ts, event_id rows between unbounded preceding and current row), 'recon') as phase
+from (select event_id, ts, user_name, {_MARK} as mark from log_events where ts is not null) m""", LE)
+def st_phases(spark, d):
+    return _ntz(_run_to_end(spark, _stream(spark, d), ST.phases), "ts")
 
 
 @query("st_dedupe", f"""
@@ -214,5 +220,7 @@ def st_dedupe(spark, d):
 
 @query("st_ioc", "select event_id, source_ip from log_events where source_ip in (select indicator from ioc_feed)", ("log_events", "ioc_feed"))
 def st_ioc(spark, d):
-    found = ST.ioc_matches(_stream(spark, d).select("event_id", "source_ip"), view(spark, d, "ioc_feed"))
-    return _run(spark, found.select("event_id", "source_ip"))
+    """The feed is read again for every batch of the stream."""
+    stream = _stream(spark, d).select("event_id", "source_ip")
+    found = ST.ioc_matches_to_table(stream, lambda: view(spark, d, "ioc_feed"), scratch_path(spark, "stream"))
+    return found.select("event_id", "source_ip")
