@@ -1,6 +1,8 @@
 """Slow, plain versions of what the operators compute."""
 
 import hashlib
+import itertools
+import re
 from collections import Counter
 
 
@@ -39,15 +41,40 @@ def near_groups(texts, size, percent):
 
 def repeated_bytes(texts, span):
     """For each text: (bytes, removed, runs, digest of the rest), by comparing every string with every other."""
+    out = []
+    for d, gone in zip(*covered_bytes(texts, span), strict=True):
+        runs = sum(g and not b for g, b in zip(gone, [False, *gone]))
+        kept = bytes(x for x, g in zip(d, gone) if not g)
+        out.append((len(d), sum(gone), runs, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def covered_bytes(texts, span):
+    """The bytes of each text and, for each byte, whether a string of ``span`` bytes over it stands anywhere else."""
     data = [(t or "").encode() for t in texts]
     seen = Counter(d[i: i + span] for d in data for i in range(len(d) - span + 1))
-    out = []
+    marks = []
     for d in data:
         gone = [False] * len(d)
         for i in range(len(d) - span + 1):
             if seen[d[i: i + span]] > 1:
                 gone[i: i + span] = [True] * span
-        runs = sum(g and not b for g, b in zip(gone, [False, *gone]))
-        kept = bytes(x for x, g in zip(d, gone) if not g)
-        out.append((len(d), sum(gone), runs, hashlib.sha256(kept).hexdigest()))
+        marks.append(gone)
+    return data, marks
+
+
+def without_passages(texts, span, words):
+    """The texts without bytes that strings of ``span`` bytes or of ``words`` words repeat; a character goes whole."""
+    data, marks = covered_bytes(texts, span)
+    places = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", d)] for d in data]
+    runs = [[tuple(d[a:b] for a, b in place[i: i + words]) for i in range(len(place) - words + 1)] for d, place in zip(data, places)]
+    seen = Counter(r for own in runs for r in own)
+    out = []
+    for d, gone, place, own in zip(data, marks, places, runs):
+        for i, run in enumerate(own):
+            if seen[run] > 1:
+                a, b = place[i][0], place[i + words - 1][1]
+                gone[a:b] = [True] * (b - a)
+        parts = [bytes(x for x, _ in g) for cut, g in itertools.groupby(zip(d, gone), lambda x: x[1]) if not cut]
+        out.append("".join(p.decode("utf-8", "ignore") for p in parts))
     return out

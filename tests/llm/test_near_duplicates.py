@@ -51,6 +51,24 @@ def test_minhash_edges(spark, make_docs):
     assert op3_minhash.near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_minhash_ids_on_several_texts_and_of_any_type(spark, make_docs):
+    t, u = " ".join(f"t{i}" for i in range(40)), " ".join(f"u{i}" for i in range(40))
+    rows = [(5, t), (5, u), (9, t + " more"), (11, u + " more")]
+    got = {(r["doc_id"], r["component_id"]) for r in op3_minhash.near_duplicates(make_docs(rows)).collect()}
+    assert got == {(5, 5), (9, 5), (11, 5)}
+    named = make_docs(rows).withColumn("doc_id", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 2, "0")))
+    got = {(r["doc_id"], r["component_id"]) for r in op3_minhash.near_duplicates(named).collect()}
+    assert got == {("d05", "d05"), ("d09", "d05"), ("d11", "d05")}
+
+
+def test_long_regular_words_are_told_apart(spark, make_docs):
+    """Thue-Morse words collide under any polynomial modulo 2^64."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = op3_minhash.near_duplicates(make_docs([(1, word), (2, other), (3, word)])).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in rows) == [(1, 1), (2, 2), (3, 1)]
+
+
 def test_every_coordinate_fills_and_estimates():
     rng = np.random.default_rng(3)
     shared, one, other = (rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (600, 200, 200))

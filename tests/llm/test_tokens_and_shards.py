@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
-from brute import near_groups, repeated_bytes
+from brute import near_groups, without_passages
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -92,6 +92,13 @@ def test_bpe_round_trip_and_edges(spark, make_docs):
     assert len(rows) == len(ODD)
     assert [(r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows if r["doc_id"] == 1] == [
         (0, hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"").hexdigest())]
+    by_text = {r["doc_id"]: r for r in rows}
+    for i, t in dict(ODD).items():
+        if sum(j == i for j, _ in ODD) == 1:
+            ids = LIBRARY.encode(t or "", add_special_tokens=False).ids
+            want = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
+                    hashlib.sha256(LIBRARY.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+            assert (by_text[i]["n_tokens"], by_text[i]["ids_sha256"], by_text[i]["decoded_sha256"]) == want
     back = op5_bpe.decode(op5_bpe.encode(docs, VOCABULARY), VOCABULARY).collect()
     assert all(r["decoded"] == (r["text"] or "") for r in back)
     assert op5_bpe.digests(docs.limit(0), VOCABULARY).collect() == []
@@ -128,7 +135,7 @@ def test_packing_is_whole_and_tight(spark):
 def test_packing_edges(spark, make_docs):
     docs = make_docs([(i, t) for i, t in ODD if i not in (2, None)] + [(None, "no id")])
     rows = op7_packing.pack(docs, VOCABULARY, capacity=16).collect()
-    check_packing([r for r in rows if r["doc_id"] is not None], {i: t for i, t in ODD if i not in (2, None)}, 16)
+    check_packing(rows, {i: t for i, t in ODD if i not in (2, None)} | {None: "no id"}, 16)
     assert len(op7_packing.pack(make_docs([(1, "x"), (1, "x")]), VOCABULARY).collect()) == 2
     assert op7_packing.pack(docs.limit(0), VOCABULARY).collect() == []
 
@@ -195,16 +202,16 @@ def test_pipeline_stages_against_brute_force(spark):
             assert sorted(after) == [i for k, i in enumerate(ids) if root[k] == k]
         if name == "repeated_passages":
             ids = sorted(kept)
-            want = repeated_bytes([kept[i] for i in ids], 400)
-            assert set(after) == set(kept)
-            for i, (n, removed, _, digest) in zip(ids, want):
-                kept_bytes = after[i].encode()
-                assert n - removed - len(kept_bytes) in range(0, 7)
-                assert removed == 0 or len(kept_bytes) < n
-                if n - removed == len(kept_bytes):
-                    assert hashlib.sha256(kept_bytes).hexdigest() == digest
+            assert [after[i] for i in ids] == without_passages([kept[i] for i in ids], 400, 51)
+            assert any(after[i] != kept[i] for i in ids)
         docs, kept = out, after
-    check_packing(corpus_pipeline.packing(spark, docs, sf).collect(), kept, 1024)
+    rows = corpus_pipeline.packing(spark, docs, sf).collect()
+    check_packing(rows, kept, 1024)
+    ids = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["piece"])):
+        assert len(r["ids"]) == r["length"]
+        ids[r["doc_id"]] += r["ids"]
+    assert {i: CODEC.decode(np.array(x[:-1], np.int64)) for i, x in ids.items()} == kept
 
 
 def test_pipeline_edges(spark):
@@ -220,6 +227,9 @@ def test_pipeline_edges(spark):
             out = stage(spark, given_docs, sf)
             assert out.columns == docs.columns
             assert out.count() <= given_docs.count()
+    shared = [(1, "one text of six plain words"), (5, "one text of six plain words"), (5, "another text that stands alone here")]
+    left = corpus_pipeline.near_copies(spark, spark.createDataFrame(shared, "doc_id long, text string"), sf).collect()
+    assert sorted(tuple(r) for r in left) == [shared[0], shared[2]]  # a text of its own stays, whatever else its id stands on
     copies = corpus_pipeline.near_copies(spark, docs, sf).filter("doc_id in (3, 4)").collect()
     assert [r["doc_id"] for r in copies] == [3]
     assert corpus_pipeline.packing(spark, docs, sf).count() == len(rows)

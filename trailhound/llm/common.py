@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +74,24 @@ def byte_steps(column: pa.Array, limit: int = STEP_BYTES, rows: int = STEP_ROWS)
         first = last
 
 
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run`` for ``mapInArrow``, after which the worker gives freed memory back: workers outlive the stage."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    """Return the free memory of Arrow and, where the C library has a call for it, of Python to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     values = values.astype(np.uint64, copy=True)
@@ -110,6 +130,18 @@ def prefix_hash(symbols: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Words of more bytes are hashed singly: the polynomial modulo 2^64 takes some regular strings of 1,024 symbols for others.
+LONG_WORD = 512
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the words [start, end) of ``data``, of any length."""
+    out = cut_hash(prefix_hash(data), start, end)
+    for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[start[i]: end[i]].tobytes(), seed=1)
+    return out
+
+
 def cut_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of symbols [start, end): equal strings have equal hashes wherever they stand."""
     return mix((prefix[end] - prefix[start]) * POWERS.down[start])

@@ -9,7 +9,8 @@ largest of all entries that end in it.
 Stripes are filled by length. A phrase cannot be more frequent than a part of it, so a task fills a stripe only for a
 prefix, and only with a word, whose phrases of one word less pass a filter of all frequent ones. The filter is a bit map of
 fixed size: it lets some rare phrases through, which the exact counts then drop, and never holds a frequent one back.
-Beyond two words only the stretches of text whose word pairs all pass are read, from a stored table. A stripe is cut into segments by the hash of its words, so that one of a very common prefix is added up by many tasks.
+For two words or more only the stretches of text are read, from a stored table, whose word pairs all pass a filter of frequent
+pairs, which is made from counts of their hashes. A stripe is cut into segments by the hash of its words, so that one of a very common prefix is added up by many tasks.
 """
 
 from __future__ import annotations
@@ -30,9 +31,10 @@ LONGEST = 5
 TOP = 2000
 #: Bytes of text whose stripes a task fills at once, and the rows they may stand in.
 STEP = 8 << 20
-#: Bits of the filter as a power of two, and of one row of it.
+#: Bits of a filter as a power of two, of one row of it, and of the numbers that pairs are counted by.
 FILTER_BITS = 26
 CHUNK_BITS = 15
+SLOT_BITS = 40
 #: Segments of the stripe of no words and of any other.
 SEGMENTS = (256, 16)
 #: Groups that each give their best phrases before a language's best are chosen.
@@ -188,7 +190,7 @@ def stripes(texts: DataFrame, size: int, bits: np.ndarray | None) -> DataFrame:
 
 
 def stretches(texts: DataFrame, size: int, bits: np.ndarray) -> DataFrame:
-    """Runs of words all of whose phrases of ``size`` words pass the filter: no longer frequent phrase reaches beyond one."""
+    """Runs of words all of whose phrases of ``size`` words pass the filter: no frequent phrase reaches beyond one."""
     shared = texts.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,14 +198,12 @@ def stretches(texts: DataFrame, size: int, bits: np.ndarray) -> DataFrame:
             langs = batch.column("lang")
             for first, last, data, offsets in byte_steps(batch.column("text"), STEP, STEP):
                 tokens = tokenized(langs, first, last, data, offsets)
-                if len(tokens.ids) <= size:
+                if len(tokens.ids) < size:
                     continue
                 hashes, inside = phrase_hashes(tokens, size)
                 live = inside & passing(shared.value, hashes)
                 turn = np.diff(np.concatenate(([False], live, [False])).astype(np.int8))
                 begin, end = np.flatnonzero(turn > 0), np.flatnonzero(turn < 0) + size - 1
-                long = end - begin > size
-                begin, end = begin[long], end[long]
                 if not len(begin):
                     continue
                 lengths = end - begin
@@ -216,35 +216,60 @@ def stretches(texts: DataFrame, size: int, bits: np.ndarray) -> DataFrame:
     return texts.mapInArrow(run, "lang string, text string")
 
 
-def filter_of(phrases: DataFrame, size: int) -> np.ndarray:
-    """The bit map of all phrases (lang, phrase): 2^``FILTER_BITS`` bits, whatever their number."""
-    rows = 1 << FILTER_BITS - CHUNK_BITS
-
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, last, data, offsets in byte_steps(batch.column("phrase"), STEP, STEP):
-                tokens = tokenized(batch.column("lang"), first, last, data, offsets)
-                hashes, inside = phrase_hashes(tokens, size)
-                slot = (hashes[inside] >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array((slot >> CHUNK_BITS).astype(np.int32)),
-                                                  pa.array((slot & (1 << CHUNK_BITS) - 1).astype(np.int32))], ["chunk", "slot"])
+def bit_map(slots: DataFrame) -> np.ndarray:
+    """The bits of all numbers in ``slot``: 2^``FILTER_BITS`` of them, whatever the number of rows."""
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            chunk, slot = batch.column("chunk").to_numpy(), batch.column("slot").to_numpy()
+            slot = batch.column("slot").to_numpy()
+            chunk, slot = slot >> CHUNK_BITS, slot & (1 << CHUNK_BITS) - 1
             for c in np.unique(chunk).tolist():
                 held.setdefault(c, np.zeros(1 << CHUNK_BITS, bool))[slot[chunk == c]] = True
         packed = [np.packbits(held[c], bitorder="little").tobytes() for c in held]
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(packed, pa.binary())], ["chunk", "bits"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(packed, pa.binary())], ["chunk", "bits"])
 
-    found = phrases.select("lang", "phrase").mapInArrow(slots, "chunk int, slot int").distinct()
-    bits = np.zeros((rows, 1 << CHUNK_BITS - 3), np.uint8)
-    for r in found.repartition("chunk").mapInArrow(chunks, "chunk int, bits binary").toLocalIterator():
+    bits = np.zeros((1 << FILTER_BITS - CHUNK_BITS, 1 << CHUNK_BITS - 3), np.uint8)
+    dealt = slots.select("slot").distinct().repartition(F.shiftright("slot", CHUNK_BITS))
+    for r in dealt.mapInArrow(chunks, "chunk long, bits binary").toLocalIterator():
         bits[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
     return bits.reshape(-1)
 
 
+def filter_of(phrases: DataFrame, size: int) -> np.ndarray:
+    """The bit map of all phrases (lang, phrase) of ``size`` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, data, offsets in byte_steps(batch.column("phrase"), STEP, STEP):
+                tokens = tokenized(batch.column("lang"), first, last, data, offsets)
+                hashes, inside = phrase_hashes(tokens, size)
+                yield pa.RecordBatch.from_arrays([pa.array((hashes[inside] >> np.uint64(64 - FILTER_BITS)).astype(np.int64))], ["slot"])
+
+    return bit_map(phrases.select("lang", "phrase").mapInArrow(run, "slot long"))
+
+
+def pair_filter(texts: DataFrame, bits: np.ndarray, least: int) -> np.ndarray:
+    """A bit map that holds all word pairs of ``least`` occurrences, from counts by a number of ``SLOT_BITS`` bits of their hash.
+
+    Most pairs are rare, and numbers are much smaller than stripes of them. Pairs that share a number only add to it.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, data, offsets in byte_steps(batch.column("text"), STEP, STEP):
+                tokens = tokenized(batch.column("lang"), first, last, data, offsets)
+                hashes, inside = phrase_hashes(tokens, 2)
+                live = passing(shared.value, tokens.hashes)
+                pairs = hashes[inside & live[:-1] & live[1:]] >> np.uint64(64 - SLOT_BITS)
+                slot, n = np.unique(pairs.astype(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n.astype(np.int64))], ["slot", "n"])
+
+    counted = texts.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return bit_map(counted.select(F.shiftright("slot", SLOT_BITS - FILTER_BITS).alias("slot")))
+
+
 def frequent_phrases(texts: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """All phrases of up to ``longest`` words that occur ``least`` times, as (lang, prefix, next, phrase, size, a), and words by language."""
     words = stored(stripes(texts, 1, None), "words")
@@ -259,8 +284,8 @@ def frequent_phrases(texts: DataFrame, least: int = LEAST, longest: int = LONGES
     discard(words)
     while len(levels) < longest and not levels[-1].isEmpty():
         bits = filter_of(levels[-1], len(levels))
-        if len(levels) == 2:
-            texts = stored(stretches(texts, 2, bits), "stretches")
+        if len(levels) == 1:
+            texts = stored(stretches(texts, 2, pair_filter(texts, bits, least)), "stretches")
         levels.append(level(stripes(texts, len(levels) + 1, bits), len(levels) + 1))
     out = levels[0]
     for more in levels[1:]:

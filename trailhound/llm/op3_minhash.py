@@ -18,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailhound.llm.common import BASE, byte_steps, cut_hash, lower, mix, prefix_hash, stored, table, words
+from trailhound.llm.common import BASE, byte_steps, lower, mix, stored, table, tidied, word_hashes, words
 from trailhound.llm.graph import components, forest
 
 SHINGLE = 3
@@ -47,7 +47,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.n
     """Distinct 64-bit shingle hashes of each row, ascending within the row, and the rows' offsets into them."""
     data = lower(data)
     start, end, row = words(data, offsets)
-    word = cut_hash(prefix_hash(data), start, end)
+    word = word_hashes(data, start, end)
     n_rows = len(offsets) - 1
     counts = np.bincount(row, minlength=n_rows)
     folded = np.full(len(word), np.uint64(size))
@@ -115,10 +115,10 @@ def set_digests(values: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 
 def sketched(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """``doc_id``, ``n``, the set's name (``a``, ``b``) and its band keys; none for an empty set."""
+    """``doc_id``, ``text_hash``, ``n``, the set's name (``a``, ``b``) and its band keys; none for an empty set."""
     rows = rows_per_band(percent)
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n", T.LongType()),
-                           T.StructField("a", T.LongType()), T.StructField("b", T.LongType()),
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("text_hash", T.LongType()),
+                           T.StructField("n", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType()),
                            T.StructField("bands", T.ArrayType(T.LongType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,33 +130,37 @@ def sketched(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 keys = band_keys(sketches(values, cuts, BANDS * rows), BANDS, rows).view(np.int64)
                 keys = keys[n > 0].reshape(-1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, last - first), pa.array(n.astype(np.int64)), pa.array(a), pa.array(b),
+                    [batch.column("doc_id").slice(first, last - first), batch.column("text_hash").slice(first, last - first),
+                     pa.array(n.astype(np.int64)), pa.array(a), pa.array(b),
                      pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(([0], (n > 0) * BANDS))).astype(np.int32)),
                                               pa.array(keys))], schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", text_hash()).mapInArrow(tidied(run), schema)
+
+
+def text_hash() -> Column:
+    """Tells apart the texts of one id; null counts as empty."""
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``rep`` and its set as bytes (ascending 64-bit hashes) for the wanted (``rep``, ``a``, ``b``)."""
-    near = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id"), "a", "b"), "doc_id")
+    """``rep`` and its set as bytes (ascending 64-bit hashes) for the wanted classes (``rep``, ``doc_id`` of a member, ``a``, ``b``)."""
+    near = docs.select("doc_id", "text").join(wanted, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids = batch.column("rep")
             want = [batch.column(c).to_numpy() for c in ("a", "b")]
             for first, last, data, offsets in byte_steps(batch.column("text")):
                 values, cuts = shingle_sets(data, offsets, size)
                 names = set_digests(values, cuts)
-                # where rows repeat an id with another text, only the text that gave the set counts
+                # where an id stands on several texts, only the one that gave the set counts
                 same = np.flatnonzero((names[0] == want[0][first:last]) & (names[1] == want[1][first:last]))
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(first, last - first).take(pa.array(same)), pa.array(
                         [values[cuts[i]: cuts[i + 1]].tobytes() for i in same], pa.binary())], ["rep", "members"])
 
-    out = near.mapInArrow(run, T.StructType([T.StructField("rep", docs.schema["doc_id"].dataType),
-                                             T.StructField("members", T.BinaryType())]))
-    return out.dropDuplicates(["rep"])
+    return near.mapInArrow(tidied(run), "rep long, members binary").dropDuplicates(["rep"])  # repeated rows give one set again
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -215,22 +219,25 @@ def linked_in_blocks(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFra
                 tied = nodes != roots
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[tied]), pa.array(roots[tied])], ["u", "v"])
 
-    return met.select("a", "b").mapInArrow(run, "u long, v long")
+    return met.select("a", "b").mapInArrow(tidied(run), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable) and ``kept`` for every row of ``docs``.
+    """``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable), ``kept`` and ``text_hash`` for every row of ``docs``.
 
     Null text counts as empty; a row without words links with nothing. A null id cannot name a component: such a row
-    takes part in none, and is kept. Repeated rows share a class. Other columns are not looked at.
+    takes part in none, and is kept. Repeated rows share a class. Different texts under one id are different
+    documents that share a name: each links for itself. Ids may be of any type that has an order. Other columns are not looked at.
     """
     known = stored(sketched(docs, size, percent), "sketches")
     real = known.filter("n > 0 and doc_id is not null")
-    classes = stored(real.groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
+    # a class is a set: its number stands for it in links, its smallest id only names the component in the end
+    classes = stored(real.groupBy("a", "b", "n").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")).withColumn(
+        "rep", F.monotonically_increasing_id()), "classes")
     keyed = classes.select("rep", "n", F.explode("bands").alias("key"))
     shared = stored(keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key"), "keys")
     live = stored(keyed.join(shared, "key"), "live")
-    wanted = classes.join(live.select("rep").distinct(), "rep", "left_semi").select("rep", "a", "b")
+    wanted = classes.join(live.select("rep").distinct(), "rep", "left_semi").select("rep", "doc_id", "a", "b")
     sets = stored(full_sets(docs, wanted, size), "sets")
     led = stored(live.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("lead")), "leaders")
     joined = live.join(led, "key").filter(
@@ -253,15 +260,16 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
             F.xxhash64("rep", F.lit(1)), F.col("chunks")).cast("int").alias("chunk"))
         found = found.unionByName(stored(linked_in_blocks(dealt, sets, percent), "found"))
         groups = stored(components(found), "groups")
-    named = classes.select("a", "b", "n", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "a", "b", "n", F.coalesce("component", "rep").alias("component"))
-    named = stored(named, "named")
-    out = known.select("doc_id", "n", "a", "b").join(named, ["a", "b", "n"], "left")
+    placed = stored(classes.select("a", "b", "n", "rep", "doc_id").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "a", "b", "n", "doc_id", F.coalesce("component", "rep").alias("group")), "placed")
+    least = placed.groupBy("group").agg(F.min("doc_id").alias("component"))
+    named = stored(placed.drop("doc_id").join(least, "group").drop("group"), "named")
+    out = known.select("doc_id", "text_hash", "n", "a", "b").join(named, ["a", "b", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+                      F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash")
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` by sets of 3-word shingles, linked from a similarity of 0.85."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")

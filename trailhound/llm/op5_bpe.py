@@ -22,14 +22,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from trailhound.llm.common import table, texts
+from trailhound.llm.common import table, texts, tidied
 
 #: Fixed value: how byte-level vocabularies split text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words of up to so many bytes are merged by repeated scans.
 SHORT = 64
-#: Encoded words that a worker remembers before it starts afresh; forgetting only costs time.
-REMEMBERED = 1_500_000
+#: Encoded words that a worker remembers before it starts afresh, some 60 MB; forgetting only costs time.
+REMEMBERED = 250_000
 NO_RANK = 1 << 60
 
 
@@ -168,7 +168,7 @@ def encode(docs: DataFrame, vocabulary_path: str, text: str = "text") -> DataFra
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [*batch.schema.names, "ids"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidied(run), schema)
 
 
 def decode(rows: DataFrame, vocabulary_path: str, ids: str = "ids") -> DataFrame:
@@ -209,7 +209,7 @@ def digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
                 [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(id_digests, pa.string()),
                  pa.array(text_digests, pa.string())], schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), schema)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:

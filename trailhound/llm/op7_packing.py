@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailhound.llm.common import stored, table, texts
+from trailhound.llm.common import stored, table, texts, tidied
 from trailhound.llm.op5_bpe import codec_of, read_vocabulary
 
 CAPACITY = 1024
+#: Documents whose pieces a task holds at once.
+ROWS = 512
 END_ID = 2
 #: Steps of the projected gradient that solves the least squares.
 STEPS = 600
@@ -164,7 +166,7 @@ def pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, end_
         from pyspark import TaskContext
 
         codec, part, number = codec_of(source.value), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, len(b), ROWS)):
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, value in enumerate(texts(batch.column("text"))):
                 tokens = np.concatenate((codec.encode(value.as_py()), tail))
@@ -184,7 +186,7 @@ def pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, end_
             number += len(rows)
             yield pa.RecordBatch.from_arrays(arrays + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), schema)
 
 
 def placed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -217,7 +219,7 @@ def placed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in columns], pa.array(sequence), pa.array(offset)], schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidied(run), schema)
 
 
 def pack(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, end_id: int = END_ID,

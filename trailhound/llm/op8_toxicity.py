@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailhound.llm.common import fold, stored, table, texts
+from trailhound.llm.common import fold, stored, table, texts, tidied
 
 #: Labelled rows of either class that lexicon and weights are fitted on, about.
 SAMPLE = 3000
@@ -292,7 +292,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= CUT).astype(np.int32))],
                                              schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidied(run), schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

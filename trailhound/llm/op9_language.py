@@ -19,14 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailhound.llm.common import byte_steps, fold, table, texts
+from trailhound.llm.common import byte_steps, fold, table, texts, tidied
 
 #: Rows of the embedding table and numbers in a row.
 BUCKET_BITS = 15
 DIMENSIONS = 16
-#: Labelled rows for each language that the model is fitted on, about; languages learned at most.
+#: Labelled rows for each language that the model is fitted on, about; every language is learned.
 SAMPLE = 400
-LANGUAGES = 256
 EPOCHS = 12
 RATE = 0.5
 #: Share of rightly labelled calibration rows that rejection may lose.
@@ -120,7 +119,7 @@ def features(docs: DataFrame) -> DataFrame:
 def learn(docs: DataFrame, folds: int = 5, held: int = 0, sample: int = SAMPLE, seed: int = 9) -> Model:
     """Fit on rows with text and language outside the held-out fold; about ``sample`` rows for each language."""
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", folds) != held))
-    counts = dict(usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
+    counts = dict(usable.groupBy("lang").count().collect())  # a row for each language
     languages = sorted(counts)
     if not languages:
         return Model([], np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros(0))
@@ -200,7 +199,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 [*batch.columns, pa.array(names, pa.string()), pa.array(top, pa.float64()),
                  pa.array(~spoken | (top < model.reject_below))], schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidied(run), schema)
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
