@@ -44,12 +44,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of near-copies; repeated rows count as copies.
 
-    Rows of one id are one document: it goes if any of its texts is a copy of a smaller id's. Rows without an id stay.
+    A row goes by its own text, also where its id stands on other texts as well. Rows without an id stay.
     """
     found = stored(op3_minhash.near_duplicates(docs, SHINGLE, PERCENT).filter("doc_id is not null"), "found")
-    gone = found.filter("not kept").select("doc_id").distinct()
+    gone = found.filter("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
     repeated = stored(found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated")
-    kept = docs.join(gone, "doc_id", "left_anti")
+    own = op3_minhash.text_hash()
+    kept = docs.join(gone, (F.col("doc_id") == F.col("gone_id")) & (own == F.col("gone_hash")), "left_anti")
     if not repeated.isEmpty():
         kept = kept.join(repeated, "doc_id", "left_anti").unionByName(
             kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
@@ -65,10 +66,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all texts and their places in sequences of 1024 tokens."""
+    """The pieces of all texts with their ids, and their places in sequences of 1024 tokens."""
     import public_tokenizers
 
-    return op7_packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return op7_packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
 
 
 STAGES = [
