@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from trailhound import fixed_values as V
 from trailhound.functions.lookup import count_where, rows_where
+from trailhound.operators.distinct import ROWS, exact_counts, value_table
 from trailhound.session import constant_table
 
 
@@ -51,14 +52,18 @@ def top_indicators(iocs: DataFrame, limit: int = 10) -> DataFrame:
 
 def top_terms(df: DataFrame, text: str = "text", limit: int = 50, stop_words: list[str] = V.STOP_WORDS) -> DataFrame:
     """Most frequent words of the whole texts."""
-    word = F.explode(F.split(F.lower(F.col(text)), r"\W+")).alias("term")
     return (
-        df.select(word).filter((F.col("term") != "") & ~F.col("term").isin(stop_words))
-        .groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+        terms(df, text, stop_words).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
         .orderBy(F.desc("n"), "term").limit(limit)
     )
 
 
+def terms(df: DataFrame, text: str = "text", stop_words: list[str] = V.STOP_WORDS) -> DataFrame:
+    """The words of the whole texts, a row for each."""
+    word = F.explode(F.split(F.lower(F.col(text)), r"\W+")).alias("term")
+    return df.select(word).filter((F.col("term") != "") & ~F.col("term").isin(stop_words))
+
+
 def finding_severity_counts(findings: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Findings by severity: outside the four levels a list item counts as low and an anomaly as medium."""
     severity = F.col("severity")
@@ -90,13 +95,11 @@ def before_after(findings: DataFrame, split: Column) -> DataFrame:
 def dashboard(df: DataFrame) -> DataFrame:
     severity = F.col("severity")
     high = severity.isin(V.DASHBOARD_HIGH_SEVERITIES)
-    return df.agg(
-        F.count(F.lit(1)).alias("total_events"),
-        count_where(severity == "CRITICAL").alias("critical_events"),
-        count_where(severity.isin("HIGH", "ERROR", "ALERT")).alias("high_events"),
-        F.countDistinct(F.when(high, F.col("source_ip"))).alias("suspicious_ips"),
-        F.countDistinct(F.when(high, F.col("user_name"))).alias("suspicious_users"),
-    )
+    values = value_table(
+        df, {"suspicious_ips": F.when(high, F.col("source_ip")), "suspicious_users": F.when(high, F.col("user_name"))},
+        {"critical_events": severity == "CRITICAL", "high_events": severity.isin("HIGH", "ERROR", "ALERT")})
+    return exact_counts(values, ["suspicious_ips", "suspicious_users"], [ROWS, "critical_events", "high_events"]).withColumnRenamed(
+        ROWS, "total_events")
 
 
 def top_per_group(df: DataFrame, group: str, value: str, n: int = 5) -> DataFrame:

@@ -9,6 +9,7 @@ from trailhound import fixed_values as V
 from trailhound.functions.lookup import look_up
 from trailhound.functions.text import first_match
 from trailhound.functions.times import parse_time, seconds_between
+from trailhound.operators.distinct import exact_counts, value_table
 
 
 def standard_name(name: str) -> str:
@@ -153,18 +154,21 @@ def sort_events(df: DataFrame) -> DataFrame:
 
 
 def profile(df: DataFrame, distinct_of: list[str], approximate: bool = False) -> DataFrame:
-    """Rows, columns, null share, time range and distinct counts in one aggregate.
+    """Rows, columns, null share, time range and distinct counts.
 
     ``approximate`` swaps the exact distinct counts, which shuffle their values, for sketches.
     """
     width = len(df.columns)
-    distinct = (lambda c: F.approx_count_distinct(c)) if approximate else (lambda c: F.countDistinct(c))
     nulls = sum((F.count(F.when(F.col(c).isNull(), F.lit(1))) for c in df.columns[1:]),
                 F.count(F.when(F.col(df.columns[0]).isNull(), F.lit(1))))
     out = df.agg(
         F.count(F.lit(1)).alias("total_rows"), nulls.alias("_nulls"),
         F.min("ts").alias("time_range_start"), F.max("ts").alias("time_range_end"),
-        *[distinct(c).alias(f"unique_{c}") for c in distinct_of])
+        *[F.approx_count_distinct(c).alias(f"unique_{c}") for c in distinct_of if approximate])
+    if distinct_of and not approximate:
+        kinds = {f"unique_{c}": F.col(c) for c in distinct_of}
+        exact = exact_counts(value_table(df, kinds), list(kinds))
+        out = out.withColumns({k: exact.select(k).scalar() for k in kinds})
     return out.withColumns({
         "total_columns": F.lit(width).cast("bigint"),
         "null_percentage": F.col("_nulls") / (F.col("total_rows") * F.lit(float(width))) * F.lit(100.0),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trailhound import fixed_values as V
 from trailhound.functions.lookup import count_where
 from trailhound.functions.text import contains_any
+from trailhound.operators.distinct import ROWS, exact_counts, value_table
 from trailhound.operators.aggregates import ranked_counts
 
 SYN = 2
@@ -77,10 +78,10 @@ def top_talkers(df: DataFrame, n: int = 10) -> DataFrame:
 
 
 def summary(df: DataFrame) -> DataFrame:
-    return df.agg(
-        F.count(F.lit(1)).alias("total_packets"), F.countDistinct("src_ip").alias("unique_src_ips"),
-        F.countDistinct("dst_ip").alias("unique_dst_ips"), F.countDistinct("protocol").alias("n_protocols"),
-        F.min("ts_s").alias("first_s"), F.max("ts_s").alias("last_s"))
+    kinds = {"unique_src_ips": F.col("src_ip"), "unique_dst_ips": F.col("dst_ip"), "n_protocols": F.col("protocol")}
+    counts = exact_counts(value_table(df, kinds), list(kinds), [ROWS]).withColumnRenamed(ROWS, "total_packets")
+    span = df.agg(F.min("ts_s").alias("first_s"), F.max("ts_s").alias("last_s"))
+    return counts.withColumns({c: span.select(c).scalar() for c in ("first_s", "last_s")})
 
 
 def suspicious_ports(df: DataFrame) -> DataFrame:

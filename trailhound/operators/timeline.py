@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -10,43 +13,75 @@ from trailhound import fixed_values as V
 from trailhound.functions.lookup import banded, look_up
 from trailhound.functions.text import contains_any, starts_with_any
 from trailhound.functions.times import seconds_between
-from trailhound.session import range_count, scratch_path
+from trailhound.session import Stored, store
 
 
-def carry_forward(
-    df: DataFrame, value: Column, name: str, keys: tuple[str, ...] = (),
-    order: tuple[str, ...] = ("ts", "event_id"), before_current: bool = False, ranges: int | None = None,
-) -> DataFrame:
-    """Last non-null ``value`` up to each row (or strictly before it), per key or over the whole input.
+#: Rows of a range, about: what one task orders and fills.
+ROWS_PER_RANGE = 2_000_000
+#: Share of the rows that is counted to choose the number of ranges.
+SAMPLED = 0.01
+MARK, RANGE = "_mark", "_range"
+
+
+@dataclass(frozen=True)
+class Ranged:
+    """Rows stored in even ranges of (keys, order), with the value to carry in ``_mark``. ``remove`` deletes them."""
 
-    Rows are split into even ranges of (keys, order), so neither a hot key nor a hot hour lands in one task.
-    Each range hands its last value to the next ones through a table of one row per (key, range). The ranged
-    rows are written to the shared folder first: range numbers then stay the same when a lost executor's work is
-    redone, and the sort key is computed once.
+    rows: DataFrame
+    keys: tuple[str, ...]
+    order: tuple[str, ...]
+    stored: Stored
+
+    def remove(self) -> None:
+        self.stored.remove()
+
+
+def store_ranges(
+    df: DataFrame, value: Column, keys: tuple[str, ...] = (), order: tuple[str, ...] = ("ts", "event_id"),
+    ranges: int | None = None, rows_per_range: int = ROWS_PER_RANGE,
+) -> Ranged:
+    """The explicit first step of an ordered pass: sort once into ranges that stay the same, whatever is lost or run again.
+
+    Ranges are cut by (keys, order), so neither a hot key nor a hot hour lands in one task. Their number follows from a
+    sampled count of the rows and not from the session's shuffle settings.
     """
-    spark = df.sparkSession
-    parts = ranges or range_count(spark)
-    path = scratch_path(spark, "ranges")
-    (
-        df.withColumn("_mark", value).repartitionByRange(parts, *keys, *order)
-        .withColumn("_range", F.spark_partition_id()).write.parquet(path))
-    ranged = spark.read.parquet(path)
+    if ranges is None:
+        ranges = max(1, math.ceil(df.select(*order).sample(SAMPLED, seed=1).count() / SAMPLED / rows_per_range))
+    marked = df.withColumn(MARK, value).repartitionByRange(ranges, *keys, *order).withColumn(RANGE, F.spark_partition_id())
+    kept = store(marked, "ranges")
+    return Ranged(kept.rows, keys, order, kept)
+
+
+def carried(ranged: Ranged, name: str, before_current: bool = False) -> DataFrame:
+    """Last non-null value up to each row (or strictly before it), per key or over the whole input, as a plan only.
+
+    Each range hands its last value to the next ones through a table of one row per (key, range).
+    """
+    rows, keys, order = ranged.rows, ranged.keys, ranged.order
     position = F.struct(*order)
-    tails = ranged.groupBy(*keys, "_range").agg(
-        F.max_by("_mark", F.when(F.col("_mark").isNotNull(), position)).alias("_tail"))
-    earlier = W.partitionBy(*(keys or [F.lit(0)])).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    tails = rows.groupBy(*keys, RANGE).agg(
+        F.max_by(MARK, F.when(F.col(MARK).isNotNull(), position)).alias("_tail"))
+    earlier = W.partitionBy(*(keys or [F.lit(0)])).orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1)
     incoming = tails.select(
-        *[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_range").alias("_in_range"),
+        *[F.col(k).alias(f"_key_{k}") for k in keys], F.col(RANGE).alias("_in_range"),
         F.last("_tail", ignorenulls=True).over(earlier).alias("_incoming"))
-    same = F.col("_range") == F.col("_in_range")
+    same = F.col(RANGE) == F.col("_in_range")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
-    # without keys the table has one row per range, a number fixed by the session
-    joined = ranged.join(incoming if keys else F.broadcast(incoming), same, "left")
-    inside = W.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(
+    # a row for each range (and key of it): how the join is done follows from its size
+    joined = rows.join(incoming, same, "left")
+    inside = W.partitionBy(*keys, RANGE).orderBy(*order).rowsBetween(
         W.unboundedPreceding, -1 if before_current else W.currentRow)
-    filled = F.coalesce(F.last("_mark", ignorenulls=True).over(inside), F.col("_incoming"))
-    return joined.withColumn(name, filled).select(*df.columns, name)
+    filled = F.coalesce(F.last(MARK, ignorenulls=True).over(inside), F.col("_incoming"))
+    return joined.withColumn(name, filled).select(*[c for c in rows.columns if c not in (MARK, RANGE)], name)
+
+
+def carry_forward(
+    df: DataFrame, value: Column, name: str, keys: tuple[str, ...] = (),
+    order: tuple[str, ...] = ("ts", "event_id"), before_current: bool = False, ranges: int | None = None,
+) -> DataFrame:
+    """Both steps at once: the ranges are stored now and stay until the run's folder is removed."""
+    return carried(store_ranges(df, value, keys, order, ranges), name, before_current)
 
 
 def phase_mark(text: Column) -> Column:
@@ -61,10 +96,18 @@ def phase_mark(text: Column) -> Column:
 
 def attack_phases(df: DataFrame, keys: tuple[str, ...] = (), text: str = "raw_log", ranges: int | None = None) -> DataFrame:
     """Phase of every timed event: a phase stays until a later message switches it."""
-    rows = df.filter(F.col("ts").isNotNull())
-    narrow = rows.select("event_id", "ts", *keys, phase_mark(F.col(text)).alias("_switch"))
-    filled = carry_forward(narrow, F.col("_switch"), "phase", keys, ranges=ranges)
-    return filled.drop("_switch").withColumn("phase", F.coalesce("phase", F.lit(V.FIRST_PHASE)))
+    return phases_of(store_phases(df, keys, text, ranges))
+
+
+def store_phases(df: DataFrame, keys: tuple[str, ...] = (), text: str = "raw_log", ranges: int | None = None) -> Ranged:
+    """The timed events in ranges with the phase that each switches to; no text is moved."""
+    narrow = df.filter(F.col("ts").isNotNull()).select("event_id", "ts", *keys, phase_mark(F.col(text)).alias("_switch"))
+    return store_ranges(narrow.select("event_id", "ts", *keys, "_switch"), F.col("_switch"), keys, ranges=ranges)
+
+
+def phases_of(ranged: Ranged) -> DataFrame:
+    """The phase of every stored event, as a plan only."""
+    return carried(ranged, "phase").drop("_switch").withColumn("phase", F.coalesce("phase", F.lit(V.FIRST_PHASE)))
 
 
 def timeline(df: DataFrame, text: str = "raw_log") -> DataFrame:

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trailhound import fixed_values as V
+from trailhound.operators import aggregates as A
+from trailhound.operators import distinct as X
 from trailhound.operators import registry as R
+from trailhound.plans.fixtures import table, view
+from trailhound.plans.oracle_views import in_list
 from trailhound.plans.q_core import LE, events
 from trailhound.plans.registry import query
+from trailhound.session import store
 
 # a thousand rules made from the data's own numbers: users, hosts, addresses, and messages
 RULES_SQL = """
@@ -22,8 +28,6 @@ union all select 'none', 'watched_none', cast(null as string), 'LOW' from (selec
 
 
 def rules(spark, d):
-    from trailhound.plans.fixtures import table
-
     return spark.sql(RULES_SQL.replace("from events", "from {events}"), events=table(spark, d, "events"))
 
 
@@ -33,3 +37,57 @@ from log_events e join ({RULES_SQL}) r on case when contains(r.pattern, '.*') th
  else contains(lower(e.raw_log), lower(r.pattern)) end""", LE)
 def det_rules(spark, d):
     return R.rule_findings(events(spark, d), rules(spark, d)).select("matched", "finding_type", "severity", "event_id", "host", "details")
+
+
+# --- distinct counts and top-k ------------------------------------------------------------------
+
+def _high():
+    return F.col("severity").isin(V.DASHBOARD_HIGH_SEVERITIES)
+
+
+@query("agg_distinct_days", f"""
+select d as day, count(distinct source_ip) as ips, count(distinct user_name) as users, count(*) as rows,
+ count(distinct source_ip) filter (where severity in {in_list(V.DASHBOARD_HIGH_SEVERITIES)}) as high_ips
+from (select *, cast(ts as date) as d from log_events union all select *, null from log_events) e group by 1""", LE)
+def agg_distinct_days(spark, d):
+    """A table of entries by day, stored, and both each day's counts and those of all days from it."""
+    e = events(spark, d).withColumn("day", F.to_date("ts"))
+    high = F.when(_high(), F.col("source_ip"))
+    by_day = store(X.value_table(e, {"ips": F.col("source_ip"), "users": F.col("user_name"), "high_ips": high}, keys=("day",)), "values").rows
+    each = X.exact_counts(by_day, ["ips", "users", "high_ips"], ["rows"], ("day",))
+    every = X.exact_counts(X.merged_values(by_day), ["ips", "users", "high_ips"], ["rows"])
+    return each.unionByName(every.withColumn("day", F.lit(None).cast("date")))
+
+
+@query("agg_distinct_sketch", """
+select kind, n, true as within_3_percent from (
+ select 'ips' as kind, count(distinct source_ip) as n from log_events union all select 'users', count(distinct user_name) from log_events
+ union all select 'events', count(distinct event_id) from log_events) x""", LE)
+def agg_distinct_sketch(spark, d):
+    """Sketches by day merged into one for the whole span, against the exact counts."""
+    e = events(spark, d).withColumn("day", F.to_date("ts"))
+    values = {"ips": F.col("source_ip"), "users": F.col("user_name"), "events": F.col("event_id")}
+    by_day = store(X.sketches(e, values, ("day",)), "sketches").rows
+    near = X.estimates(by_day, list(values))
+    exact = X.exact_counts(X.value_table(e, values), list(values))
+    parts = [F.struct(F.lit(k).alias("kind"), F.col(k).alias("n"), near.select(k).scalar().alias("near")) for k in values]
+    return exact.select(F.explode(F.array(*parts)).alias("x")).select(
+        "x.kind", "x.n", (F.abs(F.col("x.near") - F.col("x.n")) <= 0.03 * F.col("x.n")).alias("within_3_percent"))
+
+
+@query("agg_terms_by_candidates", rf"""
+select term, count(*) as n from (select unnest(regexp_split_to_array(lower(text), '\W+')) as term from documents) w
+where term <> '' and term not in {in_list(V.STOP_WORDS)} group by term order by n desc, term limit 50""")
+def agg_terms_by_candidates(spark, d):
+    return X.exact_top(A.terms(table(spark, d, "documents")), "term", 50).rows
+
+
+@query("agg_talkers_by_candidates", """
+select * from (select 'sent' as direction, src_ip as ip_address, count(*) as packets from packets group by src_ip order by 3 desc, 2 limit 10) s
+union all
+select * from (select 'received', dst_ip, count(*) from packets group by dst_ip order by 3 desc, 2 limit 10) r""", ("packets",))
+def agg_talkers_by_candidates(spark, d):
+    packets = view(spark, d, "packets")
+    top = lambda column, name: X.exact_top(packets, column, 10).rows.select(
+        F.lit(name).alias("direction"), F.col(column).alias("ip_address"), F.col("n").alias("packets"))
+    return top("src_ip", "sent").unionByName(top("dst_ip", "received"))

@@ -75,8 +75,3 @@ def store(df: DataFrame, name: str) -> Stored:
 def constant_table(spark: SparkSession, columns: list[str], rows: list[tuple]) -> DataFrame:
     """A fixed-size table of literals. Its size is known when the code is written, so it may be broadcast."""
     return spark.createDataFrame(pa.table({c: [r[i] for r in rows] for i, c in enumerate(columns)}))
-
-
-def range_count(spark: SparkSession) -> int:
-    """How many ranges an ordered pass is split into: the session's shuffle parallelism."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
