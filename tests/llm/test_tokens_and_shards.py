@@ -2,8 +2,9 @@
 
 import hashlib
 import random
+import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -172,16 +173,34 @@ def test_shards_follow_the_key_law(spark):
 
 
 def test_shards_edges_and_files(spark, make_docs, tmp_path):
-    docs = make_docs(ODD).withColumn("size", F.octet_length(F.coalesce("text", F.lit(""))) + 1)
-    rows = op10_sharding.shuffle_into_shards(docs, "doc_id", "size", shards=3, bucket_bytes=100).collect()
+    docs = make_docs(ODD).withColumn("shard", F.lit("clash")).withColumn("bucket", F.create_map(F.lit("a"), F.lit(1)))
+    size = F.octet_length(F.coalesce("text", F.lit(""))) + 1
+    rows = op10_sharding.shuffle_into_shards(docs, "doc_id", size, shards=3, bucket_bytes=100).collect()
     slots = defaultdict(list)
     for r in rows:
         slots[r["shard"]].append(r["slot"])
     assert len(rows) == len(ODD) and all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert op10_sharding.shuffle_into_shards(docs.limit(0), "doc_id", "size").collect() == []
-    op10_sharding.write_shards(docs, str(tmp_path / "out"), "doc_id", "size", shards=3)
+    assert sorted(map(str, (r["row"]["text"] for r in rows))) == sorted(str(t) for _, t in ODD)
+    assert all(r["row"]["shard"] == "clash" and r["row"]["bucket"] == {"a": 1} for r in rows)
+    assert op10_sharding.shuffle_into_shards(docs.limit(0), "doc_id", size).collect() == []
+    op10_sharding.write_shards(docs, str(tmp_path / "out"), "doc_id", size, shards=3)
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert sorted(map(str, (r["text"] for r in back.collect()))) == sorted(str(t) for _, t in ODD)
+    assert sorted(map(str, (r["text"] for r in back.select("row.*").collect()))) == sorted(str(t) for _, t in ODD)
+
+
+def test_rows_that_are_all_alike_spread_over_buckets(spark):
+    df = spark.range(3000).select(F.lit(1).alias("doc_id"), F.lit("the same").alias("text"))
+    rows = op10_sharding.shuffle_into_shards(df, "doc_id", F.octet_length("text"), shards=4, bucket_bytes=600).collect()
+    assert {r["shard"] for r in rows} == {rows[0]["shard"]}
+    sizes = Counter(r["bucket"] for r in rows)
+    assert len(sizes) == 10 and max(sizes.values()) < 450
+    assert sorted(r["slot"] for r in rows) == list(range(3000))
+
+
+def test_shards_stay_native(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    text = op10_sharding.shuffled(docs, "doc_id", F.octet_length("text"))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas", text)
 
 
 def test_pipeline_stages_against_brute_force(spark):
