@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from trailhound.operators import aggregates, distinct, packets, registry, timeline
+from trailhound.operators import aggregates, distinct, packets, registry, reports, timeline
 from trailhound.plans.fixtures import view
 
 EVENT = "event_id bigint, ts timestamp_ntz, user_name string, source_ip string, host string, raw_log string"
@@ -117,3 +117,26 @@ def test_ranges_follow_the_rows_and_not_the_session(spark):
         assert max(sizes) < 6000  # one key, one time: ids cut it
     spark.conf.set("spark.sql.shuffle.partitions", before)
     assert counts[0] == counts[1] > 5
+
+
+def test_a_day_written_again_is_one_copy(spark, sf_dir, tmp_path):
+    e = view(spark, sf_dir, "log_events").select("event_id", "ts", "severity")
+    undated = e.limit(3).withColumn("ts", F.lit(None).cast("timestamp_ntz"))
+    path = reports.write_days(e.unionByName(undated), str(tmp_path / "days"))
+    one = F.to_date("ts") == F.lit("2024-01-05").cast("date")
+    for _ in range(2):
+        reports.write_days(e.filter(one), path)
+    back = spark.read.parquet(path)
+    assert back.count() == e.count() + 3 and back.filter("day is null").count() == 3
+    assert sorted(map(str, back.filter("day is not null").drop("day").collect())) == sorted(map(str, e.collect()))
+    reports.write_days(e.filter(one).limit(1), path)
+    assert spark.read.parquet(path).filter("day = date'2024-01-05'").count() == 1
+
+
+def test_a_time_filter_reads_only_its_days(spark, sf_dir, tmp_path):
+    path = reports.write_days(view(spark, sf_dir, "log_events").select("event_id", "ts"), str(tmp_path / "days"))
+    at = lambda text: F.lit(text).cast("timestamp_ntz")
+    got = reports.read_between(spark, path, at("2024-01-05 12:00:00"), at("2024-01-06 00:00:00"))
+    text = plan(got)
+    assert re.search(r"PartitionFilters: \[[^\]]*day", text)
+    assert {r["day"] for r in got.select(F.col("day").cast("string").alias("day")).distinct().collect()} == {"2024-01-05"}

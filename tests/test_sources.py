@@ -247,3 +247,19 @@ def test_empty_text_input(spark):
     assert parse.input_format(df).count() == 0
     assert parse.parse_any(df).count() == 0
     assert df.select(F.col("line")).count() == 0
+
+
+def test_a_first_line_of_words_is_kept_where_files_have_no_header(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("alice,login,ok\nbob,logout,ok\n")
+    assert files.read_any(spark, str(tmp_path / "in"), header=False).count() == 2
+    assert files.read_any(spark, str(tmp_path / "in")).columns[:3] == ["alice", "login", "ok"]
+
+
+def test_a_broken_array_is_a_reject(spark, tmp_path):
+    good = '{"Event": {"System": {"Level": "4"}}}'
+    (tmp_path / "good.json").write_text(f"[\n{good},\n{good}\n]")
+    (tmp_path / "bad.json").write_text(f"[\n{good},\n{{broken\n]")
+    records = files.winevent_records(spark, str(tmp_path))
+    assert files.winevent_columns(records).count() == 2
+    assert [r["value"] for r in files.winevent_rejects(records).collect()] == [(tmp_path / "bad.json").read_text()]

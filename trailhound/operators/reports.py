@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailhound import fixed_values as V
@@ -15,6 +15,10 @@ TECHNICAL_LISTS = [
 ]
 
 
+#: Files that the rows of one day are dealt into at most, so that a busy day is not one task's.
+DAY_FILES = 16
+
+
 def executive_summary(score: DataFrame, findings: DataFrame) -> DataFrame:
     """Risk score and level with finding counts: two one-row aggregates, joined as scalar subqueries."""
     counts = finding_severity_counts(findings)
@@ -84,6 +88,22 @@ def write(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str
     return path
 
 
+def write_days(df: DataFrame, path: str, time: str = "ts", day: str = "day") -> str:
+    """Rows into one folder per day, so that a run may be repeated: the days among ``df`` are replaced, all others stay.
+
+    Rows without a time go to a folder of their own. ``day`` is added as the partition column.
+    """
+    dated = df.withColumn(day, F.to_date(time)).repartition(day, F.pmod(F.xxhash64(*df.columns), F.lit(DAY_FILES)))
+    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+    return path
+
+
+def read_between(spark: SparkSession, path: str, first: Column, end: Column, time: str = "ts", day: str = "day") -> DataFrame:
+    """Rows written by :func:`write_days` with ``first <= time < end``; only the folders of these days are listed and read."""
+    within = (F.col(day) >= F.to_date(first)) & (F.col(day) <= F.to_date(end))
+    return spark.read.parquet(path).filter(within & (F.col(time) >= first) & (F.col(time) < end))
+
+
 def write_all(df: DataFrame, folder: str, formats: tuple[str, ...] = ("json", "csv", "parquet")) -> dict[str, str]:
     """Several formats of one table. The rows are computed once, as Parquet, and the others are written from it."""
     base = write(df, f"{folder}/parquet")

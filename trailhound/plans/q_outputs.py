@@ -46,6 +46,17 @@ def snk_parquet(spark, d):
     return spark.read.parquet(R.write(rows, scratch_path(spark, "events"), "parquet", ["day"]))
 
 
+@query("snk_days", """
+select event_id, ts, severity, cast(ts as date) as day from log_events where ts >= timestamp '2024-01-10 06:00:00' and ts < timestamp '2024-01-12 18:00:00'""", LE)
+def snk_days(spark, d):
+    """All days written, two of them again, and a span read back: one copy of each row, and other days untouched."""
+    rows = events(spark, d).select("event_id", "ts", "severity")
+    path = R.write_days(rows, scratch_path(spark, "days"))
+    R.write_days(rows.filter(F.to_date("ts").isin(F.lit("2024-01-10").cast("date"), F.lit("2024-01-20").cast("date"))), path)
+    at = lambda text: F.lit(text).cast("timestamp_ntz")
+    return R.read_between(spark, path, at("2024-01-10 06:00:00"), at("2024-01-12 18:00:00"))
+
+
 def _summary(found):
     return R.executive_summary(S.detector_score(found.profile(), AS_OF), found.findings())
 

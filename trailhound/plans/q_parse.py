@@ -128,13 +128,12 @@ def src_auto_jsonl(spark, d):
         F.concat(F.lit("[\n"), F.array_join(F.collect_list("j"), ",\n"), F.lit("\n]")).alias("value")).select("value").write.option(
         "lineSep", "\n").text(f"{base}/kind=b")
     view(spark, d, "log_lines").select(F.concat_ws(" ", "fmt", "event_id").alias("value")).write.text(f"{base}/kind=c")
-    listed = [r["path"] for r in files.file_list(spark, [f"{base}/kind=a", f"{base}/kind=b", f"{base}/kind=c"]).collect()]
-    parts = [files.read_json(spark, [p for p in listed if "kind=c" not in p]).select(
-        F.lit("json").alias("source_format"), F.col("event_id").cast("string").alias("event_id"), "host",
-        F.lit(None).cast("string").alias("raw_log")),
-        files.read_any(spark, f"{base}/kind=c").select(
-            "source_format", F.lit(None).cast("string").alias("event_id"), F.lit(None).cast("string").alias("host"), "raw_log")]
-    return parts[0].unionByName(parts[1])
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/kind=b")
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in system.listStatus(folder):  # Spark writes text as .txt; these are JSON
+        name = status.getPath()
+        system.rename(name, name.suffix(".json"))
+    return files.read_any(spark, [f"{base}/kind=a", f"{base}/kind=b", f"{base}/kind=c"]).select("source_format", "event_id", "host", "raw_log")
 
 
 @query("src_csv_any", """

@@ -188,7 +188,10 @@ def winevent_rejects(df: DataFrame, json: str = "value") -> DataFrame:
 
 
 def winevent_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Records as text, one per row in ``value``: from lines, or from files that hold one array of records."""
+    """Records as text, one per row in ``value``: from lines, or from files that hold one array of records.
+
+    An array that cannot be read is one row with the whole text of its file, which :func:`winevent_rejects` returns.
+    """
     by_line, arrays = [], []
     for row in file_layouts(spark, paths).collect():
         if row["binary"]:
@@ -199,8 +202,8 @@ def winevent_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         frames.append(spark.read.text(by_line).filter(F.trim("value") != ""))
     if arrays:
         parts = F.from_json("value", "array<variant>")
-        frames.append(spark.read.text(arrays, wholetext=True).select(F.explode(parts).alias("v")).select(
-            F.to_json("v").alias("value")))
+        records = F.when(parts.isNotNull(), F.transform(parts, lambda v: F.to_json(v))).otherwise(F.array("value"))
+        frames.append(spark.read.text(arrays, wholetext=True).select(F.explode(records).alias("value")))
     return union_all(spark, frames, "value string")
 
 
@@ -283,11 +286,15 @@ def route_files(spark: SparkSession, paths: str | list[str]) -> dict[str, list[s
     return routed
 
 
-def read_any(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Read a mix of formats into one frame of text columns; columns a format lacks are null. No file loses a record:
-    CSV files have a header only if their first line reads like one, JSON files may hold a document or lines.
-    An empty folder gives an empty frame."""
-    readers = {"csv": read_csv_any, "json": read_json, "winevent": read_winevents, "text": read_text}
+def read_any(spark: SparkSession, paths: str | list[str], header: bool | None = None) -> DataFrame:
+    """Read a mix of formats into one frame of text columns; columns a format lacks are null. An empty folder gives an empty frame.
+
+    JSON files may hold a document or lines. A first line of a CSV file with a number, an address or a time in it is always a
+    record. One of words alone may be either and is taken for a header; ``header=False`` says that these files have
+    none, so that it stays a record as well.
+    """
+    csv = lambda session, files: read_csv(session, files, header=header)
+    readers = {"csv": csv, "json": read_json, "winevent": read_winevents, "text": read_text}
     frames = []
     for fmt, files in sorted(route_files(spark, paths).items()):
         df = readers[fmt](spark, files)
