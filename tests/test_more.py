@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from trailhound.operators import aggregates, distinct, packets, registry, reports, timeline
+from trailhound.operators import aggregates, detect, distinct, joins, packets, registry, reports, timeline
 from trailhound.plans.fixtures import view
 
 EVENT = "event_id bigint, ts timestamp_ntz, user_name string, source_ip string, host string, raw_log string"
@@ -140,3 +140,28 @@ def test_a_time_filter_reads_only_its_days(spark, sf_dir, tmp_path):
     text = plan(got)
     assert re.search(r"PartitionFilters: \[[^\]]*day", text)
     assert {r["day"] for r in got.select(F.col("day").cast("string").alias("day")).distinct().collect()} == {"2024-01-05"}
+
+
+def test_rows_shuffled_for_a_large_feed_are_near_the_matches(spark, tmp_path):
+    """With the feed beyond the broadcast limit, what reaches the exchange of the events is counted in the running plan."""
+    rows = spark.range(20_000).select(
+        F.col("id").alias("event_id"), F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit(None).cast("string").alias("user_name"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("ip"), F.col("id"))).alias("source_ip"),
+        F.lit(None).cast("string").alias("host"), F.lit("x").alias("raw_log"))
+    rows.write.parquet(str(tmp_path / "events"))
+    events = spark.read.parquet(str(tmp_path / "events"))
+    feed = spark.range(3000).select(F.concat(F.lit("ip"), F.col("id") * 31).alias("indicator"), F.lit("ip").alias("kind"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near, plain = joins.in_large_feed(events, feed), joins.in_feed(events, feed)
+        assert "SortMergeJoin" in plan(near)
+        assert sorted(r["event_id"] for r in near.collect()) == sorted(r["event_id"] for r in plain.collect())
+        found = detect.ioc_matches(events, feed, slots=joins.FEED_SLOTS)
+        assert sorted(r["event_id"] for r in found.collect()) == sorted(r["event_id"] for r in detect.ioc_matches(events, feed).collect())
+        kept = events.filter(joins.may_hold(joins.bit_map(feed, "indicator", joins.FEED_SLOTS), F.col("source_ip"), joins.FEED_SLOTS)).count()
+        assert plain.count() <= kept < plain.count() + 200
+        joined = near._jdf.queryExecution().executedPlan().toString()
+        assert joined.index("Filter") > joined.index("Exchange")  # the test stands under the exchange, in the scan stage
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)

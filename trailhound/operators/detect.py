@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailhound import fixed_values as V
+from trailhound.functions.bits import bit_map, may_hold
 from trailhound.functions.lookup import count_where, look_up
 from trailhound.functions.text import all_matches, any_of, contains_any, holds_any, pattern_hit
 from trailhound.operators.aggregates import hourly
@@ -203,12 +204,13 @@ def aggregate_anomalies(profile: DataFrame, by: tuple[str, ...] = ()) -> DataFra
         *_severity_entries(), _brute_force_entry(V.BRUTE_FORCE_MIN), _off_hours_entry(V.OFF_HOURS_SHARE)])
 
 
-def ioc_matches(df: DataFrame, feed: DataFrame, text: str = "raw_log") -> DataFrame:
+def ioc_matches(df: DataFrame, feed: DataFrame, text: str = "raw_log", slots: int | None = None) -> DataFrame:
     """Events whose address, or any domain in their text, is in the feed.
 
     A row's address and domains are one array that is unrolled in the scan, so events and feed are each read once. The
     feed is reduced to distinct values. Its join strategy is left to the optimizer, which broadcasts it only while its
-    size is known to be small; beyond that the sort-merge join splits hot keys at run time.
+    size is known to be small; beyond that the sort-merge join splits hot keys at run time. For such feeds ``slots`` asks
+    for a bit map of the indicators, read ahead, which drops what cannot match before the rows are unrolled.
     """
     known = feed.filter(F.col("kind").isin("ip", "domain")).select(
         F.col("kind").alias("_kind"), F.col("indicator").alias("_value")).distinct()
@@ -216,6 +218,9 @@ def ioc_matches(df: DataFrame, feed: DataFrame, text: str = "raw_log") -> DataFr
     entry = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
     found = F.array_distinct(F.transform(all_matches(F.col(text), V.DOMAIN_PATTERN, 0), lambda d: F.lower(d)))
     values = F.concat(F.array(entry("ip", F.col("source_ip"))), F.transform(found, lambda d: entry("domain", d)))
+    if slots:
+        bits = bit_map(known, "_value", slots)
+        values = F.filter(values, lambda v: may_hold(bits, v["value"], slots))
     return df.select(*columns, F.explode(values).alias("_found")).select(
         "*", F.col("_found.kind").alias("_kind"), F.col("_found.value").alias("_value")).join(known, ["_kind", "_value"]).select(
         F.lit("ioc_match").alias("finding_type"), F.lit("ioc_matches").alias("list_name"),

@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailhound import fixed_values as V
+from trailhound.functions.bits import bit_map, may_hold
 from trailhound.functions.lookup import look_up
 from trailhound.session import constant_table
 
 
+#: Bits of the map of a feed's indicators: 128 KB in the plan, two per cent of them set by 20,000 indicators.
+FEED_SLOTS = 1 << 20
+
+
 def with_dimension(df: DataFrame, dimension: DataFrame, key: str, value: str, default) -> DataFrame:
     """Equi look-up with a default; the join strategy follows the dimension's size."""
     return df.join(dimension, key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
@@ -26,6 +31,17 @@ def in_feed(df: DataFrame, feed: DataFrame, column: str = "source_ip", kind: str
     return df.join(wanted, column, "left_semi")
 
 
+def in_large_feed(df: DataFrame, feed: DataFrame, column: str = "source_ip", kind: str = "ip", slots: int = FEED_SLOTS) -> DataFrame:
+    """The same rows for a feed beyond the broadcast limit: events that cannot match go in the scan stage.
+
+    The feed is read once more for a bit map of ``slots`` bits, so that the join shuffles the matches and, of the rest, the
+    share of bits that the feed sets. A hot address that is not in the feed is then no hot key of the join.
+    """
+    wanted = feed.filter(F.col("kind") == kind).select(F.col("indicator").alias(column)).distinct()
+    bits = bit_map(wanted.filter(F.col(column).isNotNull()), column, slots)
+    return df.filter(may_hold(bits, F.col(column), slots)).join(wanted, column, "left_semi")
+
+
 def seen_in_feed(df: DataFrame, feed: DataFrame, column: str = "source_ip", kind: str = "ip") -> DataFrame:
     """Distinct observed values that the feed also lists."""
     seen = df.filter(F.col(column).isNotNull()).select(F.col(column).alias("indicator"))

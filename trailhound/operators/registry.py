@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailhound.functions.bits import bit_map, may_hold
+
 GRAM = 3
 #: Bits of the map of anchors.
 SLOTS = 1 << 16
@@ -24,10 +26,6 @@ def _grams(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
 
 
-def _slot(gram: Column) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(SLOTS)).cast("int")
-
-
 def anchored(rules: DataFrame) -> DataFrame:
     """The rules with the lower-cased pattern, whether it is an expression, and its anchor: the one fewest rules hold."""
     lowered = F.lower("pattern")
@@ -44,29 +42,16 @@ def anchored(rules: DataFrame) -> DataFrame:
     return known.drop("_grams").join(best, ["rule_id", "pattern"], "left").withColumn("anchor", F.coalesce("anchor", F.lit("")))
 
 
-def anchor_bits(rules: DataFrame) -> Column:
-    """The anchors as a literal array of ``SLOTS / 64`` numbers of 64 bits: at most so many rows come to the driver."""
-    slot = _slot(F.col("anchor"))
-    words = rules.select(F.shiftright(slot, 6).alias("word"), slot.bitwiseAND(F.lit(63)).alias("bit")).distinct().groupBy("word").agg(
-        F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
-    bits = [0] * (SLOTS >> 6)
-    for r in words.collect():
-        bits[r["word"]] = r["bits"]
-    return F.lit(bits).cast("array<bigint>")
-
-
 def rule_findings(df: DataFrame, rules: DataFrame, text: str = "raw_log") -> DataFrame:
     """A finding for each row and rule that hits, in the shape of the built-in findings, with ``matched`` the rule's id.
 
     The category is finding type and list. Rules with a null or empty pattern never hit; repeated rules count once.
     """
     known = anchored(rules)
-    bits, lowered = anchor_bits(known), F.lower(F.col(text))
-    held = lambda gram: F.call_function(
-        "shiftright", F.get(bits, F.shiftright(_slot(gram), 6)), _slot(gram).bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1)) == 1
+    bits, lowered = bit_map(known, "anchor", SLOTS), F.lower(F.col(text))
     columns = ["event_id", "ts", "user_name", "source_ip", "host"]
     rows = df.select(*columns, F.col(text).alias("_text"), lowered.alias("_lower"))
-    grams = F.concat(F.array(F.lit("")), F.filter(_grams(F.col("_lower")), held))
+    grams = F.concat(F.array(F.lit("")), F.filter(_grams(F.col("_lower")), lambda g: may_hold(bits, g, SLOTS)))
     near = rows.select("*", F.explode(grams).alias("anchor")).join(known, "anchor")
     hit = F.when(F.col("is_expression"), F.expr("rlike(_text, concat('(?i)', pattern))")).otherwise(
         F.contains(F.col("_lower"), F.lower("pattern")))

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from trailhound import fixed_values as V
 from trailhound.operators import aggregates as A
+from trailhound.operators import detect as D
 from trailhound.operators import distinct as X
+from trailhound.operators import joins as J
 from trailhound.operators import registry as R
 from trailhound.plans.fixtures import table, view
 from trailhound.plans.oracle_views import in_list
-from trailhound.plans.q_core import LE, events
+from trailhound.plans.q_core import COLS, LE, SHOWN, events
 from trailhound.plans.registry import query
 from trailhound.session import store
 
@@ -39,6 +41,20 @@ def det_rules(spark, d):
     return R.rule_findings(events(spark, d), rules(spark, d)).select("matched", "finding_type", "severity", "event_id", "host", "details")
 
 
+@query("det_ioc_large_feed", """
+select event_id, source_ip as matched, substr(raw_log, 1, 200) as details from log_events
+where source_ip in (select indicator from ioc_feed)""", ("log_events", "ioc_feed"))
+def det_ioc_large_feed(spark, d):
+    found = D.ioc_matches(events(spark, d), view(spark, d, "ioc_feed"), slots=J.FEED_SLOTS)
+    return found.select("event_id", "matched", "details")
+
+
+@query("jn_ioc_large_feed", f"select {COLS} from log_events where source_ip in (select indicator from ioc_feed where kind = 'ip')",
+       ("log_events", "ioc_feed"))
+def jn_ioc_large_feed(spark, d):
+    return J.in_large_feed(events(spark, d).select(*SHOWN), view(spark, d, "ioc_feed"))
+
+
 # --- distinct counts and top-k ------------------------------------------------------------------
 
 def _high():
