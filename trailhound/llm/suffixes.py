@@ -1,7 +1,7 @@
 """Suffix ranks of a long string of numbers by the distributed difference-cover algorithm (cover {1, 2} modulo 3).
 
-Suffixes at positions not divisible by 3 are named by their first three symbols: distinct triples are put in order across
-range partitions and a triple's place is its name. If names repeat, the string of names (positions 1 modulo 3, then
+Suffixes at positions not divisible by 3 are named by their first three symbols: they are put in order of these across
+range partitions, and the number of different triples up to a suffix is its name. If names repeat, the string of names (positions 1 modulo 3, then
 2 modulo 3) is ranked by recursion. The suffixes that remain are ordered by their first symbol and the rank of the
 suffix behind it, and merged: two range sorts count, for each suffix, how many of the other kind stand before it. No step
 gathers a key; a string of at most ``BASE_ROWS`` symbols is ranked in one task, and that bound does not grow.
@@ -93,6 +93,43 @@ def counted(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
                         (F.col("others") + F.col("before_others") - 1 + own).alias("others"))
 
 
+def named(samples: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The stored table behind it, and ``pos`` and ``name``: how many different keys there are up to the row's own, from 1.
+
+    One sort by key and position, so that a frequent key is cut across tasks; each task numbers the keys that it sees, and a row
+    for each partition (first key, last key, how many) puts the numbers of all of them in line.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, seen, before = TaskContext.get().partitionId(), 0, None
+        for batch in batches:
+            if not len(batch):
+                continue
+            columns = [batch.column(k).to_numpy() for k in keys]
+            fresh = np.zeros(len(batch), bool)
+            for c in columns:
+                fresh[1:] |= c[1:] != c[:-1]
+            fresh[0] = before is None or any(c[0] != b for c, b in zip(columns, before, strict=True))
+            own = seen + np.cumsum(fresh)
+            seen, before = int(own[-1]), [c[-1] for c in columns]
+            yield pa.RecordBatch.from_arrays([batch.column("pos"), *[batch.column(k) for k in keys], pa.array(
+                np.full(len(batch), part, np.int32)), pa.array(own.astype(np.int64))], ["pos", *keys, "part", "own"])
+
+    spread = samples.select("pos", *keys).repartitionByRange(partitions(samples.sparkSession), *keys, "pos").sortWithinPartitions(*keys, "pos")
+    local = stored(spread.mapInArrow(run, f"pos long, {', '.join(f'{k} long' for k in keys)}, part int, own long"), "named")
+    key = F.struct(*keys)
+    rows = local.groupBy("part").agg(F.min(key).alias("first"), F.max(key).alias("last"), F.max("own").alias("n")).orderBy("part").collect()
+    lines, base, before = [], 0, None
+    for r in rows:
+        base -= before == r["first"]  # the key goes on from the partition before
+        lines.append((r["part"], base))
+        base, before = base + r["n"], r["last"]
+    line = samples.sparkSession.createDataFrame(lines, "part int, base long")
+    return local, local.join(F.broadcast(line), "part").select("pos", (F.col("base") + F.col("own")).alias("name"))  # a row for each partition
+
+
 def suffix_ranks(symbols: DataFrame, n: int, base_rows: int = BASE_ROWS) -> DataFrame:
     """``pos`` and ``rank`` (0 upwards) of every suffix; ``symbols``: ``pos`` 0 to n - 1 and ``name`` (long, over 0)."""
     if n <= base_rows:
@@ -110,13 +147,12 @@ def suffix_ranks(symbols: DataFrame, n: int, base_rows: int = BASE_ROWS) -> Data
     triples = stored(triples, "triples")
     samples = triples.filter("pos % 3 <> 0")
     keys = ["t0", "t1", "t2"]
-    names = stored(samples.select(*keys).distinct().repartitionByRange(
-        partitions(symbols.sparkSession), *keys).sortWithinPartitions(*keys).withColumn(
-        "name", F.monotonically_increasing_id() + 1), "names")
+    names_table, names = named(samples, keys)
     n_one = (n + 1) // 3 + dummy  # positions 1, 4, 7, ... and the dummy
     n_samples = n_one + n // 3
     at = F.floor(F.col("pos") / 3) + F.when(F.col("pos") % 3 == 1, F.lit(0)).otherwise(F.lit(n_one))
-    shorter = stored(samples.join(names, keys).select(at.cast("long").alias("pos"), "name"), "shorter")
+    shorter = stored(names.select(at.cast("long").alias("pos"), "name"), "shorter")
+    discard(names_table)
     inner = suffix_ranks(shorter, n_samples, base_rows)
     back = F.when(F.col("pos") < n_one, 3 * F.col("pos") + 1).otherwise(3 * (F.col("pos") - n_one) + 2)
     ranks = stored(inner.select(back.alias("pos"), (F.col("rank") + 1).alias("rank")), "sample_ranks")
@@ -135,5 +171,5 @@ def suffix_ranks(symbols: DataFrame, n: int, base_rows: int = BASE_ROWS) -> Data
         two.select("pos", F.when(F.col("class") == 0, F.col("others")).otherwise(F.col("zeros")).alias("rank"))).unionByName(
         ranks.filter(F.col("pos") < n).select("pos", (F.col("rank") - 1 - dummy).alias("rank")))
     out = stored(before.groupBy("pos").agg(F.sum("rank").alias("rank")), "ranks")
-    discard(triples, names, shorter, inner, ranks, one_table, two_table)
+    discard(triples, shorter, inner, ranks, one_table, two_table)
     return out
