@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailhound.llm.common import stored
+from trailhound.llm.common import discard, stored
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,6 +39,7 @@ def components(links: DataFrame) -> DataFrame:
         least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = stored(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(),
                        "large")
+        discard(least, *([edges] if hasattr(edges, "stored_path") else []))
         least = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
         # done when every node has one smaller neighbour and none of those has one itself
         tops = least.select(F.col("m").alias("u"))
@@ -48,3 +49,4 @@ def components(links: DataFrame) -> DataFrame:
         joined = large.join(least, "u").select(F.explode(F.array(
             F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = stored(joined.select("e.u", "e.v").filter("u <> v").distinct(), "links")
+        discard(least, large)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailhound.llm.common import BASE, byte_steps, lower, mix, stored, table, tidied, word_hashes, words
+from trailhound.llm.common import BASE, byte_steps, discard, lower, mix, stored, table, tidied, word_hashes, words
 from trailhound.llm.graph import components, forest
 
 SHINGLE = 3
@@ -247,10 +247,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
                    "pairs")
     found = stored(verified(pairs, sets, percent), "found")
     groups = stored(components(found), "groups")
+    discard(shared, pairs)
     # leaders have met every member of their bucket and leave it; a bucket goes on if what remains is of more than one component
     rest = live.join(led.select("key", F.col("lead.rep").alias("rep")), ["key", "rep"], "left_anti")
     rest = stored(rest.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(
         "key", "rep", "n", F.coalesce("component", "rep").alias("component")), "rest")
+    discard(live, led)
     mixed = rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members"),
                                     F.sum("n").alias("elements")).filter("x <> y")
     chunks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("elements") / BLOCK_ELEMENTS)).cast("int")
@@ -258,16 +260,22 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     if not open_buckets.isEmpty():
         dealt = rest.join(open_buckets, "key").select("key", "rep", "chunks", F.pmod(
             F.xxhash64("rep", F.lit(1)), F.col("chunks")).cast("int").alias("chunk"))
-        found = found.unionByName(stored(linked_in_blocks(dealt, sets, percent), "found"))
-        groups = stored(components(found), "groups")
+        more = stored(linked_in_blocks(dealt, sets, percent), "found")
+        discard(groups)
+        groups = stored(components(found.unionByName(more)), "groups")
+        discard(more)
+    discard(sets, rest, open_buckets, found)
     placed = stored(classes.select("a", "b", "n", "rep", "doc_id").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(
         "a", "b", "n", "doc_id", F.coalesce("component", "rep").alias("group")), "placed")
     least = placed.groupBy("group").agg(F.min("doc_id").alias("component"))
     named = stored(placed.drop("doc_id").join(least, "group").drop("group"), "named")
+    discard(classes, groups, placed)
     out = known.select("doc_id", "text_hash", "n", "a", "b").join(named, ["a", "b", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash")
+    result = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
+                        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash")
+    result.behind = (known, named)  # tables that the result reads: to be discarded once it is stored
+    return result
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
