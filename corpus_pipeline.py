@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailhound.llm import op3_minhash, op4_suffix_array, op7_packing, op8_toxicity, op9_language
-from trailhound.llm.common import stored, table
+from trailhound.llm.common import discard, stored, table
 
 SHINGLE = 5
 PERCENT = 80
@@ -46,7 +46,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A row goes by its own text, also where its id stands on other texts as well. Rows without an id stay.
     """
-    found = stored(op3_minhash.near_duplicates(docs, SHINGLE, PERCENT).filter("doc_id is not null"), "found")
+    groups = op3_minhash.near_duplicates(docs, SHINGLE, PERCENT)
+    found = stored(groups.filter("doc_id is not null"), "found")
+    discard(*groups.behind)
     gone = found.filter("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
     repeated = stored(found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated")
     own = op3_minhash.text_hash()
