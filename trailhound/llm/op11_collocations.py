@@ -10,7 +10,8 @@ Stripes are filled by length. A phrase cannot be more frequent than a part of it
 prefix, and only with a word, whose phrases of one word less pass a filter of all frequent ones. The filter is a bit map of
 fixed size: it lets some rare phrases through, which the exact counts then drop, and never holds a frequent one back.
 For two words or more only the stretches of text are read, from a stored table, whose word pairs all pass a filter of frequent
-pairs, which is made from counts of their hashes. A stripe is cut into segments by the hash of its words, so that one of a very common prefix is added up by many tasks.
+pairs, which is made from counts of their hashes. The stripe of a heavy prefix is cut into segments by the hash of its words,
+so that many tasks add it up.
 """
 
 from __future__ import annotations
@@ -35,8 +36,10 @@ STEP = 8 << 20
 FILTER_BITS = 26
 CHUNK_BITS = 15
 SLOT_BITS = 40
-#: Segments of the stripe of no words and of any other.
-SEGMENTS = (256, 16)
+#: Segments of the stripe of no words and of a heavy prefix: one that makes up one word in ``HEAVY`` of the corpus, so that there
+#: are at most so many of any length.
+SEGMENTS = (256, 64)
+HEAVY = 1000
 #: Groups that each give their best phrases before a language's best are chosen.
 RANK_GROUPS = 64
 
@@ -142,12 +145,13 @@ def grams(tokens: Tokens, size: int, bits: np.ndarray | None) -> tuple[np.ndarra
     return at[first], counts
 
 
-def stripes_of(tokens: Tokens, langs: pa.Array, size: int, at: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    """Phrases gathered under their prefixes, in segments."""
+def stripes_of(tokens: Tokens, langs: pa.Array, size: int, at: np.ndarray, counts: np.ndarray, heavy: np.ndarray) -> pa.RecordBatch:
+    """Phrases gathered under their prefixes, those of heavy prefixes (by hash) in segments."""
     following = tokens.ids[at + size - 1]
-    segments = SEGMENTS[0 if size == 1 else 1]
-    word_segment = (string_hashes(tokens.words) % np.uint64(segments)).astype(np.int64)
-    columns = [word_segment[following], *[tokens.ids[at + k] for k in range(size - 2, -1, -1)], tokens.langs[at]]
+    segment = (string_hashes(tokens.words)[following] % np.uint64(SEGMENTS[0 if size == 1 else 1])).astype(np.int64)
+    if size > 1:
+        segment[~np.isin(phrase_hashes(tokens, size - 1)[0][at], heavy)] = 0
+    columns = [segment, *[tokens.ids[at + k] for k in range(size - 2, -1, -1)], tokens.langs[at]]
     order = np.lexsort(columns)
     fresh = np.zeros(len(at), bool)
     fresh[:1] = True
@@ -166,9 +170,9 @@ def stripes_of(tokens: Tokens, langs: pa.Array, size: int, at: np.ndarray, count
         pa.ListArray.from_arrays(bounds, pa.array(counts[order].astype(np.int64)))], ["lang", "prefix", "segment", "next", "n"])
 
 
-def stripes(texts: DataFrame, size: int, bits: np.ndarray | None) -> DataFrame:
+def stripes(texts: DataFrame, size: int, bits: np.ndarray | None, heavy: np.ndarray | None = None) -> DataFrame:
     """Summed stripes of prefixes of ``size - 1`` words, as rows (lang, prefix, next, n); ``texts``: lang, text."""
-    shared = texts.sparkSession.sparkContext.broadcast(bits)
+    shared = texts.sparkSession.sparkContext.broadcast((bits, heavy))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,9 +181,10 @@ def stripes(texts: DataFrame, size: int, bits: np.ndarray | None) -> DataFrame:
                 tokens = tokenized(langs, first, last, data, offsets)
                 if len(tokens.ids) < size:
                     continue
-                at, counts = grams(tokens, size, shared.value)
+                at, counts = grams(tokens, size, shared.value[0])
                 if len(at):
-                    yield stripes_of(tokens, langs.slice(first, last - first).dictionary_encode().dictionary, size, at, counts)
+                    named = langs.slice(first, last - first).dictionary_encode().dictionary
+                    yield stripes_of(tokens, named, size, at, counts, shared.value[1])
 
     filled = texts.mapInArrow(run, "lang string, prefix string, segment int, next array<string>, n array<long>")
     # the exchange by segment also serves the sums by word within a segment
@@ -258,7 +263,7 @@ def pair_filter(texts: DataFrame, bits: np.ndarray, least: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, offsets in byte_steps(batch.column("text"), STEP, STEP):
+            for first, last, data, offsets in byte_steps(batch.column("text"), 2 * STEP, STEP):
                 tokens = tokenized(batch.column("lang"), first, last, data, offsets)
                 hashes, inside = phrase_hashes(tokens, 2)
                 live = passing(shared.value, tokens.hashes)
@@ -282,17 +287,30 @@ def frequent_phrases(texts: DataFrame, least: int = LEAST, longest: int = LONGES
 
     levels = [level(words, 1)]
     discard(words)
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     while len(levels) < longest and not levels[-1].isEmpty():
         bits = filter_of(levels[-1], len(levels))
+        heavy = heavy_prefixes(levels[-1], len(levels), total)
         if len(levels) == 1:
             texts = stored(stretches(texts, 2, pair_filter(texts, bits, least)), "stretches")
-        levels.append(level(stripes(texts, len(levels) + 1, bits), len(levels) + 1))
+        levels.append(level(stripes(texts, len(levels) + 1, bits, heavy), len(levels) + 1))
     out = levels[0]
     for more in levels[1:]:
         out = out.unionByName(more)
     return out, sizes
 
 
+def heavy_prefixes(phrases: DataFrame, size: int, total: int) -> np.ndarray:
+    """Hashes of the phrases that make up one word in ``HEAVY`` of the corpus: at most so many rows come to the driver."""
+    rows = phrases.filter(F.col("a") * HEAVY >= total).select("lang", "phrase").collect()
+    if not rows:
+        return np.zeros(0, np.uint64)
+    langs, texts = (pa.array([r[c] for r in rows], pa.string()) for c in ("lang", "phrase"))
+    step = next(byte_steps(texts, 1 << 31, len(rows)))
+    hashes, inside = phrase_hashes(tokenized(langs, *step), size)
+    return hashes[inside]
+
+
 def undominated(phrases: DataFrame) -> DataFrame:
     """Phrases of two words or more without a longer one around them that is as frequent.
 
