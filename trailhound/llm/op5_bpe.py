@@ -28,8 +28,8 @@ from trailhound.llm.common import table, texts, tidied
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words of up to so many bytes are merged by repeated scans.
 SHORT = 64
-#: Encoded words that a worker remembers before it starts afresh, some 60 MB; forgetting only costs time.
-REMEMBERED = 250_000
+#: Encoded words that a worker remembers before it starts afresh, some 120 MB; forgetting only costs time.
+REMEMBERED = 500_000
 NO_RANK = 1 << 60
 
 
