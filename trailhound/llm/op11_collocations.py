@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trailhound.llm.common import BASE, byte_steps, cut_hash, discard, mix, prefix_hash, stored, table
+from trailhound.llm.common import BASE, byte_steps, cut_hash, discard, mix, prefix_hash, stored, table, tidied
 
 LEAST = 100
 LONGEST = 5
@@ -186,7 +186,7 @@ def stripes(texts: DataFrame, size: int, bits: np.ndarray | None, heavy: np.ndar
                     named = langs.slice(first, last - first).dictionary_encode().dictionary
                     yield stripes_of(tokens, named, size, at, counts, shared.value[1])
 
-    filled = texts.mapInArrow(run, "lang string, prefix string, segment int, next array<string>, n array<long>")
+    filled = texts.mapInArrow(tidied(run), "lang string, prefix string, segment int, next array<string>, n array<long>")
     # the exchange by segment also serves the sums by word within a segment
     dealt = filled.repartition("lang", "prefix", "segment")
     entries = dealt.select("lang", "prefix", "segment", F.explode(F.arrays_zip("next", "n")).alias("e"))
@@ -218,7 +218,7 @@ def stretches(texts: DataFrame, size: int, bits: np.ndarray) -> DataFrame:
                 named = langs.slice(first, last - first).dictionary_encode().dictionary
                 yield pa.RecordBatch.from_arrays([named.take(pa.array(tokens.langs[begin])), pc.binary_join(runs, " ")], ["lang", "text"])
 
-    return texts.mapInArrow(run, "lang string, text string")
+    return texts.mapInArrow(tidied(run), "lang string, text string")
 
 
 def bit_map(slots: DataFrame) -> np.ndarray:
@@ -251,7 +251,7 @@ def filter_of(phrases: DataFrame, size: int) -> np.ndarray:
                 hashes, inside = phrase_hashes(tokens, size)
                 yield pa.RecordBatch.from_arrays([pa.array((hashes[inside] >> np.uint64(64 - FILTER_BITS)).astype(np.int64))], ["slot"])
 
-    return bit_map(phrases.select("lang", "phrase").mapInArrow(run, "slot long"))
+    return bit_map(phrases.select("lang", "phrase").mapInArrow(tidied(run), "slot long"))
 
 
 def pair_filter(texts: DataFrame, bits: np.ndarray, least: int) -> np.ndarray:
@@ -263,7 +263,7 @@ def pair_filter(texts: DataFrame, bits: np.ndarray, least: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, offsets in byte_steps(batch.column("text"), 2 * STEP, STEP):
+            for first, last, data, offsets in byte_steps(batch.column("text"), STEP, STEP):
                 tokens = tokenized(batch.column("lang"), first, last, data, offsets)
                 hashes, inside = phrase_hashes(tokens, 2)
                 live = passing(shared.value, tokens.hashes)
@@ -271,7 +271,7 @@ def pair_filter(texts: DataFrame, bits: np.ndarray, least: int) -> np.ndarray:
                 slot, n = np.unique(pairs.astype(np.int64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n.astype(np.int64))], ["slot", "n"])
 
-    counted = texts.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    counted = texts.mapInArrow(tidied(run), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     return bit_map(counted.select(F.shiftright("slot", SLOT_BITS - FILTER_BITS).alias("slot")))
 
 
