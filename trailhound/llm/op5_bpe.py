@@ -28,8 +28,8 @@ from trailhound.llm.common import table, texts, tidied
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words of up to so many bytes are merged by repeated scans.
 SHORT = 64
-#: Encoded words that a worker remembers before it starts afresh, some 120 MB; forgetting only costs time.
-REMEMBERED = 500_000
+#: Encoded words that a worker remembers before it starts afresh, some 350 MB; forgetting only costs time.
+REMEMBERED = 1_500_000
 NO_RANK = 1 << 60
 
 
@@ -46,9 +46,10 @@ class Words(dict):
     def __init__(self, codec: Codec) -> None:
         super().__init__()
         self.codec = codec
+        self.limit = REMEMBERED
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.limit:
             self.clear()
         out = self[word] = np.array(self.codec.merge(word.encode("utf-8", "surrogatepass")), "<u4").tobytes()
         return out

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailhound.llm.common import stored, table, texts, tidied
-from trailhound.llm.op5_bpe import codec_of, read_vocabulary
+from trailhound.llm.op5_bpe import REMEMBERED, codec_of, read_vocabulary
 
 CAPACITY = 1024
 #: Documents whose pieces a task holds at once.
@@ -145,7 +145,7 @@ def places(planned: list[tuple[tuple[int, ...], int]], capacity: int) -> dict[in
 
 
 def pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
-           with_ids: bool = False) -> DataFrame:
+           with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """One row for each piece: the document's tokens and an end, the first piece shorter where they don't divide.
 
     Null text counts as empty and is one piece of the end alone. ``source_part`` and ``number`` (among the pieces of
@@ -166,6 +166,7 @@ def pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, end_
         from pyspark import TaskContext
 
         codec, part, number = codec_of(source.value), TaskContext.get().partitionId(), 0
+        codec.words.limit = remembered
         for batch in (b.slice(k, ROWS) for b in batches for k in range(0, len(b), ROWS)):
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, value in enumerate(texts(batch.column("text"))):
@@ -223,9 +224,9 @@ def placed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
-         with_ids: bool = False) -> DataFrame:
+         with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """Pieces of ``docs`` with their places; an empty table gives an empty table."""
-    return placed(stored(pieces(docs, vocabulary_path, capacity, end_id, with_ids), "pieces"), capacity)
+    return placed(stored(pieces(docs, vocabulary_path, capacity, end_id, with_ids, remembered), "pieces"), capacity)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
