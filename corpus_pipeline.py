@@ -18,6 +18,8 @@ SHINGLE = 5
 PERCENT = 80
 #: Words of a passage that may not occur twice: over 50.
 PASSAGE = 51
+#: Words that a worker keeps encoded while it packs: fewer than the operator's own, for what the other stages hold beside them.
+REMEMBERED = 250_000
 
 
 def apart(docs: DataFrame) -> DataFrame:
@@ -71,7 +73,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all texts with their ids, and their places in sequences of 1024 tokens."""
     import public_tokenizers
 
-    return op7_packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
+    return op7_packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True,
+                            remembered=REMEMBERED)
 
 
 STAGES = [
