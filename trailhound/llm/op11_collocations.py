@@ -146,7 +146,11 @@ def grams(tokens: Tokens, size: int, bits: np.ndarray | None) -> tuple[np.ndarra
 
 
 def stripes_of(tokens: Tokens, langs: pa.Array, size: int, at: np.ndarray, counts: np.ndarray, heavy: np.ndarray) -> pa.RecordBatch:
-    """Phrases gathered under their prefixes, those of heavy prefixes (by hash) in segments."""
+    """Phrases gathered under their prefixes, those of heavy prefixes (by hash) in segments.
+
+    A stripe's words travel as one string and its counts as another: words hold no space, and an array of strings would take
+    some 16 bytes more for each of them through the shuffle.
+    """
     following = tokens.ids[at + size - 1]
     segment = (string_hashes(tokens.words)[following] % np.uint64(SEGMENTS[0 if size == 1 else 1])).astype(np.int64)
     if size > 1:
@@ -166,8 +170,9 @@ def stripes_of(tokens: Tokens, langs: pa.Array, size: int, at: np.ndarray, count
     bounds = pa.array(np.append(head, len(at)).astype(np.int32))
     return pa.RecordBatch.from_arrays([
         langs.take(pa.array(tokens.langs[places])), prefix, pa.array(columns[0][order][head].astype(np.int32)),
-        pa.ListArray.from_arrays(bounds, tokens.words.take(pa.array(following[order]))),
-        pa.ListArray.from_arrays(bounds, pa.array(counts[order].astype(np.int64)))], ["lang", "prefix", "segment", "next", "n"])
+        pc.binary_join(pa.ListArray.from_arrays(bounds, tokens.words.take(pa.array(following[order]))), " "),
+        pc.binary_join(pa.ListArray.from_arrays(bounds, pa.array(counts[order].astype(np.int64)).cast(pa.string())), " ")],
+        ["lang", "prefix", "segment", "next", "n"])
 
 
 def stripes(texts: DataFrame, size: int, bits: np.ndarray | None, heavy: np.ndarray | None = None) -> DataFrame:
@@ -186,11 +191,12 @@ def stripes(texts: DataFrame, size: int, bits: np.ndarray | None, heavy: np.ndar
                     named = langs.slice(first, last - first).dictionary_encode().dictionary
                     yield stripes_of(tokens, named, size, at, counts, shared.value[1])
 
-    filled = texts.mapInArrow(tidied(run), "lang string, prefix string, segment int, next array<string>, n array<long>")
+    filled = texts.mapInArrow(tidied(run), "lang string, prefix string, segment int, next string, n string")
     # the exchange by segment also serves the sums by word within a segment
     dealt = filled.repartition("lang", "prefix", "segment")
-    entries = dealt.select("lang", "prefix", "segment", F.explode(F.arrays_zip("next", "n")).alias("e"))
-    return entries.select("lang", "prefix", "segment", F.col("e.next").alias("next"), F.col("e.n").alias("n")).groupBy(
+    both = F.arrays_zip(F.split("next", " ").alias("next"), F.split("n", " ").alias("n"))
+    entries = dealt.select("lang", "prefix", "segment", F.explode(both).alias("e"))
+    return entries.select("lang", "prefix", "segment", F.col("e.next").alias("next"), F.col("e.n").cast("long").alias("n")).groupBy(
         "lang", "prefix", "segment", "next").agg(F.sum("n").alias("n")).drop("segment")
 
 
