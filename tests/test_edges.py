@@ -1,13 +1,14 @@
 """Empty input, nulls, thresholds and band boundaries."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from trailhound.functions.lookup import banded
 from trailhound import fixed_values as V
-from trailhound.operators import aggregates, chains, detect, filters, iocs, packets, playbooks, scoring, timeline
+from trailhound.operators import aggregates, chains, detect, filters, iocs, packets, parse, playbooks, scoring, timeline
 
 EVENTS = ("event_id bigint, ts timestamp_ntz, severity string, source string, user_name string, source_ip string, "
           "host string, raw_log string")
@@ -122,3 +123,19 @@ def test_playbook_order_of_substrings(spark):
     assert got == {
         "high_severity_scan": "port_scan", "POWERSHELL_x": "suspicious_powershell", "port_scan": "port_scan",
         "x": "generic_compromise"}
+
+
+def test_open_pairs_are_searched_once_a_line(spark):
+    rows = [(1, 'X [WARN] a=1 b="two words" a="3" q="" u="open é=x z==1'), (2, "[INFO] none=" + "\t"), (3, "[INFO] nothing here"), (4, None),
+            (5, 'INFO k="x" k="" _=a"b" k=""" v=")')]
+    df = spark.createDataFrame(rows, "event_id bigint, line string")
+    out = parse.parse_kv_open(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1
+    got = {r["event_id"]: r["extras"] for r in out.collect()}
+    want = {}
+    for i, line in rows:
+        found = re.search(V.KV_OPEN, line or "", re.ASCII)
+        if found and re.search(r"\w+=", line, re.ASCII):
+            want[i] = {k: quoted or raw for k, raw, quoted, _ in re.findall(V.KV_OPEN_PAIR, found.group(3), re.ASCII)}
+    assert got == want and got[1]["a"] == "3" and got[1]["q"] == '""'

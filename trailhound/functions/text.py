@@ -82,12 +82,22 @@ def first_contained(text: Column, words: list[str]) -> Column:
     return F.coalesce(*[F.when(text.contains(w), F.lit(w)) for w in words])
 
 
-def pairs_to_map(keys: Column, values: Column) -> Column:
-    """A map from parallel arrays in which a repeated key keeps its last value."""
-    pairs = F.arrays_zip(keys.alias("key"), values.alias("value"))
+def bound(value: Column, make) -> Column:
+    """``make(value)`` with the value computed once: inside a lambda function an expression would be computed again for each element."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
+def _last_values(both: Column) -> Column:
+    keys = both["keys"]
+    pairs = F.arrays_zip(keys.alias("key"), both["values"].alias("value"))
     named = F.transform(pairs, lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value")))
     last = F.filter(
         named,
         lambda p, i: ~F.exists(F.slice(keys, i + F.lit(2), F.size(keys) + F.lit(1)), lambda k: k == p["key"]),
     )
-    return F.map_from_entries(last)
+    return F.map_from_entries(F.when(F.size(F.array_distinct(keys)) == F.size(keys), named).otherwise(last))
+
+
+def pairs_to_map(keys: Column, values: Column) -> Column:
+    """A map from parallel arrays in which a repeated key keeps its last value."""
+    return bound(F.struct(keys.alias("keys"), values.alias("values")), _last_values)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trailhound import fixed_values as V
 from trailhound.functions.lookup import look_up
 from trailhound.functions.text import (
-    all_matches, any_of, first_contained, first_match, packed, pairs_to_map, slots,
+    all_matches, any_of, bound, first_contained, first_match, packed, pairs_to_map, slots,
 )
 from trailhound.functions.times import parse_time
 
@@ -101,22 +101,29 @@ def parse_severity_anywhere(df: DataFrame, line: str = "line") -> DataFrame:
 
 def _open_pairs(rest: Column) -> Column:
     """Key/value map of ``k=v k="v v"`` text; quotes are stripped and a repeated key keeps its last value."""
-    keys = all_matches(rest, V.KV_OPEN_PAIR, 1)
-    quoted = all_matches(rest, V.KV_OPEN_PAIR, 3)
-    raw = all_matches(rest, V.KV_OPEN_PAIR, 2)
-    values = F.transform(quoted, lambda q, i: F.when(q != "", q).otherwise(F.get(raw, i)))
-    return pairs_to_map(keys, values)
+    return bound(all_matches(rest, V.KV_OPEN_PAIR, 0), lambda found: pairs_to_map(
+        F.transform(found, lambda p: F.substring_index(p, "=", 1)), F.transform(found, _open_value)))
+
+
+def _open_value(pair: Column) -> Column:
+    """The value of one ``k=v``: a closed quote that holds something goes."""
+    raw = F.substr(pair, F.locate("=", pair) + F.lit(1))
+    quoted = F.startswith(raw, F.lit('"')) & F.endswith(raw, F.lit('"')) & (F.length(raw) > 2)
+    return F.when(quoted, F.substr(raw, F.lit(2), F.length(raw) - F.lit(2))).otherwise(raw)
 
 
 def parse_kv_open(df: DataFrame, line: str = "line") -> DataFrame:
-    """``[SEV] k=v k="v v"`` lines with any key: known keys become columns, the rest goes to ``extras``."""
+    """``[SEV] k=v k="v v"`` lines with any key: known keys become columns, the rest goes to ``extras``.
+
+    The test takes its line once: a filter that is pushed below the expression that makes the line would else hold a copy of it
+    for each pattern, and generated code of that size is not compiled.
+    """
     text = F.col(line)
-    rest = F.regexp_extract(text, V.KV_OPEN, 3)
-    with_pairs = df.filter(layout_test(text, "kv")).select(
+    with_pairs = df.filter(bound(text, lambda t: layout_test(t, "kv"))).select(
         "*",
         first_match(text, V.KV_OPEN, 1).alias("timestamp"),
         F.upper(F.regexp_extract(text, V.KV_OPEN, 2)).alias("severity"),
-        rest.alias("_rest"), _open_pairs(rest).alias("_pairs"))
+        F.regexp_extract(text, V.KV_OPEN, 3).alias("_rest")).withColumn("_pairs", _open_pairs(F.col("_rest")))
     known = {name: F.try_element_at("_pairs", F.lit(key)) for key, name in V.KV_OPEN_NAMES.items()}
     return with_pairs.select(
         "*", *[c.alias(n) for n, c in known.items()],
