@@ -45,6 +45,13 @@ def test_rules_meet_rows_by_an_equi_join(spark, sf_dir):
     assert registry.rule_findings(view(spark, sf_dir, "log_events"), rules.limit(0)).collect() == []
 
 
+def test_rules_are_made_once(spark, sf_dir):
+    made = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").cast("string").alias("rule_id"), F.lit("c").alias("category"),
+                                                                  F.concat(F.lit("user"), "user_id").alias("pattern"), F.lit("LOW").alias("severity"))
+    text = registry.rule_findings(view(spark, sf_dir, "log_events"), made)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Relation [") == 2, "the rows and the stored rules; nothing of what makes the rules"
+
+
 def test_distinct_counts_need_no_expand_and_merge(spark, sf_dir):
     e = view(spark, sf_dir, "log_events")
     assert "Expand" not in plan(aggregates.dashboard(e)) and "Expand" not in plan(packets.summary(view(spark, sf_dir, "packets")))
