@@ -61,7 +61,8 @@ def read_shards(spark: SparkSession, path: str, row: StructType) -> DataFrame:
     within = Window.partitionBy("shard").orderBy("bucket")
     before = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select(
         "shard", "bucket", (F.sum("n").over(within) - F.col("n")).alias("before"))
-    return rows.join(before, ["shard", "bucket"]).select(
+    # a row for each bucket of some megabytes: broadcast, so that the written rows don't move again
+    return rows.join(F.broadcast(before), ["shard", "bucket"]).select(
         "row", "shard", "bucket", (F.col("before") + F.col("place")).alias("slot"), "grown_shard")
 
 
