@@ -32,6 +32,8 @@ LONGEST = 5
 TOP = 2000
 #: Bytes of text whose stripes a task fills at once, and the rows they may stand in.
 STEP = 8 << 20
+#: Bytes of text whose frequent stretches a task looks for at once: nothing is summed there, so that small steps cost no rows.
+STRETCH_STEP = 1 << 20
 #: Bits of a filter as a power of two, of one row of it, and of the numbers that pairs are counted by.
 FILTER_BITS = 26
 CHUNK_BITS = 15
@@ -139,8 +141,10 @@ def grams(tokens: Tokens, size: int, bits: np.ndarray | None) -> tuple[np.ndarra
         inside = inside & live[:-1] & live[1:]
     at = np.flatnonzero(inside)
     _, first, inverse, counts = np.unique(hashes[at], return_index=True, return_inverse=True, return_counts=True)
-    columns = [tokens.langs[at], *[tokens.ids[at + k] for k in range(size)]]
-    if not all((c == c[first][inverse]).all() for c in columns):  # two phrases of one hash: number the phrases themselves
+    alike = at[first][inverse]
+    if not ((tokens.langs[at] == tokens.langs[alike]).all() and all(
+            (tokens.ids[at + k] == tokens.ids[alike + k]).all() for k in range(size))):  # two phrases of one hash: number the phrases themselves
+        columns = [tokens.langs[at], *[tokens.ids[at + k] for k in range(size)]]
         _, first, counts = np.unique(np.stack(columns, axis=1), axis=0, return_index=True, return_counts=True)
     return at[first], counts
 
@@ -207,7 +211,7 @@ def stretches(texts: DataFrame, size: int, bits: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = batch.column("lang")
-            for first, last, data, offsets in byte_steps(batch.column("text"), STEP, STEP):
+            for first, last, data, offsets in byte_steps(batch.column("text"), STRETCH_STEP, STEP):
                 tokens = tokenized(langs, first, last, data, offsets)
                 if len(tokens.ids) < size:
                     continue
