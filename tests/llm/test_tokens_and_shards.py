@@ -263,3 +263,12 @@ def test_pipeline_cuts_passages_of_over_50_words(spark, make_docs):
     texts = [f"{a} {p} {b}" for p, a, b in zip([passage, passage, short, short], ends[::2], ends[1::2])]
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passages(spark, make_docs(enumerate(texts)), "").collect()}
     assert [got[i] for i in range(4)] == [f"{ends[0]}  {ends[1]}", f"{ends[2]}  {ends[3]}", *texts[2:]]
+
+
+def test_written_rows_are_not_shuffled_again(spark, make_docs, tmp_path):
+    docs = make_docs(enumerate(["a", "b", None]))
+    path = str(tmp_path / "shards")
+    op10_sharding.write_shards(docs, path, "doc_id", F.lit(1))
+    rows = op10_sharding.read_shards(spark, path, docs.schema)
+    assert "strategy=broadcast" in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert rows.count() == 3
