@@ -200,3 +200,13 @@ def test_word_spans_equal_brute_force(spark, make_docs, base_rows):
             for s in got[i]:
                 gone[s["first"]: s["last"]] = [True] * (s["last"] - s["first"])
             assert gone == repeated_word_bytes(text, texts, span)
+
+
+def test_blocks_link_components_and_not_their_members(spark):
+    members = np.arange(100, dtype=np.uint64).tobytes()
+    sets = spark.createDataFrame([(rep, bytearray(members)) for rep in range(40)], "rep long, members binary")
+    dealt = spark.createDataFrame([(key, rep, rep % 2, rep // 20, 2) for key in (7, 8) for rep in range(40)],
+                                  "key long, rep long, component long, chunk int, chunks int")
+    got = op3_minhash.linked_in_blocks(dealt, sets, 85).collect()
+    assert {(r["u"], r["v"]) for r in got} == {(1, 0)}
+    assert len(got) == 6  # one for each two blocks of a bucket

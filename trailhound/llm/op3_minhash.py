@@ -8,7 +8,7 @@ Equal coordinates have the similarity of the sets as their expectation, with con
 Bands of coordinates give buckets. First, every member of a bucket is compared on the full sets with the smallest of the
 bucket, and links join components; most buckets then hold one component besides that leader, and are done. Of the others
 the remaining members are dealt into blocks of bounded size, and every two blocks of a bucket are compared set by set inside
-one task, which returns a spanning forest of the links found and never the pairs. No bucket is capped, and none is gathered.
+one task, which returns a spanning forest of the links found between components and never the pairs. No bucket is capped, and none is gathered.
 Equal sets are one class throughout.
 """
 
@@ -184,36 +184,37 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def linked_in_blocks(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (``u``, ``v``) among the members of each bucket: a forest for each two of its blocks.
+    """Links (``u``, ``v``) among the components of each bucket: a forest for each two of its blocks.
 
-    ``dealt``: ``key``, ``rep``, ``chunk`` (the block) and ``chunks`` (how many blocks the bucket has).
+    ``dealt``: ``key``, ``rep``, ``component`` (of the links known before: those within one are not given again), ``chunk``
+    (the block) and ``chunks`` (how many blocks the bucket has).
     """
     blocks = stored(dealt.join(sets, "rep").groupBy("key", "chunk", "chunks").agg(
-        F.collect_list(F.struct("rep", "members")).alias("block")), "blocks")
+        F.collect_list(F.struct("component", "members")).alias("block")), "blocks")
     one = blocks.select("key", F.col("block").alias("a"), F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("chunk"))
     met = one.join(blocks.select("key", "chunk", F.col("block").alias("b")), ["key", "chunk"])
 
     def unpacked(block: pa.StructScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        reps, members = block.values.field("rep").to_numpy(), block.values.field("members")
+        names, members = block.values.field("component").to_numpy(), block.values.field("members")
         parts = [np.frombuffer(m.as_buffer(), np.uint64) for m in members]
-        return reps, np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+        return names, np.concatenate(parts), np.cumsum([0, *map(len, parts)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x, y in zip(batch.column("a"), batch.column("b")):
-                (reps, values, cuts), (others, other_values, other_cuts) = unpacked(x), unpacked(y)
+                (names, values, cuts), (others, other_values, other_cuts) = unpacked(x), unpacked(y)
                 words = np.unique(np.concatenate((values, other_values)))
                 code, other_code = np.searchsorted(words, values), np.searchsorted(words, other_values)
                 sizes, other_sizes = np.diff(cuts), np.diff(other_cuts)
                 here = np.zeros(len(words), np.int64)
                 u, v = [], []
-                for i in range(len(reps)):
+                for i in range(len(names)):
                     own = code[cuts[i]: cuts[i + 1]]
                     here[own] = 1
                     shared = np.add.reduceat(here[other_code], other_cuts[:-1])
                     here[own] = 0
                     near = np.flatnonzero(100 * shared >= percent * (sizes[i] + other_sizes - shared))
-                    u.append(np.full(len(near), reps[i]))
+                    u.append(np.full(len(near), names[i]))
                     v.append(others[near])
                 nodes, roots = forest(np.concatenate(u), np.concatenate(v))
                 tied = nodes != roots
@@ -258,7 +259,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     chunks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("elements") / BLOCK_ELEMENTS)).cast("int")
     open_buckets = stored(mixed.select("key", chunks.alias("chunks")), "mixed")
     if not open_buckets.isEmpty():
-        dealt = rest.join(open_buckets, "key").select("key", "rep", "chunks", F.pmod(
+        dealt = rest.join(open_buckets, "key").select("key", "rep", "component", "chunks", F.pmod(
             F.xxhash64("rep", F.lit(1)), F.col("chunks")).cast("int").alias("chunk"))
         more = stored(linked_in_blocks(dealt, sets, percent), "found")
         discard(groups)
