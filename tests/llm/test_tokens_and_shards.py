@@ -272,3 +272,12 @@ def test_written_rows_are_not_shuffled_again(spark, make_docs, tmp_path):
     rows = op10_sharding.read_shards(spark, path, docs.schema)
     assert "strategy=broadcast" in rows._jdf.queryExecution().optimizedPlan().toString()
     assert rows.count() == 3
+
+
+def test_plain_sets_split_texts_like_the_pattern():
+    near = [chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000]
+    for text in ("".join(near), " ".join(near), "".join(f"a{c}1 {c}{c}\n{c} \t" for c in near)):
+        assert CODEC.find_plain(text) == CODEC.find_any(text)
+    plain = "".join(f"{chr(i)}{chr(j)}x 's'll" for i in range(128) for j in range(128))
+    assert CODEC.find_ascii(plain) == CODEC.find_any(plain)
+    assert CODEC.find("a \U0001d7d8\U00020000 b") == CODEC.find_any("a \U0001d7d8\U00020000 b") == ["a", " \U0001d7d8", "\U00020000", " b"]

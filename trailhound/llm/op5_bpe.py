@@ -14,7 +14,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Iterator
+import re
+import struct
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +28,15 @@ from trailhound.llm.common import table, texts, tidied
 
 #: Fixed value: how byte-level vocabularies split text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The same with its three classes as plain sets of characters below U+10000, which ``re`` looks up in a bit map.
+PLAIN_PATTERN = r"""'(?:[stmd]|re|ve|ll)| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"""
+#: Characters that the sets do not hold.
+ASTRAL = re.compile("[\U00010000-\U0010ffff]").search
 #: Words of up to so many bytes are merged by repeated scans.
 SHORT = 64
 #: Encoded words that a worker remembers before it starts afresh, some 350 MB; forgetting only costs time.
 REMEMBERED = 1_500_000
-NO_RANK = 1 << 60
+NO_RANK = 1 << 62
 
 
 def byte_characters() -> dict[str, int]:
@@ -40,6 +46,20 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def plain_find(limit: int) -> Callable[[str], list[str]]:
+    """``findall`` of ``PATTERN`` for texts whose characters all lie below ``limit``, at most U+10000."""
+    every = "".join(map(chr, range(limit)))
+
+    def members(kind: str) -> str:
+        return "".join(f"{re.escape(run[0])}-{re.escape(run[-1])}" for run in regex.findall(kind + "+", every))
+
+    sets = {"L": members(r"\p{L}"), "N": members(r"\p{N}"), "S": members(r"\s")}
+    pattern = PLAIN_PATTERN
+    for name, characters in sets.items():
+        pattern = pattern.replace("{%s}" % name, characters)
+    return re.compile(pattern).findall
+
+
 class Words(dict):
     """Encoded words by their text: ids as little-endian 32-bit numbers."""
 
@@ -51,7 +71,8 @@ class Words(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.limit:
             self.clear()
-        out = self[word] = np.array(self.codec.merge(word.encode("utf-8", "surrogatepass")), "<u4").tobytes()
+        ids = self.codec.merge(word.encode("utf-8", "surrogatepass"))
+        out = self[word] = struct.pack("<%dI" % len(ids), *ids)
         return out
 
 
@@ -68,43 +89,49 @@ class Codec:
             self.pieces[number] = bytes(of[c] for c in text)
             if len(text) == 1:
                 self.single[of[text]] = number
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merges: dict[tuple[int, int], int] = {}  # rank, and in the low 32 bits the id that the merge gives
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges.setdefault((vocabulary[left], vocabulary[right]), (rank, vocabulary[left + right]))
+            self.merges.setdefault((vocabulary[left], vocabulary[right]), rank << 32 | vocabulary[left + right])
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.pieces |= {i: t.encode() for t, i in self.special.items()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") \
             if self.special else None
-        self.find = regex.compile(PATTERN).findall
+        self.find_any, self.find_plain, self.find_ascii = regex.compile(PATTERN).findall, plain_find(1 << 16), plain_find(1 << 7)
         self.words = Words(self)
         self.decimal: dict[int, str] = {}
 
+    def find(self, text: str) -> list[str]:
+        """The words of a text."""
+        if text.isascii():
+            return self.find_ascii(text)
+        return self.find_any(text) if ASTRAL(text) else self.find_plain(text)
+
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word."""
         parts = [self.single[b] for b in word]
         if len(parts) > SHORT:
             return self.merge_long(parts)
-        merges = self.merges
-        ranks = [merges.get(pair, (NO_RANK,))[0] for pair in zip(parts, parts[1:])]
+        rank_of = self.merges.get
+        ranks = [rank_of(pair, NO_RANK) for pair in zip(parts, parts[1:])]
         while ranks:
             least = min(ranks)
             if least == NO_RANK:
                 break
             i = ranks.index(least)
-            parts[i] = merges[parts[i], parts[i + 1]][1]
+            parts[i] = least & 0xFFFFFFFF
             del parts[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = merges.get((parts[i - 1], parts[i]), (NO_RANK,))[0]
+                ranks[i - 1] = rank_of((parts[i - 1], parts[i]), NO_RANK)
             if i < len(ranks):
-                ranks[i] = merges.get((parts[i], parts[i + 1]), (NO_RANK,))[0]
+                ranks[i] = rank_of((parts[i], parts[i + 1]), NO_RANK)
         return parts
 
     def merge_long(self, parts: list[int]) -> list[int]:
         """The same merges, leftmost of the least rank first, with a heap in place of the scan."""
         n, merges = len(parts), self.merges
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(merges[pair][0], i) for i, pair in enumerate(zip(parts, parts[1:])) if pair in merges]
+        heap = [(merges[pair], i) for i, pair in enumerate(zip(parts, parts[1:])) if pair in merges]
         heapq.heapify(heap)
         alive = [True] * n
         while heap:
@@ -113,14 +140,14 @@ class Codec:
             if not alive[i] or j >= n:
                 continue
             found = merges.get((parts[i], parts[j]))
-            if found is None or found[0] != rank:
+            if found != rank:
                 continue  # the pair has changed since it was put here
-            parts[i], alive[j], after[i] = found[1], False, after[j]
+            parts[i], alive[j], after[i] = found & 0xFFFFFFFF, False, after[j]
             if after[j] < n:
                 before[after[j]] = i
             for a, b in ((before[i], i), (i, after[i])):
                 if a >= 0 and b < n and (parts[a], parts[b]) in merges:
-                    heapq.heappush(heap, (merges[parts[a], parts[b]][0], a))
+                    heapq.heappush(heap, (merges[parts[a], parts[b]], a))
         return [p for p, x in zip(parts, alive) if x]
 
     def encode(self, text: str) -> np.ndarray:
