@@ -210,3 +210,12 @@ def test_blocks_link_components_and_not_their_members(spark):
     got = op3_minhash.linked_in_blocks(dealt, sets, 85).collect()
     assert {(r["u"], r["v"]) for r in got} == {(1, 0)}
     assert len(got) == 6  # one for each two blocks of a bucket
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    from trailhound.llm.common import CLEANUP, stored
+
+    shuffles = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    before, held = spark.conf.get(CLEANUP), shuffles.size()
+    rows = stored(spark.range(1000).selectExpr("id % 7 as k").groupBy("k").count(), "counts")
+    assert shuffles.size() <= held and rows.count() == 7 and spark.conf.get(CLEANUP) == before
