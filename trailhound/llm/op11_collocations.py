@@ -246,8 +246,10 @@ def bit_map(slots: DataFrame) -> np.ndarray:
 
     bits = np.zeros((1 << FILTER_BITS - CHUNK_BITS, 1 << CHUNK_BITS - 3), np.uint8)
     dealt = slots.select("slot").distinct().repartition(F.shiftright("slot", CHUNK_BITS))
-    for r in dealt.mapInArrow(chunks, "chunk long, bits binary").toLocalIterator():
+    packed = stored(dealt.mapInArrow(chunks, "chunk long, bits binary"), "bits")  # a shuffle behind the iterator would keep its files
+    for r in packed.toLocalIterator():
         bits[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
+    discard(packed)
     return bits.reshape(-1)
 
 
