@@ -140,6 +140,24 @@ def test_suffix_ranks_equal_sorted_suffixes(spark):
             assert sorted(range(n), key=ranks.get) == want and sorted(ranks.values()) == list(range(n))
 
 
+def test_suffix_levels_shrink_and_order_many_texts(spark, monkeypatch):
+    from trailhound.llm import suffixes
+
+    rng, rows, named = random.Random(3), [], suffixes.named
+    monkeypatch.setattr(suffixes, "named", lambda heads, *keys: rows.append(heads.count()) or named(heads, *keys))
+    names = [rng.choice([1, 2, 3]) for _ in range(200)] + [4] * 60 + [5, 6] * 40
+    ranks = dict(suffix_ranks(spark.createDataFrame(list(enumerate(names)), "pos long, name long"), len(names), base_rows=16).collect())
+    assert sorted(ranks, key=ranks.get) == sorted(range(len(names)), key=lambda i: names[i:])
+    assert rows and sum(rows) < len(names)  # all levels together
+    texts = {(7, 0): names[:90], (7, 95): names[20:70], (9, 0): [4] * 30, (9, 40): [4] * 31, (11, 3): [5, 6] * 9 + [7]}
+    frame = spark.createDataFrame([(t, p + i, x) for (t, p), own in texts.items() for i, x in enumerate(own)],
+                                  "text long, pos long, name long").repartition(3)
+    order, _ = suffixes.suffix_order(frame, frame.count(), base_rows=8)
+    suffix = {(t, p + i): own[i:] for (t, p), own in texts.items() for i in range(len(own))}
+    got = [suffix.pop((r["text"], r["pos"])) for r in order.collect()]
+    assert not suffix and got == sorted(got)
+
+
 def passages(seed=4):
     rng = random.Random(seed)
     letters = "abcdefghijklmnopqrstuvwxyzäé漢 "
