@@ -141,6 +141,19 @@ def test_packing_edges(spark, make_docs):
     assert op7_packing.pack(docs.limit(0), VOCABULARY).collect() == []
 
 
+def test_packing_shuffles_no_ids(spark, make_docs):
+    packed = op7_packing.pack(make_docs(ODD), VOCABULARY, capacity=16, with_ids=True)
+    assert all(len(r["ids"]) == r["length"] for r in packed.collect())
+    plan = packed._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    below, found = None, []  # what stands below an exchange is indented further
+    for line in plan.split("\n"):
+        depth = len(line) - len(line.lstrip(" :*+-"))
+        below = None if below is not None and depth <= below else below
+        found += [line] if below is not None and "Scan" in line else []
+        below = depth if below is None and "Exchange" in line else below
+    assert found and not any("ids#" in line.split("]")[0] for line in found)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 24), max_size=80))
 def test_plan_places_every_piece(lengths):

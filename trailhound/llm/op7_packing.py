@@ -4,7 +4,8 @@ Documents become pieces of at most ``CAPACITY`` tokens. The histogram of piece l
 planning does not grow with the corpus: all patterns of up to three pieces that fill a sequence exactly are enumerated,
 non-negative least squares fits their repeat counts to the histogram, counts are rounded down to what is there, and the
 pieces left over are packed best fit, longest first, as counts of equal sequences. The plan, a table of length and rank
-ranges, is sent to the executors; a piece's rank among those of its length comes from counts per source partition.
+ranges, is sent to the executors; a piece's rank among those of its length is counted where the piece is cut, and comes after the pieces
+of earlier source partitions. Pieces are stored in buckets by source partition, so that they, and the ids on them, are not shuffled.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailhound.llm.common import stored, table, texts, tidied
+from trailhound.llm.common import freed_shuffles, partitions, table, texts, tidied
 from trailhound.llm.op5_bpe import REMEMBERED, codec_of, read_vocabulary
+from trailhound.session import scratch_path
 
 CAPACITY = 1024
 #: Documents whose pieces a task holds at once.
@@ -148,8 +150,8 @@ def pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, end_
            with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """One row for each piece: the document's tokens and an end, the first piece shorter where they don't divide.
 
-    Null text counts as empty and is one piece of the end alone. ``source_part`` and ``number`` (among the pieces of
-    that partition) tell pieces apart even where ids repeat. With ``with_ids``, also the piece's ids.
+    Null text counts as empty and is one piece of the end alone. ``source_part``, ``length`` and ``number`` (among the pieces of
+    that partition and length) tell pieces apart even where ids repeat. With ``with_ids``, also the piece's ids.
     """
     source = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
     fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("piece", T.IntegerType()),
@@ -165,10 +167,10 @@ def pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, end_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        codec, part, number = codec_of(source.value), TaskContext.get().partitionId(), 0
+        codec, part, numbers = codec_of(source.value), TaskContext.get().partitionId(), [0] * (capacity + 1)
         codec.words.limit = remembered
         for batch in (b.slice(k, ROWS) for b in batches for k in range(0, len(b), ROWS)):
-            rows, piece, start, length, crc, ids = [], [], [], [], [], []
+            rows, piece, start, length, crc, number, ids = [], [], [], [], [], [], []
             for i, value in enumerate(texts(batch.column("text"))):
                 tokens = np.concatenate((codec.encode(value.as_py()), tail))
                 first = len(tokens) % capacity or capacity
@@ -179,19 +181,31 @@ def pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, end_
                     start.append(a)
                     length.append(b - a)
                     crc.append(zlib.crc32(tokens[a:b].tobytes()))
+                    number.append(numbers[b - a])
+                    numbers[b - a] += 1
                     if with_ids:
                         ids.append(tokens[a:b].astype(np.int32))
             arrays = [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()),
                       pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()),
-                      pa.array([part] * len(rows), pa.int32()), pa.array(range(number, number + len(rows)), pa.int64())]
-            number += len(rows)
+                      pa.array([part] * len(rows), pa.int32()), pa.array(number, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), names)
 
     return docs.select("doc_id", "text").mapInArrow(tidied(run), schema)
 
 
+def in_buckets(cut: DataFrame) -> DataFrame:
+    """``cut`` written to a new table, bucketed by ``source_part``: each task writes one file, and joins by that column move no pieces."""
+    spark = cut.sparkSession
+    path = scratch_path(spark, "pieces")
+    name = "pieces_" + path[-32:]
+    with freed_shuffles(spark):
+        cut.write.option("path", path).option("compression", "zstd").bucketBy(
+            partitions(spark), "source_part").saveAsTable(name)
+    return spark.table(name)
+
+
 def placed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``cut`` (a written table of :func:`pieces`) with ``sequence_id`` and ``offset``."""
+    """``cut`` (a table of :func:`in_buckets`) with ``sequence_id`` and ``offset``."""
     spark = cut.sparkSession
     counts = cut.groupBy("length", "source_part").agg(F.count("*").alias("n"))
     histogram = np.zeros(capacity + 1, np.int64)
@@ -199,11 +213,11 @@ def placed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         histogram[row["length"]] = row["n"]
     shared = spark.sparkContext.broadcast(places(plan(histogram, capacity), capacity))
     before = Window.partitionBy("length").orderBy("source_part")
-    starts = counts.select("length", "source_part", (F.sum("n").over(before) - F.col("n")).alias("before"))
-    inner = Window.partitionBy("length", "source_part").orderBy("number")
-    ranked = cut.withColumn("own", F.row_number().over(inner) - 1).join(starts, ["length", "source_part"])
+    starts = counts.select("length", "source_part", (F.sum("n").over(before) - F.col("n")).alias("before")).groupBy(
+        "source_part").agg(F.map_from_entries(F.collect_list(F.struct("length", "before"))).alias("before"))  # an entry for each length
+    ranked = cut.join(starts.hint("shuffle_hash"), "source_part")
     columns = cut.columns
-    kept = ranked.select(*columns, (F.col("before") + F.col("own")).alias("rank"))
+    kept = ranked.select(*columns, (F.col("before")[F.col("length")] + F.col("number")).alias("rank"))
     schema = T.StructType([*cut.schema.fields, T.StructField("sequence_id", T.LongType()),
                            T.StructField("offset", T.LongType())])
 
@@ -226,7 +240,7 @@ def placed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
          with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """Pieces of ``docs`` with their places; an empty table gives an empty table."""
-    return placed(stored(pieces(docs, vocabulary_path, capacity, end_id, with_ids, remembered), "pieces"), capacity)
+    return placed(in_buckets(pieces(docs, vocabulary_path, capacity, end_id, with_ids, remembered)), capacity)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
