@@ -74,7 +74,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return op7_packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True,
-                            remembered=REMEMBERED)
+                            remembered=REMEMBERED, forget=True)
 
 
 STAGES = [

@@ -2,15 +2,18 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import tokens
 from pyspark.sql import functions as F
 
 from trailhound.llm import op1_hmm, op8_toxicity, op9_language
+from trailhound.llm.common import STEP_BYTES, STEP_ROWS
 
 SF = "/root/testdata/sf0.001"
 
@@ -159,3 +162,28 @@ def test_language_edges(spark, make_docs):
     blank = op9_language.predict(docs, op9_language.learn(train.limit(0))).collect()
     assert {r["lang_pred"] for r in blank} == {"und"} and all(r["rejected"] for r in blank)
     assert op9_language.predict(docs.limit(0), op9_language.learn(train)).collect() == []
+
+
+def test_classifiers_hold_little_of_a_batch_at_once(spark, make_docs, monkeypatch):
+    docs = make_docs([(0, "x")]).select("doc_id", "text")
+    rows = [(i, None if i % 7 == 0 else f"du {i} fool " * (1 + i % 400)) for i in range(3000)]
+    ids, values = zip(*rows)
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.string())], ["doc_id", "text"])
+    weights = np.random.default_rng(0).normal(size=(1 << op9_language.BUCKET_BITS, 3)).astype(np.float32)
+    language = op9_language.Model(["de", "en", "fr"], weights, np.zeros(3))
+    steps = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: steps.append(run))
+    op8_toxicity.score(docs, op8_toxicity.Model({"fool": 2.0}))
+    op9_language.predict(docs, language)
+    for run in steps:
+        out = list(run(iter([batch.slice(0, 0), batch.slice(5, 2990), batch.slice(2995)])))
+        assert all(len(x) <= STEP_ROWS and sum(len(t or "") for t in x.column("text").to_pylist()) <= STEP_BYTES for x in out)
+        got = [r for x in out for r in x.to_pylist()]
+        assert got == [r for i in range(5, 3000) for x in run(iter([batch.slice(i, 1)])) for r in x.to_pylist()]
+        assert [(r["doc_id"], r["text"]) for r in got] == rows[5:]
+    column = pa.array(["ab cd " * 1000] * 400)  # 2.4 MB
+    tracemalloc.start()
+    language.scores(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 15e6

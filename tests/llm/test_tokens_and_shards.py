@@ -154,6 +154,27 @@ def test_packing_shuffles_no_ids(spark, make_docs):
     assert found and not any("ids#" in line.split("]")[0] for line in found)
 
 
+def test_workers_forget_words_after_packing(spark, make_docs, tmp_path):
+    docs, text, found = make_docs((i, f"word{i} other{i}") for i in range(200)), op5_bpe.read_vocabulary(VOCABULARY), {}
+    for forget in (False, True):
+        own = tmp_path / f"{forget}.json"
+        own.write_text(text + "\n" * (1 + forget))  # not the same text as any other test's: a codec of its own in each worker
+        source = own.read_text()
+
+        def held(batches, source=source):
+            import pyarrow as pa
+
+            for _ in batches:
+                pass
+            yield pa.RecordBatch.from_arrays([pa.array([len(op5_bpe.codec_of(source).words)])], ["n"])
+
+        rows = op7_packing.pieces(docs, str(own), forget=forget).select("doc_id", "length", "ids_crc32").collect()
+        most = max(r["n"] for r in spark.range(0, 16, 1, 16).mapInArrow(held, "n long").collect())
+        found[forget] = (sorted(rows), most > 0)
+    assert found[False][0] == found[True][0]
+    assert found[False][1] and not found[True][1]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 24), max_size=80))
 def test_plan_places_every_piece(lengths):

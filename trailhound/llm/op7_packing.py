@@ -147,11 +147,12 @@ def places(planned: list[tuple[tuple[int, ...], int]], capacity: int) -> dict[in
 
 
 def pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
-           with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
+           with_ids: bool = False, remembered: int = REMEMBERED, forget: bool = False) -> DataFrame:
     """One row for each piece: the document's tokens and an end, the first piece shorter where they don't divide.
 
     Null text counts as empty and is one piece of the end alone. ``source_part``, ``length`` and ``number`` (among the pieces of
-    that partition and length) tell pieces apart even where ids repeat. With ``with_ids``, also the piece's ids.
+    that partition and length) tell pieces apart even where ids repeat. With ``with_ids``, also the piece's ids. With ``forget``,
+    workers, which outlive the stage, drop their encoded words after each task.
     """
     source = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
     fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("piece", T.IntegerType()),
@@ -189,6 +190,8 @@ def pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, end_
                       pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()),
                       pa.array([part] * len(rows), pa.int32()), pa.array(number, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), names)
+        if forget:
+            codec.words.clear()
 
     return docs.select("doc_id", "text").mapInArrow(tidied(run), schema)
 
@@ -238,9 +241,9 @@ def placed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
-         with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
+         with_ids: bool = False, remembered: int = REMEMBERED, forget: bool = False) -> DataFrame:
     """Pieces of ``docs`` with their places; an empty table gives an empty table."""
-    return placed(in_buckets(pieces(docs, vocabulary_path, capacity, end_id, with_ids, remembered)), capacity)
+    return placed(in_buckets(pieces(docs, vocabulary_path, capacity, end_id, with_ids, remembered, forget)), capacity)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:

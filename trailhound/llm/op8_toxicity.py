@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailhound.llm.common import fold, stored, table, texts, tidied
+from trailhound.llm.common import fold, in_steps, stored, table, texts, tidied
 
 #: Labelled rows of either class that lexicon and weights are fitted on, about.
 SAMPLE = 3000
@@ -287,7 +287,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                            T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_steps(batches):
             scores = np.array([shared.value.score(t.as_py()) for t in texts(batch.column("text"))], float)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= CUT).astype(np.int32))],
                                              schema.names)

@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailhound.llm.common import byte_steps, fold, table, texts, tidied
+from trailhound.llm.common import byte_steps, fold, in_steps, table, texts, tidied
 
 #: Rows of the embedding table and numbers in a row.
 BUCKET_BITS = 15
 DIMENSIONS = 16
+#: Bytes of text whose table rows are looked up at once, a number for each byte and language.
+LOOKED_UP = 1 << 18
 #: Labelled rows for each language that the model is fitted on, about; every language is learned.
 SAMPLE = 400
 EPOCHS = 12
@@ -72,7 +74,7 @@ class Model:
     def logits(self, column: pa.Array) -> np.ndarray:
         """A row of logits for each text; a text without subwords gets the bias."""
         out = np.zeros((len(column), len(self.languages)))
-        for first, last, data, offsets in byte_steps(pc.utf8_lower(texts(column))):
+        for first, last, data, offsets in byte_steps(pc.utf8_lower(texts(column)), LOOKED_UP):
             sums = np.zeros((last - first, len(self.languages)))
             counts = np.zeros(last - first)
             full = np.flatnonzero(np.diff(offsets))
@@ -186,7 +188,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in in_steps(batches):
             column = texts(batch.column("text"))
             spoken = np.array([any(map(str.isalpha, x)) for x in column.to_pylist()], bool) & bool(model.languages)
             if model.languages:
